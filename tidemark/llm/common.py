@@ -35,15 +35,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Parts up to which their offsets (16 bytes each) are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_PARTS = 500_000
+
+
 def with_part_offsets(df: DataFrame, part: str, length: str, out: str) -> DataFrame:
     """Adds to each row the sum of ``length`` over all smaller ``part`` values (first of the two prefix-sum passes).
 
     Only one row per part goes through the single window task; parts are input partitions, never rows of data.
     """
-    totals = df.groupBy(part).agg(F.sum(length).alias("_total"))
+    totals = stored(df.groupBy(part).agg(F.sum(length).alias("_total")))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col(part), F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("long").alias(out))
-    return df.join(offsets, part)
+    return df.join(F.broadcast(offsets) if totals.count() <= BROADCAST_PARTS else offsets, part)
 
 
 def text_batches(texts, limit: int = BATCH_CHARS):

@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm import quality
+from tidemark.llm import bpe, packing, quality, repair, secrets, transducer
 from tidemark.llm.common import table
 
 
+def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = repair.write_shards(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2)
+    return repair.read_documents(shards)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op3_concat_cut_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1, with_ids=False).drop("ids")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select(
@@ -16,8 +32,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+
+
 QUERIES = {
+    "op1_repair_tokens": op1_repair_tokens,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_concat_cut_packing": op3_concat_cut_packing,
+    "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
 _STOPS = ", ".join(f"('{w}'), ('{w.capitalize()}'), ('{w.upper()}')" for w in dict.fromkeys(quality.STOP_WORDS))
