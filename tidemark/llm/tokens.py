@@ -14,7 +14,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Words kept per Python worker; the cache starts anew beyond that.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 900_000
 
 
 def load(name: str) -> Tokenizer:
