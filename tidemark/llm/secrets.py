@@ -44,7 +44,7 @@ ALLOW = (
     re.compile(r"(.)\1*"),
 )
 
-_NLOGN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
+_NLOGN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 2)]
 _DIGIT, _HEX_LETTER = frozenset("0123456789"), frozenset("abcdefABCDEF")
 
 
