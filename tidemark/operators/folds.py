@@ -44,7 +44,7 @@ def expand_train(rows: DataFrame, min_train: int = MIN_TRAIN, step: int = STEP,
     first = F.greatest(F.lit(j0), F.floor((F.col("pos") + horizon - min_train) / step) + 1).cast("int")
     last = (F.floor((F.col("n") - min_train) / step) - 1).cast("int")
     held = rows.withColumns({"_a": first, "_z": last}).filter("_a <= _z")
-    return held.withColumn("fold_id", F.explode(F.expr("sequence(_a, _z)")) - j0).drop("_a", "_z")
+    return held.withColumn("_j", F.explode(F.expr("sequence(_a, _z)"))).withColumn("fold_id", F.col("_j") - j0).drop("_a", "_z", "_j")
 
 
 def min_fold_count(assets: DataFrame, folds: DataFrame) -> int:

@@ -77,7 +77,7 @@ def stale_runs(bars: DataFrame, max_run: int = MAX_RUN) -> DataFrame:
 def calendar_gaps(bars: DataFrame) -> DataFrame:
     """Days between an asset's first and last bar that are missing (markets that never close)."""
     span = bars.groupBy("asset").agg(F.min("date").alias("a"), F.max("date").alias("z"))
-    days = span.select("asset", F.explode(F.expr("sequence(a, z, interval 1 day)")).cast("date").alias("date"))
+    days = span.select("asset", F.explode(F.expr("sequence(a, z, interval 1 day)")).alias("date"))
     return _rows(days.join(bars.select("asset", "date"), ["asset", "date"], "left_anti"), "calendar_gap", "missing day")
 
 

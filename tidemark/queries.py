@@ -132,7 +132,7 @@ def _parts(spark, d):
 def _sessions(spark, d):
     """Weekdays of the bars' span but a literal holiday list."""
     span = _bars(spark, d).agg(F.min("date").alias("a"), F.max("date").alias("z"))
-    days = span.select(F.explode(F.expr("sequence(a, z, interval 1 day)")).cast("date").alias("session_date"))
+    days = span.select(F.explode(F.expr("sequence(a, z, interval 1 day)")).alias("session_date"))
     return days.filter("weekday(session_date) < 5 and date_format(session_date, 'MM-dd') not in ('01-01', '07-04', '12-25')")
 
 
@@ -735,7 +735,7 @@ def f12_staleness(spark, d):
     return _dim(spark).join(s, "asset", "left").select("asset", c.staleness_status(F.col("z"), F.col("a")).alias("status"))
 
 
-@query("SELECT event_id, CAST(ts AS DATE) AS day, epoch_ms(CAST(ts AS TIMESTAMP)) AS ms FROM events", BARS_SQL)
+@query("SELECT event_id, CAST(ts AS DATE) AS day, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS ms FROM events", BARS_SQL)
 def f14_utc_times(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     return e.select("event_id", F.to_date("ts").alias("day"), F.unix_millis("ts").alias("ms"))
