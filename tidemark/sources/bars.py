@@ -89,9 +89,10 @@ def wide_to_bars(frame: DataFrame, date: str = "date", separator: str = "_", fie
     if not columns:
         raise ValueError("the wide frame holds no price columns")
     field, ticker = (0, 1) if field_first else (1, 0)
-    fields = {c.split(separator, 1)[field].lower() for c in columns}
-    if missing := set(OHLCV) - fields:
+    fields = {c: c.split(separator, 1)[field].lower() for c in columns}
+    if missing := set(OHLCV) - set(fields.values()):
         raise ValueError(f"missing columns: {sorted(missing)}")
+    columns = [c for c in columns if fields[c] in OHLCV]
     frame = frame.select(date, *(F.col(f"`{c}`").cast("double").alias(c) for c in columns))
     long = frame.unpivot([date], columns, "k", "v")
     parts = F.split("k", separator, 2)
