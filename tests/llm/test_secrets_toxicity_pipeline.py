@@ -152,7 +152,8 @@ def test_pipeline_against_brute_force(spark):
         if not gone.any() or left.strip(" "):
             texts[i] = left
     texts = {i: secrets.redact(t, naive_spans(t)) for i, t in texts.items()}
-    want = {i: tokens.load("word_bpe_49k.json").encode(t, add_special_tokens=False).ids + [1] for i, t in texts.items()}
+    tokenizer = tokens.load("word_bpe_49k.json")
+    want = {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in texts.items()}
     got = {}
     pieces = corpus_pipeline.run(spark, d).orderBy("doc_id", "start").collect()
     for p in pieces:
