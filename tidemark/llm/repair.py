@@ -5,7 +5,8 @@ Documents are dealt to shards in ascending doc_id order. In each shard frequent
 replaces every occurrence. No pair crosses a document's end, so each document expands on its own; every rule's expansion
 length is stored, so a range of ids is found without expanding what lies before it.
 
-File format (one Parquet row per shard, binary fields little-endian): part, shard, n_ids, doc_ids int64, doc_lengths
+File format (one Parquet row per shard, binary fields little-endian): part, shard, before (ids of the part's earlier
+shards), n_ids, doc_ids int64, doc_lengths
 uint32 (ids per document), doc_symbols uint32 (symbols per document), left/right uint32 and lengths uint32 (rules; rule r
 is symbol base + r), base, width (bytes per symbol), symbols.
 
@@ -26,10 +27,10 @@ from tidemark.llm.common import stored, text_batches, texts_of, with_part_offset
 SHARD_IDS = 400_000
 #: Stands for a null doc_id in a shard's directory.
 NULL_ID = np.iinfo(np.int64).min
-ROUNDS, RULES_PER_ROUND, MIN_COUNT, MAX_SYMBOLS = 6, 2500, 6, 1 << 16
+ROUNDS, RULES_PER_ROUND, MIN_COUNT, MAX_SYMBOLS = 6, 2500, 6, (1 << 16) - 1
 
 SHARD_SCHEMA = (
-    "part int, shard int, n_docs long, n_ids long, base int, width int, doc_ids binary, doc_lengths binary,"
+    "part int, shard int, before long, n_docs long, n_ids long, base int, width int, doc_ids binary, doc_lengths binary,"
     " doc_symbols binary, left binary, right binary, lengths binary, symbols binary"
 )
 
@@ -42,7 +43,7 @@ def _choose(keys: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
     order = np.lexsort((keys, -counts))[: 2 * limit]
     lefts, rights, taken = set(), set(), []
     for k in keys[order].tolist():
-        a, b = k >> 32, k & 0xFFFFFFFF
+        a, b = k >> 16, k & 0xFFFF
         if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
             continue
         lefts.add(a)
@@ -50,7 +51,7 @@ def _choose(keys: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
         taken.append(k)
         if len(taken) == limit:
             break
-    return np.array(sorted(taken), np.int64)
+    return np.array(sorted(taken), np.uint32)
 
 
 def compress(ids: np.ndarray, last: np.ndarray, base: int, max_symbols: int = MAX_SYMBOLS, rounds: int = ROUNDS):
@@ -59,20 +60,20 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, max_symbols: int = MA
     lengths = np.ones(base, np.int64)
     for _ in range(rounds):
         room = min(RULES_PER_ROUND, max_symbols - len(lengths))
-        if room <= 0 or len(sym) < 2:
+        if room <= 0 or last[:-1].all():
             break
-        key = sym[:-1] << 32 | sym[1:]
-        key[last[:-1]] = -1
-        found = np.sort(key)
+        narrow = sym.astype(np.uint32)  # symbols fit 16 bits, so a pair fits 32
+        key = narrow[:-1] << np.uint32(16) | narrow[1:]
+        found = np.sort(key[~last[:-1]])
         start = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
         counts = np.diff(np.append(start, len(found)))
-        often = (counts >= MIN_COUNT) & (found[start] >= 0)
+        often = counts >= MIN_COUNT
         chosen = _choose(found[start][often], counts[often], room)
         if not len(chosen):
             break
         is_left, is_right = np.zeros(len(lengths), bool), np.zeros(len(lengths), bool)
-        is_left[chosen >> 32] = True
-        is_right[chosen & 0xFFFFFFFF] = True
+        is_left[chosen >> 16] = True
+        is_right[chosen & 0xFFFF] = True
         at = np.flatnonzero(is_left[sym[:-1]] & is_right[sym[1:]] & ~last[:-1])
         rule = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
         ok = chosen[rule] == key[at]
@@ -87,8 +88,8 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, max_symbols: int = MA
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
         sym, last = sym[keep], last[keep]
-        left.append(chosen >> 32)
-        right.append(chosen & 0xFFFFFFFF)
+        left.append((chosen >> 16).astype(np.int64))
+        right.append((chosen & 0xFFFF).astype(np.int64))
         lengths = np.concatenate([lengths, lengths[left[-1]] + lengths[right[-1]]])
     none = np.zeros(0, np.int64)
     return sym, last, np.concatenate([none, *left]), np.concatenate([none, *right]), lengths[base:]
@@ -136,10 +137,24 @@ class Shard:
         return expand(sym[a:b], self.base, self.left, self.right)[skip : skip + stop - start]
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols, self.base, self.left, self.right)
+        """Every document's ids: rules are written out once, then all symbols in one gather."""
+        flat = expand(self.base + np.arange(len(self.left)), self.base, self.left, self.right)
+        sym = self.symbols.astype(np.int64)
+        rule = sym - self.base
+        big = rule >= 0
+        size = np.ones(len(sym), np.int64)
+        size[big] = self.lengths[rule[big]]
+        begin = np.cumsum(self.lengths) - self.lengths
+        end = np.cumsum(size)
+        out = np.empty(int(end[-1]) if len(end) else 0, np.int64)
+        out[(end - size)[~big]] = sym[~big]
+        n, at = size[big], (end - size)[big]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(at, n) + within] = flat[np.repeat(begin[rule[big]], n) + within]
+        return out
 
 
-def _shard_row(part: int, shard: int, docs: list, coded: list[bytes], base: int) -> dict:
+def _shard_row(part: int, shard: int, docs: list, coded: list[bytes], base: int, before: int = 0) -> dict:
     ids = np.frombuffer(b"".join(coded), "<u4")
     n = np.array([len(c) // 4 for c in coded], np.int64)
     last = np.zeros(len(ids), bool)
@@ -149,7 +164,7 @@ def _shard_row(part: int, shard: int, docs: list, coded: list[bytes], base: int)
     width = 2 if base + len(left) <= 1 << 16 else 4
     u4 = lambda x: x.astype("<u4").tobytes()
     return {
-        "part": part, "shard": shard, "n_docs": len(docs), "n_ids": len(ids), "base": base, "width": width,
+        "part": part, "shard": shard, "before": before, "n_docs": len(docs), "n_ids": len(ids), "base": base, "width": width,
         "doc_ids": np.array([NULL_ID if d is None else d for d in docs], "<i8").tobytes(), "doc_lengths": u4(n),
         "doc_symbols": u4(np.diff(np.concatenate([[0], ends]))), "left": u4(left), "right": u4(right), "lengths": u4(lengths),
         "symbols": sym.astype(f"<u{width}").tobytes(),
@@ -158,53 +173,41 @@ def _shard_row(part: int, shard: int, docs: list, coded: list[bytes], base: int)
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes, orders by doc_id, compresses and writes; returns the rows of the written files, read back."""
+    if tokens.load(tokenizer).get_vocab_size() > MAX_SYMBOLS:
+        raise ValueError("pairs are keyed by 32 bits; choose a vocabulary of fewer than 65,536")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def encode(batches):
-        cache = tokens.library_cache(tokenizer, True)
-        end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            texts, ids = texts_of(b["text"]), b["doc_id"]
-            for s, e in text_batches(texts):
-                coded = [np.frombuffer(c + end, "<u4").astype("<u2").tobytes() for c in cache.encode_texts(texts[s:e])]
-                yield pa.RecordBatch.from_arrays([ids[s:e], pa.array(coded, pa.binary())], ["doc_id", "ids"])
-
     def pack(batches):
         from pyspark import TaskContext
 
-        part, shard, docs, coded, size = TaskContext.get().partitionId(), 0, [], [], 0
-        base = tokens.load(tokenizer).get_vocab_size()
+        part, shard, before, docs, coded, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
+        cache, base = tokens.library_cache(tokenizer, True), tokens.load(tokenizer).get_vocab_size()
+        end = np.array([end_id], "<u4").tobytes()
 
         def row():
-            return pa.RecordBatch.from_pylist([_shard_row(part, shard, docs, coded, base)], SHARD_ARROW)
+            return pa.RecordBatch.from_pylist([_shard_row(part, shard, docs, coded, base, before)], SHARD_ARROW)
 
         for b in batches:
-            for d, c in zip(b["doc_id"].to_pylist(), b["ids"].to_pylist()):
-                docs.append(d)
-                coded.append(np.frombuffer(c, "<u2").astype("<u4").tobytes())
-                size += len(c) // 2
-                if size >= shard_ids:
-                    yield row()
-                    shard, docs, coded, size = shard + 1, [], [], 0
+            texts, ids = texts_of(b["text"]), b["doc_id"].to_pylist()
+            for s, e in text_batches(texts):
+                for d, c in zip(ids[s:e], cache.encode_texts(texts[s:e])):
+                    docs.append(d)
+                    coded.append(c + end)
+                    size += len(c) // 4 + 1
+                    if size >= shard_ids:
+                        yield row()
+                        shard, before, docs, coded, size = shard + 1, before + size, [], [], 0
         if docs:
             yield row()
 
-    if tokens.load(tokenizer).get_vocab_size() > 1 << 16:
-        raise ValueError("the shuffle holds ids in 16 bits; choose a vocabulary of at most 65,536")
-    coded = src.mapInArrow(encode, "doc_id long, ids binary")
-    ordered = coded.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
+    # Range bounds are sampled from the bare scan; encoding comes after the shuffle, so it runs once.
+    ordered = src.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     return stored(ordered.mapInArrow(pack, SHARD_SCHEMA))
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """Decodes shards: one row per document with doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    from pyspark.sql.window import Window
-
-    before = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = with_part_offsets(shards.select("part", "shard", "n_ids"), "part", "n_ids", "part_start").select(
-        "part", "shard", (F.col("part_start") + F.coalesce(F.sum("n_ids").over(before), F.lit(0))).alias("start")
-    )
-    rows = shards.join(starts, ["part", "shard"])
+    rows = with_part_offsets(shards, "part", "n_ids", "part_start").withColumn("start", F.col("part_start") + F.col("before"))
 
     def decode(batches):
         import zlib

@@ -8,13 +8,14 @@ words' encodings. Other texts are encoded whole.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Words kept per Python worker; the cache starts anew beyond that.
-CACHE_WORDS = 900_000
+#: Words kept per Python worker, in two halves: when the newer one is full, the older one goes.
+CACHE_WORDS = 800_000
 
 
 def load(name: str) -> Tokenizer:
@@ -75,6 +76,11 @@ def word_encoder(tokenizer: Tokenizer, keep_space: bool):
     return library_encoder(tokenizer, closes=marks, plain=lambda p: p.isalpha() and len(p) < 64)
 
 
+#: White space that keeps a text from being cut at its spaces and newlines.
+_UNSAFE = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 class WordCache:
     """Texts to id bytes through ``encode(pieces) -> [bytes]``.
 
@@ -82,20 +88,21 @@ class WordCache:
     """
 
     def __init__(self, encode, keep_space: bool, limit: int = CACHE_WORDS):
-        self.encode, self.keep_space, self.limit, self.known = encode, keep_space, limit, {}
+        self.encode, self.keep_space, self.limit = encode, keep_space, limit
+        self.known, self.old = {}, {}
 
     def _pieces(self, text: str) -> list[str] | None:
         """Keys of a text's words, or None where it must be encoded whole.
 
-        Keys of byte-level words: "\\r" + word at the start, "\\n" + word after a newline, the word after a space.
+        Keys of byte-level words: "\r" + word at the start, "\n" + word after a newline, the word after a space.
         """
-        words = text.split()
-        gaps = text.count(" ") + text.count("\n")
-        if len(words) != gaps + 1 or len(text) != gaps + sum(map(len, words)):
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(w in text for w in _UNSAFE):
+            return None
+        if not text.isascii() and _OTHER_SPACE.search(text):
             return None
         if not self.keep_space:
-            return words
-        keys = text.replace("\n", " \n").split(" ") if "\n" in text else words
+            return text.split()
+        keys = text.replace("\n", " \n").split(" ")
         keys[0] = "\r" + keys[0]
         return keys
 
@@ -105,22 +112,36 @@ class WordCache:
         return key[1:] if key[0] == "\r" else " " + key
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
-        keys = [self._pieces(t) for t in texts]
-        need = set()
-        for k in keys:
-            if k is not None:
-                need.update(k)
-        known = self.known
-        new = [k for k in need if k not in known]
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = list(need)
-        if new:
-            known.update(zip(new, self.encode([self._piece(k) for k in new])))
-        whole = [i for i, k in enumerate(keys) if k is None and texts[i]]
-        coded = dict(zip(whole, self.encode([texts[i] for i in whole]))) if whole else {}
-        get = known.__getitem__
-        return [b"".join(map(get, k)) if k is not None else coded.get(i, b"") for i, k in enumerate(keys)]
+        out: list = [b""] * len(texts)
+        whole, gaps, lookup = [], [], self.known.get
+        for i, t in enumerate(texts):
+            keys = self._pieces(t)
+            if keys is None:
+                if t:
+                    whole.append(i)
+                continue
+            found = list(map(lookup, keys))
+            if all(found):
+                out[i] = b"".join(found)
+            else:
+                at = [j for j, x in enumerate(found) if not x]
+                gaps.append((i, found, at, [keys[j] for j in at]))
+        if gaps:
+            wanted = {k for *_, keys in gaps for k in keys}
+            coded = {k: self.old[k] for k in wanted if k in self.old}  # words still in use move on to the new half
+            new = [k for k in wanted if k not in coded]
+            coded.update(zip(new, self.encode([self._piece(k) for k in new])))
+            for i, found, at, keys in gaps:
+                for j, k in zip(at, keys):
+                    found[j] = coded[k]
+                out[i] = b"".join(found)
+            if len(self.known) + len(coded) > self.limit // 2:
+                self.old, self.known = self.known, {}
+            self.known.update(coded)
+        if whole:
+            for i, ids in zip(whole, self.encode([texts[i] for i in whole])):
+                out[i] = ids
+        return out
 
 
 _caches: dict[tuple, WordCache] = {}
