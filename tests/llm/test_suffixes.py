@@ -65,3 +65,19 @@ def test_small_rows(spark):
 def test_whole_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert result(queries.QUERIES["op5_suffix_dedup"](spark, sf_dir)) == brute(rows)
+
+
+def test_trimmed_pieces_keep_their_owners():
+    r = random.Random(9)
+    for _ in range(200):
+        core, n = "".join(r.choice("ab") for _ in range(8)), r.randint(2, 6)
+        lefts = ["".join(r.choice("ab") for _ in range(r.randint(0, 6))) for _ in range(3)]
+        rights = ["".join(r.choice("ab") for _ in range(r.randint(4, 9))) for _ in range(3)]
+        pieces = list({(le := r.choice(lefts)) + core + r.choice(rights): len(le) for _ in range(n)}.items())
+        text, middle, owners = [p.encode() for p, _ in pieces], [m for _, m in pieces], [r.randint(0, 9) for _ in pieces]
+        if len(text) > 1:
+            got = suffixes.piece_owners(text, middle, owners, 12)
+            for p, m, o, g in zip(text, middle, owners, got):
+                for i in range(len(p) - 11):
+                    want = min(w for q, k, w in zip(text, middle, owners) if 0 <= k - m + i and q[k - m + i : k - m + i + 12] == p[i : i + 12])
+                    assert want >= g[i] and min([w for q, w in zip(text, owners) if p[i : i + 12] in q]) <= g[i]

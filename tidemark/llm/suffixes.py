@@ -5,10 +5,11 @@ leftmost smallest hash among the short strings inside it. Equal windows have equ
 
 1. ``anchors``: a task sends the minimizers of its texts, as packed arrays, to ranges of hash values; a range's task
    finds those that more than one document holds.
-2. The stretches of text around those (all windows of the minimizer, about 65 bytes) go to their range. Equal stretches
-   are aggregated to one with its smallest document; the different stretches of a minimizer are suffix-sorted, and
-   windows that meet in the suffix array share the smallest document of all.
-3. Covered ranges return to their documents, which cut them out.
+2. Runs of shared minimizers are cut into stretches by content, so equal passages give equal stretches. Those are
+   aggregated to one with its smallest document: every other document is covered by it there.
+3. Each different stretch sends its minimizers with their windows (about 65 bytes) to ranges again; the different
+   pieces of a minimizer are suffix-sorted, and windows that meet in the suffix array share the smallest document.
+4. Covered ranges return to their documents, which cut them out.
 
 Copies are never expanded into pairs: a string that many documents hold is one piece with one smallest document, and a
 task sends a hot minimizer to its range once.
@@ -31,11 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, texts_of
+from tidemark.llm.common import stored, text_batches, texts_of
 
 WINDOW, GRAM = 50, 20
 #: Bytes of text per range of hash values.
 RANGE_BYTES = 6_000_000
+#: Characters whose minimizers a task sends at once.
+PART_CHARS = 6_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -108,7 +111,9 @@ def suffix_array(text: list[int]) -> list[int]:
 
 
 def window_owners(pieces: list[bytes], owners: list[int], window: int = WINDOW) -> list[np.ndarray]:
-    """For each piece, the smallest owner of each of its windows among all pieces."""
+    """For each piece (all different), the smallest owner of each of its windows among all pieces."""
+    if len(pieces) == 1:
+        return [np.full(max(len(pieces[0]) - window + 1, 0), owners[0], np.int64)]
     text: list[int] = []
     begin = []
     for p in pieces:
@@ -154,11 +159,11 @@ _table: list = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
 def minimizers(data: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """(hash, first window, last window) of each maximal run of windows that share a minimizer."""
+    """(hash, first window, last window, place) of each maximal run of windows that share a minimizer."""
     n = len(data) - window + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none
     if len(_table[0]) < len(data) + 1:
         _table[:] = _powers(1 << len(data).bit_length())
     up, down = _table
@@ -177,7 +182,49 @@ def minimizers(data: np.ndarray, window: int = WINDOW, gram: int = GRAM):
         width += d
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.append(first[1:], len(at)) - 1
-    return h[at[first]], first, last
+    return h[at[first]], first, last, at[first]
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[:mid] == b[:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _reach(parts: list[bytes]) -> list[int]:
+    """For each string, its longest common prefix with any other: sorted neighbours have it."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    near = [_common(parts[i], parts[j]) for i, j in zip(order, order[1:])]
+    out = [0] * len(parts)
+    for k, i in enumerate(order):
+        out[i] = max(near[k - 1] if k else 0, near[k] if k < len(near) else 0)
+    return out
+
+
+def piece_owners(pieces: list[bytes], middles: list[int], owners: list[int], window: int = WINDOW) -> list[np.ndarray]:
+    """``window_owners`` of pieces around one minimizer, at ``middles``. Only the part of a piece that reaches as far
+    from the minimizer as it agrees with some other piece can hold a shared window; the rest is not sorted."""
+    right = _reach([p[m:] for p, m in zip(pieces, middles)])
+    left = _reach([p[:m][::-1] for p, m in zip(pieces, middles)])
+    found = [np.full(len(p) - window + 1, o, np.int64) for p, o in zip(pieces, owners)]
+    begin = [m - n for m, n in zip(middles, left)]
+    kept = [i for i in range(len(pieces)) if left[i] + right[i] >= window]
+    if kept:
+        parts = [pieces[i][begin[i] : middles[i] + right[i]] for i in kept]
+        least: dict[bytes, int] = {}
+        for i, p in zip(kept, parts):
+            least[p] = min(owners[i], least.get(p, owners[i]))
+        sorted_out = dict(zip(least, window_owners(list(least), list(least.values()), window)))
+        for i, p in zip(kept, parts):
+            o = sorted_out[p]
+            found[i][begin[i] : begin[i] + len(o)] = o
+    return found
 
 
 def _to_range(h: np.ndarray, n_ranges: int) -> np.ndarray:
@@ -186,19 +233,37 @@ def _to_range(h: np.ndarray, n_ranges: int) -> np.ndarray:
 
 def _row_of(to: int, docs, tids, h, local, first) -> tuple:
     used, local = np.unique(local, return_inverse=True)
-    return to, docs[used].tobytes(), tids[used].tobytes(), h.tobytes(), local.astype("<u4").tobytes(), first.astype("<u4").tobytes()
+    return to, docs[used].tobytes(), tids[used].tobytes(), _short(h), local.astype("<u4" if len(used) > 1 << 16 else "<u2").tobytes(), first.astype("<u4").tobytes()
+
+
+def _short(h: np.ndarray) -> bytes:
+    """The upper 48 bits of hashes: a false match costs a look at the bytes, no more."""
+    return (h >> np.uint64(32)).astype("<u4").tobytes() + ((h >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
+def _unpacked(row: dict):
+    """(docs, tids, firsts, hashes) of a row, one entry per minimizer."""
+    docs, first = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["first"], "<u4")
+    local = np.frombuffer(row["local"], "<u4" if len(docs) > 1 << 16 else "<u2")
+    n = len(row["hashes"]) // 6
+    h = np.frombuffer(row["hashes"], "<u4", n).astype(np.uint64) << np.uint64(16) | np.frombuffer(row["hashes"], "<u2", n, 4 * n)
+    return docs[local], np.frombuffer(row["tids"], np.int64)[local], first, h
 
 
 def _anchors_sent(n_ranges: int):
     """Packed minimizers, one row per range. Those that two documents of a batch share need no range to find them out:
     they are sent on as such (no hashes), and only one of each takes part in the search."""
 
-    def run(batches):
+    def parts(batches):
         for b in batches:
-            docs, tids = np.array(b["doc_id"].to_pylist(), np.int64), np.array(b["tid"].to_pylist(), np.int64)
-            found = [minimizers(np.frombuffer(t.encode(), np.uint8))[:2] for t in texts_of(b["text"])]
-            if not len(docs):
-                continue
+            texts = texts_of(b["text"])
+            docs, tids = b["doc_id"].to_numpy(), b["tid"].to_numpy()
+            for s, e in text_batches(texts, PART_CHARS):
+                yield docs[s:e], tids[s:e], texts[s:e]
+
+    def run(batches):
+        for docs, tids, texts in parts(batches):
+            found = [minimizers(np.frombuffer(t.encode(), np.uint8))[:2] for t in texts]
             h, first = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
             local = np.repeat(np.arange(len(docs)), [len(x[0]) for x in found])
             if not len(h):
@@ -242,18 +307,14 @@ def _groups(batches, key: str):
 def _shared_anchors(batches):
     """Per document: the starts of stretches whose minimizer another document holds too."""
     for _, rows in _groups(batches, "range"):
-        kept = []
-        open_rows = [r for r in rows if r["hashes"]]
-        for r in rows:
-            if not r["hashes"]:
-                local = np.frombuffer(r["local"], "<u4")
-                kept.append((np.frombuffer(r["docs"], np.int64)[local], np.frombuffer(r["tids"], np.int64)[local], np.frombuffer(r["first"], "<u4")))
-        if open_rows:
-            local = [np.frombuffer(r["local"], "<u4") for r in open_rows]
-            h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in open_rows])
-            doc = np.concatenate([np.frombuffer(r["docs"], np.int64)[x] for r, x in zip(open_rows, local)])
-            tid = np.concatenate([np.frombuffer(r["tids"], np.int64)[x] for r, x in zip(open_rows, local)])
-            first = np.concatenate([np.frombuffer(r["first"], "<u4") for r in open_rows])
+        kept, searched = [], []
+        for r in map(_unpacked, rows):
+            if len(r[3]):
+                searched.append(r)
+            else:
+                kept.append(r[:3])
+        if searched:
+            doc, tid, first, h = (np.concatenate(c) for c in zip(*searched))
             order = np.argsort(h, kind="stable")
             hs, ds = h[order], doc[order]
             cut = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
@@ -273,84 +334,108 @@ def _shared_anchors(batches):
         )
 
 
-PIECE = "hash long, piece_id long, doc_id long, tid long, first int, piece binary"
+STRETCH = "s1 long, s2 long, doc_id long, tid long, start int, stretch binary"
+#: One in so many minimizers ends a stretch, so that equal passages are cut alike wherever they stand.
+CUT = 16
 
 
-def _pieces(batches):
-    """The stretches of each document at the given starts."""
+def _stretches(batches):
+    """Runs of shared minimizers of each document, cut where a minimizer's hash says so."""
     for b in batches:
         out = [[] for _ in range(6)]
         for doc, tid, text, lists in zip(*(b[c].to_pylist() for c in ("doc_id", "tid", "text", "firsts"))):
             raw = text.encode()
-            h, first, last = minimizers(np.frombuffer(raw, np.uint8))
-            wanted = np.isin(first, np.concatenate([np.frombuffer(x, "<u4") for x in lists]))
-            h, first, last = h[wanted], first[wanted], last[wanted]
-            pieces = [raw[s : e + WINDOW] for s, e in zip(first.tolist(), last.tolist())]
-            values = (h.view(np.int64).tolist(), [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in pieces], [doc] * len(h), [tid] * len(h), first.tolist(), pieces)
+            h, first, last, _ = minimizers(np.frombuffer(raw, np.uint8))
+            shared = np.isin(first, np.concatenate([np.frombuffer(x, "<u4") for x in lists]))
+            at = np.flatnonzero(shared)
+            if not len(at):
+                continue
+            cut = (np.diff(at) != 1) | (h[at[:-1]] % np.uint64(CUT) == 0)
+            begin = first[at[np.concatenate([[True], cut])]].tolist()
+            end = (last[at[np.concatenate([cut, [True]])]] + WINDOW).tolist()
+            pieces = [raw[s:e] for s, e in zip(begin, end)]
+            values = (
+                [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in pieces], [xxhash.xxh64_intdigest(p) - (1 << 63) for p in pieces],
+                [doc] * len(pieces), [tid] * len(pieces), begin, pieces,
+            )
             for column, value in zip(out, values):
                 column += value
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [f.split()[0] for f in PIECE.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [f.split()[0] for f in STRETCH.split(", ")])
+
+
+PIECE = "hash long, s1 long, s2 long, least long, off int, middle int, piece binary"
+
 
+def _pieces(batches):
+    """The windows of each minimizer of different stretches, with the stretch's smallest document."""
+    for b in batches:
+        rows = zip(*(b[c].to_pylist() for c in ("s1", "s2", "least", "stretch")))
+        out = [[] for _ in range(7)]
+        for s1, s2, least, raw in rows:
+            h, first, last, place = minimizers(np.frombuffer(raw, np.uint8))
+            middle, first, last = (place - first).tolist(), first.tolist(), last.tolist()
+            pieces = [raw[s : e + WINDOW] for s, e in zip(first, last)]
+            for column, value in zip(out, (h.view(np.int64).tolist(), [s1] * len(h), [s2] * len(h), [least] * len(h), first, middle, pieces)):
+                column += value
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [f.split()[0] for f in PIECE.split(", ")])
 
-def _window_owners(batches):
-    """Different pieces, sorted by minimizer, with their smallest documents -> each window's smallest document.
 
-    ``owners`` is one document if all windows share it, else one per window."""
-    hashes, ids, owners = [], [], []
+def _owned(batches):
+    """Pieces sorted by minimizer -> windows of a stretch that a smaller document than the stretch's own holds."""
+    out: list[list] = [[], [], [], []]
 
     def judge(rows):
-        pieces, least = [r[1] for r in rows], [r[2] for r in rows]
-        found = window_owners(pieces, least) if len(rows) > 1 else [np.array(least)]
-        for (pid, _, _), o in zip(rows, found):
-            hashes.append(now)
-            ids.append(pid)
-            owners.append((o[:1] if (o == o[0]).all() else o).astype("<i8").tobytes())
+        if all(r[3] == rows[0][3] for r in rows):
+            return
+        least: dict[bytes, int] = {}
+        middle = {}
+        for piece, _, _, owner, _, m in rows:
+            least[piece] = min(owner, least.get(piece, owner))
+            middle[piece] = m
+        pieces = list(least)
+        if len(pieces) > 1:
+            owners = dict(zip(pieces, piece_owners(pieces, [middle[p] for p in pieces], [least[p] for p in pieces])))
+        else:
+            owners = {pieces[0]: np.array([least[pieces[0]]])}
+        for piece, s1, s2, owner, off, _ in rows:
+            o = owners[piece]
+            if len(pieces) == 1:
+                runs = [(0, len(piece))] if o[0] < owner else []
+            else:
+                under = np.flatnonzero(o < owner)
+                if not len(under):
+                    continue
+                cut = np.flatnonzero(np.diff(under) != 1)
+                runs = zip(under[np.append(0, cut + 1)].tolist(), (under[np.append(cut, len(under) - 1)] + WINDOW).tolist())
+            for s, e in runs:
+                for column, value in zip(out, (s1, s2, off + s, off + e)):
+                    column.append(value)
 
     def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64()), pa.array(owners, pa.binary())], ["hash", "piece_id", "owners"])
-        for c in (hashes, ids, owners):
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["s1", "s2", "start", "end"])
+        for c in out:
             c.clear()
-        return out
+        return batch
 
     now, rows = None, []
     for b in batches:
-        for h, pid, piece, least in zip(*(b[c].to_pylist() for c in ("hash", "piece_id", "piece", "least"))):
+        for h, *row in zip(*(b[c].to_pylist() for c in ("hash", "piece", "s1", "s2", "least", "off", "middle"))):
             if h != now and rows:
-                judge(rows)
+                if len(rows) > 1:
+                    judge(rows)
                 rows = []
             now = h
-            rows.append((pid, piece, least))
-        if len(hashes) > 20_000:
+            rows.append(row)
+        if len(out[0]) > 50_000:
             yield flush()
-    if rows:
+    if len(rows) > 1:
         judge(rows)
     yield flush()
 
 
-def _covered(batches):
-    """Byte ranges of a document's stretch that smaller documents own."""
-    for b in batches:
-        docs, tids, starts, ends = [], [], [], []
-        for doc, tid, first, size, own in zip(*(b[c].to_pylist() for c in ("doc_id", "tid", "first", "size", "owners"))):
-            o = np.frombuffer(own, "<i8")
-            if len(o) == 1:
-                runs = [(0, size)] if o[0] < doc else []
-            else:
-                under = np.flatnonzero(o < doc)
-                if not len(under):
-                    continue
-                cut = np.flatnonzero(np.diff(under) != 1)
-                runs = zip(under[np.append(0, cut + 1)].tolist(), (under[np.append(cut, len(under) - 1)] + WINDOW).tolist())
-            for s, e in runs:
-                docs.append(doc)
-                tids.append(tid)
-                starts.append(first + s)
-                ends.append(first + e)
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((docs, tids, starts, ends), types)], ["doc_id", "tid", "start", "end"])
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
 
@@ -365,12 +450,20 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
     shared = stored(dealt.mapInArrow(_shared_anchors, "doc_id long, tid long, first binary"))
     firsts = shared.groupBy("doc_id", "tid").agg(F.collect_list("first").alias("firsts"))
     texts = src.dropDuplicates(["doc_id", "tid"]) if _repeats(src) else src
-    pieces = stored(texts.join(firsts, ["doc_id", "tid"]).mapInArrow(_pieces, PIECE))
-    different = pieces.groupBy("hash", "piece_id", "piece").agg(F.min("doc_id").alias("least"))
-    owners = different.repartition(n_ranges, "hash").sortWithinPartitions("hash").mapInArrow(_window_owners, "hash long, piece_id long, owners binary")
-    held = pieces.select("hash", "piece_id", "doc_id", "tid", "first", F.octet_length("piece").alias("size")).join(stored(owners), ["hash", "piece_id"])
-    found = held.mapInArrow(_covered, "doc_id long, tid long, start int, end int")
-    return stored(found.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
+    stretches = stored(texts.join(firsts, ["doc_id", "tid"]).mapInArrow(_stretches, STRETCH))
+    different = stretches.groupBy("s1", "s2", "stretch").agg(F.min("doc_id").alias("least"))
+    pieces = different.mapInArrow(_pieces, PIECE).repartition(n_ranges, "hash").sortWithinPartitions("hash")
+    owned = stored(pieces.mapInArrow(_owned, "s1 long, s2 long, start int, end int"))
+    parts = owned.groupBy("s1", "s2").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
+    held = stretches.select("s1", "s2", "doc_id", "tid", "start", F.octet_length("stretch").alias("size"))
+    least = held.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
+    whole = held.join(least, ["s1", "s2"])
+    covered = whole.filter("doc_id > least").select("doc_id", "tid", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("z"))
+    # windows that the smallest document of a stretch shares with still smaller ones
+    first = whole.filter("doc_id = least").join(parts, ["s1", "s2"]).select("doc_id", "tid", "start", F.explode("parts").alias("p"))
+    first = first.select("doc_id", "tid", (F.col("start") + F.col("p.start")).alias("a"), (F.col("start") + F.col("p.end")).alias("z"))
+    ranges = F.collect_list(F.struct(F.col("a").cast("int").alias("start"), F.col("z").cast("int").alias("end")))
+    return stored(covered.unionByName(first).groupBy("doc_id", "tid").agg(ranges.alias("ranges")))
 
 
 def _repeats(src: DataFrame) -> bool:
