@@ -473,7 +473,7 @@ def _repeats(src: DataFrame) -> bool:
 
 def _merged(ranges) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for r in sorted((r["start"], r["end"]) for r in ranges or ()):
+    for r in sorted((r["start"], r["end"]) for r in (() if ranges is None else ranges)):
         if out and r[0] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], r[1])
         else:
