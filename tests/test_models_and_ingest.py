@@ -91,6 +91,16 @@ def test_garch_does_not_look_ahead(spark):
     assert part == {k: v for k, v in whole.items() if k <= 95}
 
 
+def test_garch_queries_refit_every_21_rows(spark, monkeypatch):
+    monkeypatch.setattr(garch, "GRID", 4)  # the schedule is tested, not the fit
+    d = "/root/testdata/sf0.001"
+    sizes = {r.asset: r["count"] for r in b.daily_bars(spark, d).groupBy("asset").count().collect()}
+    got = sorted((r.asset, r.refit_pos) for r in entry.queries()["m04_garch_parameters"](spark, d).select("asset", "refit_pos").collect())
+    assert got == sorted((a, p) for a, n in sizes.items() for p in range(252, n, 21))
+    steps = entry.queries()["m06_garch_feature"](spark, d).groupBy("asset").agg(F.count_distinct("garch_cond_var").alias("k"), F.count("garch_cond_var").alias("n")).collect()
+    assert {r.asset: r.n for r in steps} == {a: n - 252 for a, n in sizes.items()}
+
+
 def test_gate_and_ingest(spark):
     good, other = walk(spark, 1, 40), walk(spark, 1, 40, 7).withColumn("asset", F.lit("B"))
     bad = other.withColumn("high", F.when(F.dayofmonth("date") == 5, F.col("low") - 1).otherwise(F.col("high")))

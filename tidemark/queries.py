@@ -780,21 +780,20 @@ def m03_har_forecast(spark, d):
     return har.har_forecast(df, "sq_ret").filter("har_var is not null").select("asset", "date", "har_var")
 
 
-def _garch(spark, d, step=252):
+def _garch(spark, d):
     df = folds.with_positions(_features(spark, d))
-    return df, garch.fit_parameters(df, step=step), step
+    return df, garch.fit_parameters(df)
 
 
 @query()
 def m04_garch_parameters(spark, d):
-    _, params, _ = _garch(spark, d)
-    return params
+    return _garch(spark, d)[1]
 
 
 @query()
 def m06_garch_feature(spark, d):
-    df, params, step = _garch(spark, d)
-    return garch.garch_forecast(df, params, step=step).select("asset", "date", F.col("garch_var").alias("garch_cond_var"))
+    df, params = _garch(spark, d)
+    return garch.garch_forecast(df, params).select("asset", "date", F.col("garch_var").alias("garch_cond_var"))
 
 
 _PARAMS = [("AF", 252, 1.0, 0.1, 0.8, 9.0, 5.0, None, "ok"), ("AF", 504, None, None, None, None, None, None, "no_convergence"), ("AF", 756, 2.0, 0.05, 0.9, 4.0, -3.0, None, "ok"), ("NF", 252, None, None, None, None, None, None, "numerical"), ("NF", 504, 1.5, 0.2, 0.7, 8.0, 1.0, None, "ok")]
