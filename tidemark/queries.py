@@ -829,7 +829,10 @@ _WIDTH = len(pooled.FEATURES) + 1
 
 @query()
 def m08_tuning(spark, d):
-    return pooled.tune(_design(spark, d), _WIDTH, 500)
+    sizes = _bars(spark, d).groupBy("asset").agg(F.count("*").alias("n"))
+    last = folds.min_fold_count(sizes, folds.fold_table(sizes)) - 1  # the last fold that all assets have
+    train_end = folds.MIN_TRAIN + (folds.skipped() + last) * folds.STEP - folds.HORIZON
+    return pooled.best_combo(pooled.tune(_design(spark, d), _WIDTH, train_end))
 
 
 @query()
