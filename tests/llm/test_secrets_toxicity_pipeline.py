@@ -59,6 +59,11 @@ def test_scan_against_naive():
         assert secrets.scan(t) == naive_spans(t)
 
 
+def test_long_words_enter_whole():
+    assert len(toxicity._grams("a" * 90)) == 90
+    assert toxicity._grams("a" * 60 + "bad") != toxicity._grams("a" * 60 + "dab")
+
+
 def test_secret_query(spark, sf_dir):
     rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = queries.QUERIES["op2_secret_scan"](spark, sf_dir).collect()

@@ -42,7 +42,7 @@ def words_of(text: str) -> list[str]:
 
 
 def _grams(word: str) -> list[int]:
-    w = f"^{word[:40]}$".encode()
+    w = f"^{word}$".encode()
     return [((w[i] * 961 + w[i + 1] * 31 + w[i + 2]) * 2654435761 >> 7) % GRAMS for i in range(len(w) - 2)]
 
 
