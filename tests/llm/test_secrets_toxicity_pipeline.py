@@ -59,6 +59,11 @@ def test_scan_against_naive():
         assert secrets.scan(t) == naive_spans(t)
 
 
+def test_digit_runs_can_be_secrets():
+    assert secrets.scan("id 83920174650918273645 end") == [(3, 3, 23)]
+    assert secrets.scan("id 11111222221111122222 end") == []
+
+
 def test_long_words_enter_whole():
     assert len(toxicity._grams("a" * 90)) == 90
     assert toxicity._grams("a" * 60 + "bad") != toxicity._grams("a" * 60 + "dab")

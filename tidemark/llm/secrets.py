@@ -33,8 +33,8 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 WINDOW = 20
-#: Entropy in bits per character that a window must reach, by the class of its characters.
-THRESHOLDS = {"digits": 9.9, "hex": 2.6, "letters": 4.1, "mixed": 3.7}
+#: Entropy in bits per character that a window must reach, by the class of its characters (ten digits give 3.32 at most).
+THRESHOLDS = {"digits": 2.9, "hex": 2.6, "letters": 4.1, "mixed": 3.7}
 
 #: Candidates matching one of these are no secrets: UUIDs, words joined by marks, one repeated character, and paths.
 ALLOW = (
