@@ -65,6 +65,31 @@ def test_small_rows(spark):
     assert suffixes.dedup_report(df.limit(0)).count() == 0 and suffixes.cut_docs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_frequent_minimizers(spark, hot):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 9)))
+    phrase = " a phrase of forty bytes that all of us hold "
+    rows = [(i, " ".join(word() for _ in range(8)) + phrase + " ".join(word() for _ in range(r.randint(1, 8)))) for i in range(150)]
+    rows += [(200 + i, rows[r.randint(0, 149)][1][5 : r.randint(60, 130)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: n for d, _, n, _, _ in brute(rows)}
+    got = {}
+    for x in suffixes.covered_ranges(df, hot).collect():
+        got[x.doc_id] = sum(e - s for s, e in suffixes._merged(x.ranges))
+    assert got == {d: n for d, n in want.items() if n}
+
+
+def test_columns_of_any_name(spark):
+    text = "the same passage of more than fifty bytes stands in two documents"
+    rows = [(1, text, 1, "k", "d", "t", "r"), (2, "x " + text, 2, "k", "d", "t", "r"), (None, text, 3, None, None, None, None), (3, None, 4, "", "", "", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, _key string, _doc string, _tid string, _ranges string")
+    df = df.selectExpr("*", "1 as keys", "2 as class_id", "3 as key", "4 as ranges", "5 as tid", "6 as doc", "7 as `a.b`")
+    got = {(r.doc_id, r.text): r for r in suffixes.cut_docs(df).collect()}
+    assert set(got) == {(1, text), (2, "x "), (None, text), (3, None)} and got[2, "x "].n_chars == 2
+    assert [got[2, "x "][c] for c in df.columns[3:]] == ["k", "d", "t", "r", 1, 2, 3, 4, 5, 6, 7]
+
+
 def test_whole_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert result(queries.QUERIES["op5_suffix_dedup"](spark, sf_dir)) == brute(rows)

@@ -19,19 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_batches, texts_of
-from tidemark.llm.tokens import WordCache
+from tidemark.llm.common import slices, texts_of
+from tidemark.llm.tokens import WordCache, byte_letters
 
 NONE = np.iinfo(np.int32).max
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in byte-level vocabularies, by the published rule."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Vocabulary:
     """What a byte-level BPE file says: token bytes, pair ranks and special tokens."""
 
@@ -111,8 +104,8 @@ def merge_rounds(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
     return sym[order], np.bincount(word, minlength=len(words))
 
 
-def encode_pieces(v: Vocabulary, pieces: list[str]) -> list[bytes]:
-    """Id bytes (little-endian unsigned 32-bit) of each piece of text."""
+def encode_pieces(v: Vocabulary, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ids per piece) of pieces of text."""
     words: list[bytes] = []
     special_at, special_id, per = [], [], []
     for p in pieces:
@@ -137,8 +130,13 @@ def encode_pieces(v: Vocabulary, pieces: list[str]) -> list[bytes]:
         out[~is_special] = ids
         ids = out
     ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per)])]
-    ids = ids.astype("<u4")
-    return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+    return ids.astype(np.uint32), np.diff(ends)
+
+
+def encode_plain(v: Vocabulary, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ids per pre-token) of pre-tokens."""
+    ids, n = merge_rounds(v, [p.encode() for p in parts])
+    return ids.astype(np.uint32), n
 
 
 _codecs: dict[str, tuple[Vocabulary, WordCache]] = {}
@@ -147,8 +145,9 @@ _codecs: dict[str, tuple[Vocabulary, WordCache]] = {}
 def codec(name: str) -> tuple[Vocabulary, WordCache]:
     """Vocabulary and word cache of a Python worker."""
     if name not in _codecs:
+        _codecs.clear()
         v = Vocabulary(name)
-        _codecs[name] = v, WordCache(lambda pieces: encode_pieces(v, pieces), keep_space=True)
+        _codecs[name] = v, WordCache(lambda pieces: encode_pieces(v, pieces), keep_space=True, plain=lambda parts: encode_plain(v, parts))
     return _codecs[name]
 
 
@@ -157,13 +156,10 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         _, cache = codec(tokenizer)
-        for b in batches:
-            texts = texts_of(b["text"])
-            for s, e in text_batches(texts):
-                ids = [np.frombuffer(c, "<u4").astype(np.int32) for c in cache.encode_texts(texts[s:e])]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                yield pa.RecordBatch.from_arrays([b["doc_id"][s:e], pa.ListArray.from_arrays(ends, flat)], ["doc_id", "ids"])
+        for b in slices(batches):
+            ids, n = cache.encode_flat(texts_of(b["text"]))
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -186,16 +182,14 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         v, cache = codec(tokenizer)
         names = np.array([str(i) for i in range(len(v.bytes))], dtype=object)
-        for b in batches:
-            texts = texts_of(b["text"])
-            for s, e in text_batches(texts):
-                ids = [np.frombuffer(c, "<u4") for c in cache.encode_texts(texts[s:e])]
-                listed = [hashlib.sha256(",".join(names[x].tolist()).encode()).hexdigest() for x in ids]
-                decoded = [hashlib.sha256(v.decode(x)).hexdigest() for x in ids]
-                n = pa.array([len(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"][s:e], n, pa.array(listed), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                )
+        for b in slices(batches):
+            flat, n = cache.encode_flat(texts_of(b["text"]))
+            ids = np.split(flat, np.cumsum(n)[:-1])
+            listed = [hashlib.sha256(",".join(names[x].tolist()).encode()).hexdigest() for x in ids]
+            decoded = [hashlib.sha256(v.decode(x)).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], pa.array(n), pa.array(listed), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a local one is set only where none is."""
+    """A new folder in the cluster's shared checkpoint folder; only a local master may go without one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -52,6 +58,25 @@ def with_part_offsets(df: DataFrame, part: str, length: str, out: str) -> DataFr
     return df.join(F.broadcast(offsets) if totals.count() <= BROADCAST_PARTS else offsets, part)
 
 
+def aside(docs: DataFrame, *named: str) -> DataFrame:
+    """``docs`` with all columns but ``named`` renamed, so that helper columns clash with none of them."""
+    return docs.select(*(F.col(f"`{c}`") if c in named else F.col(f"`{c}`").alias(f"_in_{c}") for c in docs.columns))
+
+
+def restored(df: DataFrame, columns: list[str], *named: str) -> DataFrame:
+    """The columns of a frame that went through ``aside``, under their names and in their order."""
+    return df.select(*(F.col(f"`{c}`") if c in named else F.col(f"`_in_{c}`").alias(c) for c in columns))
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def text_batches(texts, limit: int = BATCH_CHARS):
     """Yields (start, stop) ranges of a list of texts, each of about ``limit`` characters."""
     start = size = 0
@@ -64,6 +89,29 @@ def text_batches(texts, limit: int = BATCH_CHARS):
         yield start, len(texts)
 
 
+def slices(batches, column: str = "text", limit: int = BATCH_CHARS):
+    """Arrow batches cut into slices of about ``limit`` bytes of text, so that few texts are Python strings at a time.
+    After the last one, memory that the worker no longer needs goes back to the system: workers live on."""
+    try:
+        for b in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < b.num_rows:
+                done = int(ends[start - 1]) if start else 0
+                stop = max(int(np.searchsorted(ends, done + limit)) + 1, start + 1)
+                yield b.slice(start, stop - start)
+                start = stop
+    finally:
+        released()
+
+
+def released() -> None:
+    """Gives freed memory of this Python worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems' C libraries lack it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def texts_of(column) -> list[str]:
     """Texts of an Arrow column; null counts as empty."""
     return [t or "" for t in column.to_pylist()]

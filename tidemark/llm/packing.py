@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
-from tidemark.llm.common import stored, text_batches, texts_of, with_part_offsets
+from tidemark.llm.common import slices, stored, texts_of, with_part_offsets
 
 SEQUENCE = 2048
 
@@ -38,18 +38,17 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         part, pos = TaskContext.get().partitionId(), 0
-        cache, end = tokens.library_cache(tokenizer, False), np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            texts = texts_of(b["text"])
-            for s, e in text_batches(texts):
-                coded = [np.frombuffer(c + end, "<u4").astype("<u2") for c in cache.encode_texts(texts[s:e])]
-                n = np.array([len(c) for c in coded], np.int64)
-                at = pos + np.cumsum(n) - n
-                pos += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), part), pa.int32()), pa.array(at), b["doc_id"][s:e], pa.array(n), pa.array([c.tobytes() for c in coded], pa.binary())],
-                    ["part", "part_pos", "doc_id", "n", "ids"],
-                )
+        cache, end = tokens.library_cache(tokenizer, False), np.array([end_id], "<u2").tobytes()
+        for b in slices(batches):
+            ids, n = cache.encode_flat(texts_of(b["text"]))
+            raw, ends = ids.astype("<u2").tobytes(), (2 * np.cumsum(n)).tolist()
+            coded = pa.array([raw[s:e] + end for s, e in zip([0, *ends], ends)], pa.binary())
+            n = n + 1
+            at = pos + np.cumsum(n) - n
+            pos += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), part), pa.int32()), pa.array(at), b["doc_id"], pa.array(n), coded], ["part", "part_pos", "doc_id", "n", "ids"]
+            )
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return stored(src.mapInArrow(run, "part int, part_pos long, doc_id long, n long, ids binary"))

@@ -1,14 +1,14 @@
 """Token-id files compressed by Re-Pair, with random access.
 
 Documents are dealt to shards in ascending doc_id order. In each shard frequent id pairs are replaced by new symbols
-(nonterminals) in rounds: a round counts all adjacent pairs, takes the most frequent ones that cannot overlap, and
-replaces every occurrence. No pair crosses a document's end, so each document expands on its own; every rule's expansion
+(nonterminals) in rounds, until no pair is frequent any more: a round takes the most frequent pairs that cannot overlap,
+replaces every occurrence, and brings the counts of the pairs around these places up to date. No pair crosses a document's end, so each document expands on its own; every rule's expansion
 length is stored, so a range of ids is found without expanding what lies before it.
 
 File format (one Parquet row per shard, binary fields little-endian): part, shard, before (ids of the part's earlier
 shards), n_ids, doc_ids int64, doc_lengths
 uint32 (ids per document), doc_symbols uint32 (symbols per document), left/right uint32 and lengths uint32 (rules; rule r
-is symbol base + r), base, width (bytes per symbol), symbols.
+is symbol base + r), base, width (bytes per symbol: 2, or 3 with the highest bytes behind the rest), symbols.
 
 Null texts are empty documents that hold the end id only. Rows with a null or repeated doc_id keep a row each (nulls
 first). Very long documents stay whole in a shard of their own size. Extra columns are ignored.
@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
-from tidemark.llm.common import stored, text_batches, texts_of, with_part_offsets
+from tidemark.llm.common import slices, stored, texts_of, with_part_offsets
 
 SHARD_IDS = 400_000
 #: Stands for a null doc_id in a shard's directory.
 NULL_ID = np.iinfo(np.int64).min
-ROUNDS, RULES_PER_ROUND, MIN_COUNT, MAX_SYMBOLS = 6, 2500, 6, (1 << 16) - 1
+#: A rule takes 12 bytes and an occurrence of its pair saves 2 to 3, so rarer pairs are no gain.
+MIN_COUNT, MAX_SYMBOLS = 6, 1 << 24
 
 SHARD_SCHEMA = (
     "part int, shard int, before long, n_docs long, n_ids long, base int, width int, doc_ids binary, doc_lengths binary,"
@@ -39,11 +40,13 @@ SHARD_ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in (f.split() for f
 
 
 def _choose(keys: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
-    """The most frequent pairs of which none can overlap another: no symbol is a left and a right part at once."""
-    order = np.lexsort((keys, -counts))[: 2 * limit]
+    """The most frequent pairs of which none can overlap another: no symbol is a left and a right part at once. Pairs
+    far less frequent than the first wait for a later round, in which they may have become part of others."""
+    order = np.lexsort((keys, -counts))
+    order = order[counts[order] * 64 > counts[order[0]]]
     lefts, rights, taken = set(), set(), []
     for k in keys[order].tolist():
-        a, b = k >> 16, k & 0xFFFF
+        a, b = k >> 32, k & 0xFFFFFFFF
         if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
             continue
         lefts.add(a)
@@ -51,50 +54,80 @@ def _choose(keys: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
         taken.append(k)
         if len(taken) == limit:
             break
-    return np.array(sorted(taken), np.uint32)
+    return np.array(sorted(taken), np.int64)
 
 
-def compress(ids: np.ndarray, last: np.ndarray, base: int, max_symbols: int = MAX_SYMBOLS, rounds: int = ROUNDS):
-    """(symbols, last, left, right, lengths): ``last`` marks each document's last id, over which no pair goes."""
-    sym, left, right = ids.astype(np.int64), [], []
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = np.sort(keys)
+    start = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+    return found[start], np.diff(np.append(start, len(found)))
+
+
+def compress(ids: np.ndarray, last: np.ndarray, base: int, max_symbols: int = MAX_SYMBOLS, min_count: int = MIN_COUNT):
+    """(symbols, last, left, right, lengths): ``last`` marks each document's last id, over which no pair goes.
+
+    Rounds go on until no pair occurs ``min_count`` times. Pairs are counted once; then a round takes off what stood
+    around its replaced places and adds what stands there now. Pairs of older symbols only become rarer, so what is
+    once below the least count is forgotten."""
+    sym, left, right = ids.astype(np.int32), [], []
     lengths = np.ones(base, np.int64)
-    for _ in range(rounds):
-        room = min(RULES_PER_ROUND, max_symbols - len(lengths))
-        if room <= 0 or last[:-1].all():
-            break
-        narrow = sym.astype(np.uint32)  # symbols fit 16 bits, so a pair fits 32
-        key = narrow[:-1] << np.uint32(16) | narrow[1:]
-        found = np.sort(key[~last[:-1]])
-        start = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-        counts = np.diff(np.append(start, len(found)))
-        often = counts >= MIN_COUNT
-        chosen = _choose(found[start][often], counts[often], room)
-        if not len(chosen):
+    key = lambda at: sym[at].astype(np.int64) << 32 | sym[at + 1]
+    keys, counts = _counted(key(np.flatnonzero(~last[:-1])))
+    while True:
+        often = counts >= min_count
+        keys, counts = keys[often], counts[often]
+        if not len(keys) or len(lengths) >= max_symbols:
             break
+        chosen = _choose(keys, counts, max_symbols - len(lengths))
         is_left, is_right = np.zeros(len(lengths), bool), np.zeros(len(lengths), bool)
-        is_left[chosen >> 16] = True
-        is_right[chosen & 0xFFFF] = True
+        is_left[chosen >> 32] = True
+        is_right[chosen & 0xFFFFFFFF] = True
         at = np.flatnonzero(is_left[sym[:-1]] & is_right[sym[1:]] & ~last[:-1])
-        rule = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-        ok = chosen[rule] == key[at]
+        found = key(at)
+        rule = np.minimum(np.searchsorted(chosen, found), len(chosen) - 1)
+        ok = chosen[rule] == found
         at, rule = at[ok], rule[ok]
-        first = np.concatenate([[True], np.diff(at) != 1])  # in runs of one symbol every other pair is replaced
+        first = np.concatenate([[True], np.diff(at) != 1])[: len(at)]  # in runs of one symbol every other pair is replaced
         run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
         ok = (np.arange(len(at)) - run) % 2 == 0
         at, rule = at[ok], rule[ok]
+        touched = np.zeros(len(sym) + 1, bool)  # pairs by the place of their left symbol
+        touched[at] = touched[at + 1] = touched[at - 1] = True
+        gone, less = _counted(key(np.flatnonzero(touched[: len(sym) - 1] & ~last[:-1])))
         sym[at] = len(lengths) + rule
         last = last.copy()
         last[at] |= last[at + 1]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
+        now = at - np.arange(len(at))  # where the new symbols stand
         sym, last = sym[keep], last[keep]
-        left.append((chosen >> 16).astype(np.int64))
-        right.append((chosen & 0xFFFF).astype(np.int64))
+        touched = np.zeros(len(sym) + 1, bool)
+        touched[now] = touched[now - 1] = True
+        new, more = _counted(key(np.flatnonzero(touched[: len(sym) - 1] & ~last[:-1])))
+        where = np.minimum(np.searchsorted(keys, gone), len(keys) - 1)
+        hit = keys[where] == gone
+        counts[where[hit]] -= less[hit]
+        young = (new >> 32 >= len(lengths)) | (new & 0xFFFFFFFF >= len(lengths))
+        keys, counts = np.concatenate([keys, new[young]]), np.concatenate([counts, more[young]])
+        again, back = new[~young], more[~young]  # touched twice over: not really gone
+        if len(again):
+            where = np.minimum(np.searchsorted(keys[: len(keys) - int(young.sum())], again), len(keys) - 1)
+            hit = keys[where] == again
+            counts[where[hit]] += back[hit]
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        left.append(chosen >> 32)
+        right.append(chosen & 0xFFFFFFFF)
         lengths = np.concatenate([lengths, lengths[left[-1]] + lengths[right[-1]]])
     none = np.zeros(0, np.int64)
     return sym, last, np.concatenate([none, *left]), np.concatenate([none, *right]), lengths[base:]
 
 
+def _planes(sym: np.ndarray, width: int) -> bytes:
+    """Symbols of two bytes each or, with a third, in a plane of its own behind the others."""
+    return sym.astype("<u2").tobytes() + ((sym >> 16).astype(np.uint8).tobytes() if width == 3 else b"")
+
+
 def expand(sym: np.ndarray, base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The ids that symbols stand for: each pass writes out all nonterminals by one level."""
     sym = sym.astype(np.int64)
@@ -119,7 +152,10 @@ class Shard:
         self.__dict__.update(ints)
         self.base = row["base"]
         self.doc_ids = np.frombuffer(row["doc_ids"], "<i8")
-        self.symbols = np.frombuffer(row["symbols"], f"<u{row['width']}")
+        n = len(row["symbols"]) // row["width"]
+        self.symbols = np.frombuffer(row["symbols"], "<u2", n).astype(np.int64)
+        if row["width"] == 3:
+            self.symbols |= np.frombuffer(row["symbols"], np.uint8, n, 2 * n).astype(np.int64) << 16
         self.ends = np.cumsum(self.doc_symbols)
 
     def document(self, i: int) -> np.ndarray:
@@ -161,42 +197,39 @@ def _shard_row(part: int, shard: int, docs: list, coded: list[bytes], base: int,
     last[np.cumsum(n) - 1] = True
     sym, last, left, right, lengths = compress(ids, last, base)
     ends = np.flatnonzero(last) + 1
-    width = 2 if base + len(left) <= 1 << 16 else 4
+    width = 2 if base + len(left) <= 1 << 16 else 3
     u4 = lambda x: x.astype("<u4").tobytes()
     return {
         "part": part, "shard": shard, "before": before, "n_docs": len(docs), "n_ids": len(ids), "base": base, "width": width,
         "doc_ids": np.array([NULL_ID if d is None else d for d in docs], "<i8").tobytes(), "doc_lengths": u4(n),
         "doc_symbols": u4(np.diff(np.concatenate([[0], ends]))), "left": u4(left), "right": u4(right), "lengths": u4(lengths),
-        "symbols": sym.astype(f"<u{width}").tobytes(),
+        "symbols": _planes(sym, width),
     }
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes, orders by doc_id, compresses and writes; returns the rows of the written files, read back."""
-    if tokens.load(tokenizer).get_vocab_size() > MAX_SYMBOLS:
-        raise ValueError("pairs are keyed by 32 bits; choose a vocabulary of fewer than 65,536")
+    base = tokens.load(tokenizer).get_vocab_size()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def pack(batches):
         from pyspark import TaskContext
 
         part, shard, before, docs, coded, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
-        cache, base = tokens.library_cache(tokenizer, True), tokens.load(tokenizer).get_vocab_size()
+        cache = tokens.library_cache(tokenizer, True)
         end = np.array([end_id], "<u4").tobytes()
 
         def row():
             return pa.RecordBatch.from_pylist([_shard_row(part, shard, docs, coded, base, before)], SHARD_ARROW)
 
-        for b in batches:
-            texts, ids = texts_of(b["text"]), b["doc_id"].to_pylist()
-            for s, e in text_batches(texts):
-                for d, c in zip(ids[s:e], cache.encode_texts(texts[s:e])):
-                    docs.append(d)
-                    coded.append(c + end)
-                    size += len(c) // 4 + 1
-                    if size >= shard_ids:
-                        yield row()
-                        shard, before, docs, coded, size = shard + 1, before + size, [], [], 0
+        for b in slices(batches):
+            for d, c in zip(b["doc_id"].to_pylist(), cache.encode_texts(texts_of(b["text"]))):
+                docs.append(d)
+                coded.append(c + end)
+                size += len(c) // 4 + 1
+                if size >= shard_ids:
+                    yield row()
+                    shard, before, docs, coded, size = shard + 1, before + size, [], [], 0
         if docs:
             yield row()
 

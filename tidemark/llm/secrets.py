@@ -15,11 +15,12 @@ import math
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts_of
+from tidemark.llm.common import released, slices, texts_of
 
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -124,7 +125,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t)] for t in texts_of(b["text"])]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(spans, kind)], ["doc_id", "spans"])
 
@@ -149,10 +150,10 @@ def redact_docs(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its texts replaced by a mark; ``n_chars``, where there, follows. Null texts stay null."""
 
     @F.pandas_udf("string")
-    def masked(texts):
-        import pandas as pd
-
-        return pd.Series([None if t is None else redact(t, s) if (s := scan(t)) else t for t in texts], dtype=object)
+    def masked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([None if t is None else redact(t, s) if (s := scan(t)) else t for t in texts], dtype=object)
+        released()
 
     out = docs.withColumn("text", masked("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

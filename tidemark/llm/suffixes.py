@@ -3,16 +3,17 @@
 Spark brings equal strings together, suffix arrays decide. Each 50-byte window is assigned to its minimizer: the
 leftmost smallest hash among the short strings inside it. Equal windows have equal minimizers, so they meet:
 
-1. ``anchors``: a task sends the minimizers of its texts, as packed arrays, to ranges of hash values; a range's task
-   finds those that more than one document holds.
+1. A task sends the minimizers of its texts, as packed arrays, to ranges of hash values; a range's task finds those that
+   more than one document holds and answers to buckets of documents.
 2. Runs of shared minimizers are cut into stretches by content, so equal passages give equal stretches. Those are
    aggregated to one with its smallest document: every other document is covered by it there.
 3. Each different stretch sends its minimizers with their windows (about 65 bytes) to ranges again; the different
    pieces of a minimizer are suffix-sorted, and windows that meet in the suffix array share the smallest document.
+   The windows of a frequent minimizer (``HOT``) go under their own hashes, so that no task gathers all its contexts.
 4. Covered ranges return to their documents, which cut them out.
 
 Copies are never expanded into pairs: a string that many documents hold is one piece with one smallest document, and a
-task sends a hot minimizer to its range once.
+task sends a hot minimizer to its range once. Tables of earlier steps are deleted once their successor is written.
 
 The suffix array is built by linear grouping: suffixes are first grouped by their Lyndon prefix, by handling groups in
 descending order and moving what precedes each group (previous-smaller pointers) behind its own group's rest; then each
@@ -25,24 +26,26 @@ each on its own text, and do not cover each other; texts of any length are used
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, text_batches, texts_of
+from tidemark.llm.common import aside, dropped, released, restored, slices, stored, texts_of
+from tidemark.llm.tokens import gather
 
 WINDOW, GRAM = 50, 20
 #: Bytes of text per range of hash values.
 RANGE_BYTES = 6_000_000
-#: Characters whose minimizers a task sends at once.
+#: Bytes of text whose minimizers a task sends at once.
 PART_CHARS = 6_000_000
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: A minimizer that stands in so many places is frequent; so many of the most frequent ones at most are listed.
+HOT, HOT_LIST = 4096, 1 << 20
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -148,41 +151,94 @@ def window_owners(pieces: list[bytes], owners: list[int], window: int = WINDOW)
     return found
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _BASE, np.uint64)
-    down = np.full(n, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
+_C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+#: Positions inside a block have so many bits; minimizers are chosen by the other bits of the hash, then by position.
+PLACE_BITS = 24
+#: Short texts are hashed in groups of about this many bytes, which stay in a core's cache.
+BLOCK = 1 << 16
 
-_table: list = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
-
-def minimizers(data: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """(hash, first window, last window, place) of each maximal run of windows that share a minimizer."""
-    n = len(data) - window + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    if len(_table[0]) < len(data) + 1:
-        _table[:] = _powers(1 << len(data).bit_length())
-    up, down = _table
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    h = (total[gram:] - total[:-gram]) * down[: len(data) - gram + 1]
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A 64-bit hash of each ``gram`` bytes (16 to 24 of them), from three loads of eight bytes."""
+    wide = data.astype(np.uint64)
+    for d in (1, 2, 4):
+        wide = wide[:-d] | wide[d:] << np.uint64(8 * d)
+    n = len(data) - gram + 1
+    h = wide[:n] * _C[0]
     h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h += wide[8 : 8 + n] * _C[1]
     h ^= h >> np.uint64(32)
-    span = window - gram + 1
-    low, at, width = h, np.arange(len(h)), 1
-    while width < span:  # leftmost minimum over twice the width each time; the last step overlaps
+    h *= _C[2]
+    h += wide[gram - 8 : gram - 8 + n] * _C[3]
+    h ^= h >> np.uint64(31)
+    h *= _C[1]
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _block_minimizers(data: np.ndarray, starts: np.ndarray, window: int, gram: int):
+    """Runs of windows with one minimizer, of texts joined in ``data``: (hash, text, first, last, place), in the block."""
+    h = gram_hashes(data, gram)
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    low = h & ~mask | np.arange(len(h), dtype=np.uint64)
+    span, width = window - gram + 1, 1
+    while width < span:  # minimum over twice the width each time; the last step overlaps
         d = min(width, span - width)
-        take = low[d:] < low[:-d]
-        low, at = np.where(take, low[d:], low[:-d]), np.where(take, at[d:], at[:-d])
+        low = np.minimum(low[d:], low[:-d])
         width += d
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.append(first[1:], len(at)) - 1
-    return h[at[first]], first, last, at[first]
+    ends = np.append(starts[1:], len(data))
+    inside = np.ones(len(low), bool)  # windows that cross a text's end don't count
+    for e in ends[:-1].tolist():
+        inside[max(e - window + 1, 0) : e] = False
+    at = np.flatnonzero(inside)
+    place = (low[at] & mask).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))[: len(at)]
+    first, last = at[cut], at[np.append(cut[1:], len(at)) - 1] if len(at) else at
+    place = place[cut]
+    return h[place], np.searchsorted(starts, first, "right") - 1, first, last, place
+
+
+def minimizers(texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
+    """(hash, text, first window, last window, place) of each maximal run of windows of a text that share a minimizer.
+
+    A minimizer is a window's gram of the smallest hash, the leftmost of equals. Texts too long for a block are hashed
+    in overlapping parts."""
+    out: list[list[np.ndarray]] = [[] for _ in range(5)]
+    limit = 1 << PLACE_BITS
+
+    def add(numbers: list[int], offsets: list[int], parts: list[bytes]) -> None:
+        size = np.array([len(p) for p in parts], np.int64)
+        starts = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        if len(data) < window:
+            return
+        h, t, first, last, place = _block_minimizers(data, starts, window, gram)
+        base = np.array(offsets, np.int64)[t] - starts[t]
+        for column, value in zip(out, (h, np.array(numbers, np.int64)[t], first + base, last + base, place + base)):
+            column.append(value)
+
+    numbers, parts, size = [], [], 0
+    for i, t in enumerate(texts):
+        if len(t) < window:
+            continue
+        if len(t) > BLOCK:
+            for a in range(0, len(t) - window + 1, limit - window):
+                add([i], [a], [t[a : a + limit - 1]])
+            continue
+        numbers.append(i)
+        parts.append(t)
+        size += len(t)
+        if size > BLOCK:
+            add(numbers, [0] * len(parts), parts)
+            numbers, parts, size = [], [], 0
+    if parts:
+        add(numbers, [0] * len(parts), parts)
+    if not out[0]:
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none, none
+    found = [np.concatenate(c) for c in out]
+    order = np.argsort(found[1], kind="stable")  # long texts went ahead of shorter ones
+    return tuple(c[order] for c in found)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -231,9 +287,24 @@ def _to_range(h: np.ndarray, n_ranges: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _row_of(to: int, docs, tids, h, local, first) -> tuple:
+SENT = "range int, docs binary, tids binary, buckets binary, hashes binary, times binary, local binary, first binary"
+SHARED = "bucket int, docs binary, tids binary, local binary, first binary, hot long, times long"
+
+
+def _batch(schema: str, columns) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, types[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _local(local: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The rows used, and places among them as packed bytes."""
     used, local = np.unique(local, return_inverse=True)
-    return to, docs[used].tobytes(), tids[used].tobytes(), _short(h), local.astype("<u4" if len(used) > 1 << 16 else "<u2").tobytes(), first.astype("<u4").tobytes()
+    return used, local.astype("<u4" if len(used) > 1 << 16 else "<u2").tobytes()
+
+
+def _places(raw: bytes, n_rows: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u4" if n_rows > 1 << 16 else "<u2")
 
 
 def _short(h: np.ndarray) -> bytes:
@@ -241,51 +312,49 @@ def _short(h: np.ndarray) -> bytes:
     return (h >> np.uint64(32)).astype("<u4").tobytes() + ((h >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
-def _unpacked(row: dict):
-    """(docs, tids, firsts, hashes) of a row, one entry per minimizer."""
-    docs, first = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["first"], "<u4")
-    local = np.frombuffer(row["local"], "<u4" if len(docs) > 1 << 16 else "<u2")
-    n = len(row["hashes"]) // 6
-    h = np.frombuffer(row["hashes"], "<u4", n).astype(np.uint64) << np.uint64(16) | np.frombuffer(row["hashes"], "<u2", n, 4 * n)
-    return docs[local], np.frombuffer(row["tids"], np.int64)[local], first, h
+def _long(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) << np.uint64(16) | np.frombuffer(raw, "<u2", n, 4 * n)
 
 
 def _anchors_sent(n_ranges: int):
-    """Packed minimizers, one row per range. Those that two documents of a batch share need no range to find them out:
-    they are sent on as such (no hashes), and only one of each takes part in the search."""
-
-    def parts(batches):
-        for b in batches:
-            texts = texts_of(b["text"])
-            docs, tids = b["doc_id"].to_numpy(), b["tid"].to_numpy()
-            for s, e in text_batches(texts, PART_CHARS):
-                yield docs[s:e], tids[s:e], texts[s:e]
+    """Packed minimizers, one row per range. Of those that two documents of a slice share, only one takes part in the
+    search, with their number; the others need no range to find them out and are sent on as such (no hashes)."""
 
     def run(batches):
-        for docs, tids, texts in parts(batches):
-            found = [minimizers(np.frombuffer(t.encode(), np.uint8))[:2] for t in texts]
-            h, first = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-            local = np.repeat(np.arange(len(docs)), [len(x[0]) for x in found])
+        for b in slices(batches, limit=PART_CHARS):
+            docs, tids, buckets = (b[c].to_numpy() for c in ("doc_id", "tid", "bucket"))
+            h, local, first, _, _ = minimizers([t.encode() for t in texts_of(b["text"])])
             if not len(h):
                 continue
-            order = np.lexsort((docs[local], h))
+            order = np.argsort(h, kind="stable")
             h, first, local = h[order], first[order], local[order]
             cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            times = np.diff(np.append(cut, len(h)))
             d = docs[local]
-            sure = np.repeat(d[cut] != d[np.append(cut[1:], len(h)) - 1], np.diff(np.append(cut, len(h))))
-            rows = []
+            differ = np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut)
+            sure = np.repeat(differ, times)
+            sure[cut] = False
+            rows = [[] for _ in range(8)]
+
+            def send(to, keep, hashes, many):
+                used, places = _local(local[keep])
+                values = (to, docs[used].tobytes(), tids[used].tobytes(), buckets[used].astype("<i4").tobytes(), hashes, many, places, first[keep].astype("<u4").tobytes())
+                for column, value in zip(rows, values):
+                    column.append(value)
+
             if sure.any():
-                rows.append(_row_of(int(h[0] % np.uint64(n_ranges)), docs, tids, h[:0], local[sure], first[sure]))
-            keep = ~sure
-            keep[cut] = True
-            h, first, local = h[keep], first[keep], local[keep]
-            to = _to_range(h, n_ranges)  # ascending, as h is
-            cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
-            rows += [_row_of(int(to[s]), docs, tids, h[s:e], local[s:e], first[s:e]) for s, e in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)],
-                ["range", "docs", "tids", "hashes", "local", "first"],
-            )
+                send(int(h[0] % np.uint64(n_ranges)), np.flatnonzero(sure), b"", b"")
+            # All places of one document's repeated minimizer are looked for; of a shared one, its first place only.
+            kept = np.flatnonzero(~sure)
+            many = np.ones(len(h), np.int64)
+            many[cut] = np.where(differ, times, 1)
+            to = _to_range(h[kept], n_ranges)  # ascending, as h is
+            bounds = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                k = kept[s:e]
+                send(int(to[s]), k, _short(h[k]), many[k].astype("<u4").tobytes())
+            yield _batch(SENT, rows)
 
     return run
 
@@ -304,34 +373,55 @@ def _groups(batches, key: str):
         yield now, rows
 
 
-def _shared_anchors(batches):
-    """Per document: the starts of stretches whose minimizer another document holds too."""
-    for _, rows in _groups(batches, "range"):
-        kept, searched = [], []
-        for r in map(_unpacked, rows):
-            if len(r[3]):
-                searched.append(r)
-            else:
-                kept.append(r[:3])
-        if searched:
-            doc, tid, first, h = (np.concatenate(c) for c in zip(*searched))
-            order = np.argsort(h, kind="stable")
-            hs, ds = h[order], doc[order]
-            cut = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-            differ = np.minimum.reduceat(ds, cut) != np.maximum.reduceat(ds, cut)
-            keep = order[np.repeat(differ, np.diff(np.append(cut, len(hs))))]
-            kept.append((doc[keep], tid[keep], first[keep]))
-        doc, tid, first = (np.concatenate(c) for c in zip(*kept))
-        if not len(doc):
-            continue
-        order = np.lexsort((first, tid, doc))
-        doc, tid, first = doc[order], tid[order], first[order]
-        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1])]))
-        ends = np.append(cut[1:], len(doc))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[cut]), pa.array(tid[cut]), pa.array([first[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary())],
-            ["doc_id", "tid", "first"],
-        )
+def _shared_anchors(often_from: int):
+    """Per range and bucket of documents: places of minimizers that several documents hold. Rows without a bucket name
+    the frequent ones (48 bits) with their numbers."""
+
+    def run(batches):
+        for _, rows in _groups(batches, "range"):
+            docs, tids, buckets = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("docs", "<i8"), ("tids", "<i8"), ("buckets", "<i4")))
+            before = np.cumsum([0] + [len(r["docs"]) // 8 for r in rows])
+            local = np.concatenate([_places(r["local"], len(r["docs"]) // 8).astype(np.int64) + n for r, n in zip(rows, before)])
+            first = np.concatenate([np.frombuffer(r["first"], "<u4") for r in rows])
+            searched = np.concatenate([np.full(len(r["first"]) // 4, bool(r["hashes"])) for r in rows])
+            h = np.concatenate([_long(r["hashes"]) for r in rows])
+            times = np.concatenate([np.frombuffer(r["times"], "<u4") for r in rows]).astype(np.int64)
+            keep = ~searched
+            hot = np.zeros(0, np.uint64)
+            if len(h):
+                at = np.flatnonzero(searched)
+                order = np.argsort(h, kind="stable")
+                hs, ds = h[order], docs[local[at[order]]]
+                cut = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
+                number = np.add.reduceat(times[order], cut)
+                differ = (np.minimum.reduceat(ds, cut) != np.maximum.reduceat(ds, cut)) | (np.maximum.reduceat(times[order], cut) > 1)
+                keep[at[order]] = np.repeat(differ, np.diff(np.append(cut, len(hs))))
+                often = differ & (number >= often_from)
+                hot, number = hs[cut[often]], number[often]
+            out = [[] for _ in range(7)]
+            kept = np.flatnonzero(keep)
+            kept = kept[np.argsort(buckets[local[kept]], kind="stable")]
+            owner = buckets[local[kept]]
+            bounds = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(kept) else [0]
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                k = kept[s:e]
+                used, places = _local(local[k])
+                values = (int(owner[s]), docs[used].tobytes(), tids[used].tobytes(), places, first[k].astype("<u4").tobytes(), None, None)
+                for column, value in zip(out, values):
+                    column.append(value)
+            for column in out[:5]:
+                column += [None] * len(hot)
+            out[5] += hot.tolist()
+            out[6] += number.tolist() if len(hot) else []
+            yield _batch(SHARED, out)
+
+    return run
+
+
+def _hot_list(shared: DataFrame) -> np.ndarray:
+    """The most frequent minimizers (48 bits), at most ``HOT_LIST`` of them: 8 bytes each on the driver and on workers."""
+    found = shared.filter("bucket is null").orderBy(F.desc("times"), "hot").limit(HOT_LIST).select("hot").toArrow()["hot"]
+    return np.sort(found.to_numpy().astype(np.uint64))
 
 
 STRETCH = "s1 long, s2 long, doc_id long, tid long, start int, stretch binary"
@@ -339,121 +429,147 @@ STRETCH = "s1 long, s2 long, doc_id long, tid long, start int, stretch binary"
 CUT = 16
 
 
-def _stretches(batches):
-    """Runs of shared minimizers of each document, cut where a minimizer's hash says so."""
-    for b in batches:
-        out = [[] for _ in range(6)]
-        for doc, tid, text, lists in zip(*(b[c].to_pylist() for c in ("doc_id", "tid", "text", "firsts"))):
-            raw = text.encode()
-            h, first, last, _ = minimizers(np.frombuffer(raw, np.uint8))
-            shared = np.isin(first, np.concatenate([np.frombuffer(x, "<u4") for x in lists]))
-            at = np.flatnonzero(shared)
-            if not len(at):
-                continue
-            cut = (np.diff(at) != 1) | (h[at[:-1]] % np.uint64(CUT) == 0)
-            begin = first[at[np.concatenate([[True], cut])]].tolist()
-            end = (last[at[np.concatenate([cut, [True]])]] + WINDOW).tolist()
-            pieces = [raw[s:e] for s, e in zip(begin, end)]
-            values = (
-                [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in pieces], [xxhash.xxh64_intdigest(p) - (1 << 63) for p in pieces],
-                [doc] * len(pieces), [tid] * len(pieces), begin, pieces,
-            )
-            for column, value in zip(out, values):
-                column += value
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [f.split()[0] for f in STRETCH.split(", ")])
+def _stretches(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Runs of shared minimizers of a bucket's documents, cut where a minimizer's hash says so."""
+    texts = [t.encode() for t in texts_of(left["text"])]
+    docs, tids = (left[c].to_numpy() for c in ("doc_id", "tid"))
+    row_of = {k: i for i, k in enumerate(zip(docs.tolist(), tids.tolist()))}
+    held = []
+    for r in right.to_pylist():
+        rows = zip(np.frombuffer(r["docs"], "<i8").tolist(), np.frombuffer(r["tids"], "<i8").tolist())
+        row = np.array([row_of.get(k, -1) for k in rows], np.int64)
+        held.append(row[_places(r["local"], len(row))] << 32 | np.frombuffer(r["first"], "<u4"))
+    h, t, first, last, _ = minimizers(texts)
+    at = np.flatnonzero(np.isin(t << 32 | first, np.concatenate(held))) if held and len(h) else np.zeros(0, np.int64)
+    cut = (np.diff(at) != 1) | (t[at[1:]] != t[at[:-1]]) | (h[at[:-1]] % np.uint64(CUT) == 0)
+    opens = at[np.concatenate([[True], cut])[: len(at)]]
+    closes = at[np.concatenate([cut, [True]])[: len(at)]]
+    begin, end, owner = first[opens].tolist(), (last[closes] + WINDOW).tolist(), t[opens]
+    pieces = [texts[i][s:e] for i, s, e in zip(owner.tolist(), begin, end)]
+    s1, s2 = ([f(p) - (1 << 63) for p in pieces] for f in (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest))
+    return pa.Table.from_batches([_batch(STRETCH, (s1, s2, docs[owner], tids[owner], begin, pieces))])
 
 
 PIECE = "hash long, s1 long, s2 long, least long, off int, middle int, piece binary"
 
 
-def _pieces(batches):
-    """The windows of each minimizer of different stretches, with the stretch's smallest document."""
-    for b in batches:
-        rows = zip(*(b[c].to_pylist() for c in ("s1", "s2", "least", "stretch")))
-        out = [[] for _ in range(7)]
-        for s1, s2, least, raw in rows:
-            h, first, last, place = minimizers(np.frombuffer(raw, np.uint8))
-            middle, first, last = (place - first).tolist(), first.tolist(), last.tolist()
-            pieces = [raw[s : e + WINDOW] for s, e in zip(first, last)]
-            for column, value in zip(out, (h.view(np.int64).tolist(), [s1] * len(h), [s2] * len(h), [least] * len(h), first, middle, pieces)):
-                column += value
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [f.split()[0] for f in PIECE.split(", ")])
+def _pieces(hot):
+    """The windows of each minimizer of different stretches, with the stretch's smallest document. The windows of a
+    frequent minimizer go one by one, each under its own hash: so its group is dealt to many tasks."""
 
+    def run(batches):
+        frequent = hot.value
+        for b in slices(batches, "stretch", PART_CHARS // 4):
+            s1, s2, least = (b[c].to_numpy() for c in ("s1", "s2", "least"))
+            raws = b["stretch"].to_pylist()
+            h, row, first, last, place = minimizers(raws)
+            often = np.isin(h >> np.uint64(16), frequent)
+            for many in (False, True):
+                k = np.flatnonzero(often == many)
+                if not len(k):
+                    continue
+                name, own, s, e, m = h[k], row[k], first[k], last[k], place[k] - first[k]
+                if many:
+                    each = e - s + 1
+                    own, m = np.repeat(own, each), np.zeros(int(each.sum()), np.int64)
+                    s = np.repeat(s - np.cumsum(each) + each, each) + np.arange(len(own))
+                    e = s
+                pieces = [raws[i][x : z + WINDOW] for i, x, z in zip(own.tolist(), s.tolist(), e.tolist())]
+                if many:
+                    name = np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], np.uint64)
+                yield _batch(PIECE, (name.view(np.int64), s1[own], s2[own], least[own], s, m, pieces))
 
-def _owned(batches):
-    """Pieces sorted by minimizer -> windows of a stretch that a smaller document than the stretch's own holds."""
-    out: list[list] = [[], [], [], []]
+    return run
 
-    def judge(rows):
-        if all(r[3] == rows[0][3] for r in rows):
-            return
-        least: dict[bytes, int] = {}
-        middle = {}
-        for piece, _, _, owner, _, m in rows:
-            least[piece] = min(owner, least.get(piece, owner))
-            middle[piece] = m
-        pieces = list(least)
-        if len(pieces) > 1:
-            owners = dict(zip(pieces, piece_owners(pieces, [middle[p] for p in pieces], [least[p] for p in pieces])))
-        else:
-            owners = {pieces[0]: np.array([least[pieces[0]]])}
-        for piece, s1, s2, owner, off, _ in rows:
-            o = owners[piece]
-            if len(pieces) == 1:
-                runs = [(0, len(piece))] if o[0] < owner else []
-            else:
-                under = np.flatnonzero(o < owner)
-                if not len(under):
-                    continue
-                cut = np.flatnonzero(np.diff(under) != 1)
-                runs = zip(under[np.append(0, cut + 1)].tolist(), (under[np.append(cut, len(under) - 1)] + WINDOW).tolist())
-            for s, e in runs:
-                for column, value in zip(out, (s1, s2, off + s, off + e)):
-                    column.append(value)
 
-    def flush():
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["s1", "s2", "start", "end"])
-        for c in out:
-            c.clear()
-        return batch
+OWNED = "s1 long, s2 long, start int, end int"
 
-    now, rows = None, []
+
+def _owned(batches):
+    """Pieces sorted by minimizer -> windows of a stretch that a smaller document than the stretch's own holds."""
+
+    def judge(b: pa.RecordBatch) -> pa.RecordBatch:
+        h, s1, s2, owner, off, middle = (b[c].to_numpy() for c in ("hash", "s1", "s2", "least", "off", "middle"))
+        coded = b["piece"].dictionary_encode()
+        piece, texts = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(cut, len(h)))
+        group = np.repeat(np.arange(len(cut)), size)
+        one = np.minimum.reduceat(piece, cut) == np.maximum.reduceat(piece, cut)
+        least = np.minimum.reduceat(owner, cut)
+        # groups of one text: it belongs to its smallest document
+        length = pc.binary_length(b["piece"]).to_numpy()
+        alike = np.flatnonzero(one[group] & (owner > least[group]))
+        out = [[s1[alike]], [s2[alike]], [off[alike]], [(off + length)[alike]]]
+        # the others, once for each text of a group
+        mixed = np.flatnonzero(~one[group] & (least < np.maximum.reduceat(owner, cut))[group])
+        if len(mixed):
+            order = mixed[np.lexsort((owner[mixed], piece[mixed], group[mixed]))]
+            g, p = group[order], piece[order]
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])])
+            text_of = np.cumsum(new) - 1
+            tops = order[new]
+            raws = texts.take(pa.array(piece[tops])).to_pylist()
+            starts = np.flatnonzero(np.concatenate([[True], g[new][1:] != g[new][:-1]])).tolist()
+            owners, middles = owner[tops].tolist(), middle[tops].tolist()
+            found: list[np.ndarray] = []
+            for s, e in zip(starts, [*starts[1:], len(tops)]):
+                found += piece_owners(raws[s:e], middles[s:e], owners[s:e])
+            width = np.array([len(f) for f in found], np.int64)
+            n = width[text_of]
+            row = np.repeat(order, n)
+            flat = np.concatenate(found)[gather((np.cumsum(width) - width)[text_of], n)]
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            under = np.flatnonzero(flat < owner[row])
+            row, place = row[under], place[under]
+            first = np.concatenate([[True], (row[1:] != row[:-1]) | (np.diff(place) != 1)])[: len(row)]
+            final = np.concatenate([first[1:], [True]])[: len(row)]
+            for column, value in zip(out, (s1[row[first]], s2[row[first]], off[row[first]] + place[first], off[row[first]] + place[final] + WINDOW)):
+                column.append(value)
+        return _batch(OWNED, [np.concatenate(c) for c in out])
+
+    # A batch's last group goes on in the next one.
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        for h, *row in zip(*(b[c].to_pylist() for c in ("hash", "piece", "s1", "s2", "least", "off", "middle"))):
-            if h != now and rows:
-                if len(rows) > 1:
-                    judge(rows)
-                rows = []
-            now = h
-            rows.append(row)
-        if len(out[0]) > 50_000:
-            yield flush()
-    if len(rows) > 1:
-        judge(rows)
-    yield flush()
+        h = b["hash"].to_numpy()
+        if not len(h):
+            continue
+        change = np.flatnonzero(h[1:] != h[:-1])
+        if held and h[0] != held[-1]["hash"][-1].as_py():
+            yield judge(pa.concat_batches(held))
+            held = []
+        if not len(change):
+            held.append(b)
+            continue
+        at = int(change[-1]) + 1
+        yield judge(pa.concat_batches([*held, b.slice(0, at)]))
+        held = [b.slice(at)]
+    if held:
+        yield judge(pa.concat_batches(held))
+    released()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
 
 
-def covered_ranges(docs: DataFrame) -> DataFrame:
+def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, tid, ranges): byte ranges that smaller documents cover; tid tells rows of one doc_id apart by text."""
     src = _keyed(docs).filter(f"doc_id is not null and octet_length(text) >= {WINDOW}")
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = max(int(size // RANGE_BYTES), 8)
-    sent = src.mapInArrow(_anchors_sent(n_ranges), "range int, docs binary, tids binary, hashes binary, local binary, first binary")
+    src = src.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(doc_id, tid), {n_ranges}) as int)"))
+    sent = src.mapInArrow(_anchors_sent(n_ranges), SENT)
     dealt = sent.repartition(n_ranges, "range").sortWithinPartitions("range")
-    shared = stored(dealt.mapInArrow(_shared_anchors, "doc_id long, tid long, first binary"))
-    firsts = shared.groupBy("doc_id", "tid").agg(F.collect_list("first").alias("firsts"))
+    shared = stored(dealt.mapInArrow(_shared_anchors(hot), SHARED))
+    frequent = docs.sparkSession.sparkContext.broadcast(_hot_list(shared))
     texts = src.dropDuplicates(["doc_id", "tid"]) if _repeats(src) else src
-    stretches = stored(texts.join(firsts, ["doc_id", "tid"]).mapInArrow(_stretches, STRETCH))
+    held = shared.filter("bucket is not null").drop("hot", "times")
+    stretches = stored(texts.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_stretches, STRETCH))
+    dropped(shared)
     different = stretches.groupBy("s1", "s2", "stretch").agg(F.min("doc_id").alias("least"))
-    pieces = different.mapInArrow(_pieces, PIECE).repartition(n_ranges, "hash").sortWithinPartitions("hash")
-    owned = stored(pieces.mapInArrow(_owned, "s1 long, s2 long, start int, end int"))
+    pieces = different.mapInArrow(_pieces(frequent), PIECE).repartition(n_ranges, "hash").sortWithinPartitions("hash")
+    owned = stored(pieces.mapInArrow(_owned, OWNED))
     parts = owned.groupBy("s1", "s2").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
     held = stretches.select("s1", "s2", "doc_id", "tid", "start", F.octet_length("stretch").alias("size"))
     least = held.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
@@ -463,7 +579,9 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
     first = whole.filter("doc_id = least").join(parts, ["s1", "s2"]).select("doc_id", "tid", "start", F.explode("parts").alias("p"))
     first = first.select("doc_id", "tid", (F.col("start") + F.col("p.start")).alias("a"), (F.col("start") + F.col("p.end")).alias("z"))
     ranges = F.collect_list(F.struct(F.col("a").cast("int").alias("start"), F.col("z").cast("int").alias("end")))
-    return stored(covered.unionByName(first).groupBy("doc_id", "tid").agg(ranges.alias("ranges")))
+    found = stored(covered.unionByName(first).groupBy("doc_id", "tid").agg(ranges.alias("ranges")))
+    dropped(stretches, owned)
+    return found
 
 
 def _repeats(src: DataFrame) -> bool:
@@ -489,43 +607,45 @@ def _cut(raw: bytes, runs) -> bytes:
     return b"".join(out + [raw[at:]])
 
 
+REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
 def dedup_report(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
     joined = _keyed(docs).join(covered_ranges(docs), ["doc_id", "tid"], "left")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [[] for _ in range(4)]
             for text, ranges in zip(texts_of(b["text"]), b["ranges"].to_pylist()):
                 raw, runs = text.encode(), _merged(ranges)
                 kept = _cut(raw, runs)
                 for column, value in zip(out, (len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest())):
                     column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], *(pa.array(c, t) for c, t in zip(out, types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            )
+            yield _batch(REPORT, [b["doc_id"], *out])
 
-    return joined.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "ranges").mapInArrow(run, REPORT)
 
 
 def cut_docs(docs: DataFrame) -> DataFrame:
     """``docs`` without the covered bytes; texts of which nothing but white space is left go. ``n_chars`` follows.
 
-    Characters cut in two lose their other half too."""
+    Characters cut in two lose their other half too. Null and empty texts, rows without a doc_id, and columns of any
+    name come back as they are; of rows that repeat a doc_id each is cut by its own text."""
 
     @F.pandas_udf("string")
-    def kept(text, ranges):
-        import pandas as pd
-
-        return pd.Series(
-            [t if t is None or r is None else _cut(t.encode(), _merged(r)).decode("utf-8", "ignore") for t, r in zip(text, ranges)], dtype=object
-        )
-
-    found = covered_ranges(docs).select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), F.col("ranges").alias("_ranges"))
-    joined = docs.withColumn("_key", F.xxhash64("text")).join(found, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_tid")), "left")
-    out = joined.withColumn("text", F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(kept("text", "_ranges")))
-    out = out.filter(F.col("_ranges").isNull() | (F.btrim("text") != ""))
-    if "n_chars" in docs.columns:
+    def kept(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, ranges in parts:
+            cut = [t if r is None else _cut(t.encode(), _merged(r)).decode("utf-8", "ignore") for t, r in zip(text, ranges)]
+            yield pd.Series(cut, dtype=object)
+        released()
+
+    named = ["doc_id", "text", *({"n_chars"} & set(docs.columns))]
+    df = aside(docs, *named).withColumn("key", F.xxhash64("text"))
+    found = covered_ranges(docs).withColumnsRenamed({"doc_id": "doc", "tid": "key_of"})
+    joined = df.join(found, (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("key_of")), "left")
+    out = joined.withColumn("text", F.when(F.col("ranges").isNull(), F.col("text")).otherwise(kept("text", "ranges")))
+    out = out.filter(F.col("ranges").isNull() | (F.btrim("text") != ""))
+    if "n_chars" in named:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return restored(out, docs.columns, *named)

@@ -1,21 +1,28 @@
 """Fast exact encoding with public tokenizers: texts are cut where no token can span, distinct pieces are encoded once.
 
-A space between two non-space characters always starts a new token, in both vocabularies used here, and no added token
-holds white space; so a text whose white space consists of single spaces and newlines is the concatenation of its
-words' encodings. Other texts are encoded whole.
+A space or newline between two characters that are no white space always starts a new token, in both vocabularies used
+here, and no added token holds white space; so a text is the concatenation of its pieces' encodings. Pieces of a batch
+are told apart by Arrow's dictionary encoding. Pieces of plain characters are cut into pre-tokens by one scan; each
+different pre-token is encoded once and kept, and ids are put in place by gathers. Other pieces (rare letters, longer
+white space, added tokens) go to the encoder whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain, compress, repeat
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Words kept per Python worker, in two halves: when the newer one is full, the older one goes.
-CACHE_WORDS = 800_000
+#: Pre-tokens kept per Python worker (about 150 bytes each), in two halves: when the newer one is full, the older one goes.
+CACHE_WORDS = 300_000
+#: Longer ones are not kept.
+LONGEST = 64
 
 
 def load(name: str) -> Tokenizer:
@@ -26,130 +33,220 @@ def load(name: str) -> Tokenizer:
     return tokenizer
 
 
-def library_encoder(tokenizer: Tokenizer, opens=None, closes=None, plain=None):
-    """Pieces to little-endian unsigned 32-bit ids, by the library itself.
+def byte_letters() -> dict[str, int]:
+    """The printable letter that stands for each byte in byte-level vocabularies, by the published rule."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    Short pieces are encoded as one long text, which saves most of the time a call takes, and cut again where a token
-    opens a piece (``opens``: a Boolean for each id) or closes one (``closes``). Only pieces for which ``plain`` holds
-    are joined; where the cuts don't match the pieces, each piece is encoded alone.
-    """
-    ends = opens if opens is not None else closes
-
-    def alone(pieces: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def joined(pieces: list[str]) -> list[bytes]:
-        text = ("" if opens is not None else " ").join(pieces)
-        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ends[ids])
-        if len(cuts) != len(pieces):
-            return alone(pieces)
-        cuts = np.append(cuts, len(ids)) if opens is not None else np.concatenate([[0], cuts + 1])
-        raw, at = ids.tobytes(), (cuts * 4).tolist()
-        return [raw[a:b] for a, b in zip(at, at[1:])]
-
-    def encode(pieces: list[str]) -> list[bytes]:
-        if ends is None:
-            return alone(pieces)
-        out: list = [None] * len(pieces)
-        short = [i for i, p in enumerate(pieces) if plain(p)]
-        for a in range(0, len(short), 5000):
-            part = short[a : a + 5000]
-            for i, ids in zip(part, joined([pieces[i] for i in part])):
-                out[i] = ids
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(rest, alone([pieces[i] for i in rest])):
-            out[i] = ids
-        return out
-
-    return encode
-
-
-def word_encoder(tokenizer: Tokenizer, keep_space: bool):
-    """The joining encoder for a byte-level vocabulary (keep_space) or one whose words end in ``</w>``."""
-    marks = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
-    for token, i in tokenizer.get_vocab().items():
-        marks[i] = token[0] in "\u0120\u010a" if keep_space else token.endswith("</w>")  # a space or a newline as a letter
-    if keep_space:
-        return library_encoder(tokenizer, opens=marks, plain=lambda p: p[0] in " \n" and len(p) < 64)
-    return library_encoder(tokenizer, closes=marks, plain=lambda p: p.isalpha() and len(p) < 64)
-
-
-#: White space that keeps a text from being cut at its spaces and newlines.
+
+def flat(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array and their lengths."""
+    n = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.fromiter(chain.from_iterable(parts), np.uint32, int(n.sum())), n
+
+
+#: Letters and marks whose case, form and class are the same by every Unicode version: ASCII, Latin-1 letters, quotes, dashes.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"[ \n]?[!-;=-~{_LETTERS}‐-‧]+")  # without "<", with which added tokens begin
+_CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
+#: Pre-tokens of plain pieces that "\r" parts, with and without their space.
+_KEPT = re.compile(f"{_CONTRACTED}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s")
+_DROPPED = re.compile(f"{_CONTRACTED}|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+|\r")
+
+
+def cut_plain(pieces: list[str], keep_space: bool) -> list[str]:
+    """Pre-tokens of plain pieces, with "\r" after each piece's last."""
+    joined = "\r".join(pieces) + "\r"
+    return _KEPT.findall(joined) if keep_space else _DROPPED.findall(joined.lower())
+
+
+def library_encoder(tokenizer: Tokenizer):
+    """Pieces to (ids, lengths), by the whole of the library."""
+    return lambda pieces: flat([e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+
+
+def model_encoder(tokenizer: Tokenizer):
+    """Plain pre-tokens to (ids, lengths), by the library's model at once, which saves most of a call's time. None where
+    an added token could stand in a plain piece."""
+    if not all(t.content.startswith("<") for t in tokenizer.get_added_tokens_decoder().values()):
+        return None
+    letter_of = {b: c for c, b in byte_letters().items()}
+    letters = {p: "".join(letter_of[b] for b in chr(p).encode()) for p in [*range(256), *range(0x2010, 0x2028)]}
+    model = tokenizer.model.tokenize
+    return lambda parts: flat([[t.id for t in model(x.translate(letters))] for x in parts])
+
+
+#: White space that keeps a text from being cut at every space and newline.
 _UNSAFE = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_OTHER_SPACE = re.compile("[\x85\xa0 ᠎ -     　]")
+#: Where such a text can still be cut: before a lone space or newline between characters that are no white space.
+_CUT = re.compile("(?<=[^\\s᠎])(?=[ \n][^\\s᠎])")
+
+
+def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of the concatenation of ranges."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class _Half:
+    """Known pieces with their ids in one array."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.index.update(zip(pieces, range(len(self.starts), len(self.starts) + len(pieces))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def find(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.lengths[at]
+        return self.ids[gather(self.starts[at], n)], n
 
 
 class WordCache:
-    """Texts to id bytes through ``encode(pieces) -> [bytes]``.
+    """Texts to ids through ``encode(pieces) -> (ids, lengths)`` and, for pre-tokens of plain characters, ``plain``.
 
     keep_space: the space before a word is part of its token (byte-level vocabularies); else white space is dropped.
     """
 
-    def __init__(self, encode, keep_space: bool, limit: int = CACHE_WORDS):
-        self.encode, self.keep_space, self.limit = encode, keep_space, limit
-        self.known, self.old = {}, {}
+    def __init__(self, encode, keep_space: bool, limit: int = CACHE_WORDS, plain=None):
+        self.encode, self.plain, self.keep_space, self.limit = encode, plain, keep_space, limit
+        self.new, self.old = _Half(), _Half()
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Keys of a text's words, or None where it must be encoded whole.
+    def _prepared(self, text: str) -> str | list[str]:
+        """A text whose keys stand between single spaces, or its keys.
 
-        Keys of byte-level words: "\r" + word at the start, "\n" + word after a newline, the word after a space.
+        Keys of byte-level pieces: "\r" + piece at the start, "\n" + word after a newline, the word after a space.
         """
-        if not text or text[0] in " \n" or text[-1] in " \n" or any(w in text for w in _UNSAFE):
-            return None
-        if not text.isascii() and _OTHER_SPACE.search(text):
-            return None
+        safe = text and text[0] not in " \n" and text[-1] not in " \n" and not any(w in text for w in _UNSAFE)
+        if safe and (text.isascii() or not _OTHER_SPACE.search(text)):
+            return ("\r" + text).replace("\n", " \n") if self.keep_space else text.replace("\n", " ")
+        if not text:
+            return []
+        pieces = _CUT.split(text)
+        if self.keep_space:
+            return ["\r" + pieces[0], *(p[1:] if p[0] == " " else p for p in pieces[1:])]
+        return [pieces[0], *(p[1:] for p in pieces[1:])]
+
+    def _pieces(self, keys: list[str]) -> list[str]:
         if not self.keep_space:
-            return text.split()
-        keys = text.replace("\n", " \n").split(" ")
-        keys[0] = "\r" + keys[0]
-        return keys
-
-    def _piece(self, key: str) -> str:
-        if not self.keep_space or key[0] == "\n":
-            return key
-        return key[1:] if key[0] == "\r" else " " + key
-
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        out: list = [b""] * len(texts)
-        whole, gaps, lookup = [], [], self.known.get
+            return keys
+        return [" " + k if k[:1] not in "\r\n" or not k else k if k[0] == "\n" else k[1:] for k in keys]
+
+    def _coded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of pre-tokens; those that begin with "\r" are pieces to be encoded whole."""
+        whole = [i for i, p in enumerate(parts) if p[0] == "\r"]
+        if self.plain is None or len(whole) == len(parts):
+            return self.encode([p[1:] for p in parts])
+        if not whole:
+            return self.plain(parts)
+        left = np.ones(len(parts), bool)
+        left[whole] = False
+        ids, n = self.plain([p for p in parts if p[0] != "\r"])
+        more, m = self.encode([parts[i][1:] for i in whole])
+        lengths, starts = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        lengths[left], lengths[whole] = n, m
+        starts[left], starts[whole] = np.cumsum(n) - n, len(ids) + np.cumsum(m) - m
+        return np.concatenate([ids, more])[gather(starts, lengths)], lengths
+
+    def _parts_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of pre-tokens through what is known; an empty one has no ids."""
+        if len(self.new.index) > self.limit // 2:
+            self.old, self.new = self.new, _Half()
+        at = self.new.find(parts)
+        wanted = list(dict.fromkeys(parts[i] for i in np.flatnonzero(at < 0).tolist()))
+        rare = _Half()
+        if wanted:
+            before = self.old.find(wanted)  # what is still in use moves on to the newer half
+            held = before >= 0
+            fresh = [k for k, h in zip(wanted, held.tolist()) if not h]
+            if held.any():
+                self.new.add([k for k, h in zip(wanted, held.tolist()) if h], *self.old.take(before[held]))
+            if fresh:
+                short, long = [k for k in fresh if len(k) <= LONGEST], [k for k in fresh if len(k) > LONGEST]
+                self.new.add(short, *self._coded(short)) if short else None
+                rare.add(long, *self._coded(long)) if long else None
+            missing = np.flatnonzero(at < 0)
+            at[missing] = self.new.find([parts[i] for i in missing.tolist()])
+        if not len(rare.starts):
+            return self.new.take(at)
+        missing = np.flatnonzero(at < 0)
+        at[missing] = len(self.new.starts) + rare.find([parts[i] for i in missing.tolist()])
+        both = _Half()
+        both.add([], self.new.ids, self.new.lengths)
+        both.add([], rare.ids, rare.lengths)
+        return both.take(at)
+
+    def _keys_ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each key's begin, their number)."""
+        pieces = self._pieces(keys)
+        is_plain = np.fromiter(map(bool, map(_PLAIN.fullmatch, pieces) if self.plain else repeat(False)), bool, len(pieces))
+        plain, parts = np.flatnonzero(is_plain), []
+        if len(plain):
+            parts = cut_plain(list(compress(pieces, is_plain)), self.keep_space)
+        mark = np.fromiter(map("\r".__eq__, parts), bool, len(parts))
+        ends = np.flatnonzero(mark) - np.arange(len(plain))
+        parts = list(compress(parts, ~mark))
+        rest = np.flatnonzero(~is_plain).tolist()
+        ids, n = self._parts_ids(parts + ["\r" + pieces[i] for i in rest])
+        at = np.concatenate([[0], np.cumsum(n)])
+        starts, stops = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        starts[plain], stops[plain] = at[np.concatenate([[0], ends])[:-1]], at[ends]
+        starts[rest], stops[rest] = at[len(parts) : -1], at[len(parts) + 1 :]
+        return ids, starts, stops - starts
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text)."""
+        spaced, listed, n_keys = [], [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            keys = self._pieces(t)
-            if keys is None:
-                if t:
-                    whole.append(i)
-                continue
-            found = list(map(lookup, keys))
-            if all(found):
-                out[i] = b"".join(found)
+            p = self._prepared(t)
+            if isinstance(p, str):
+                spaced.append(p)
+                n_keys[i] = -1
             else:
-                at = [j for j, x in enumerate(found) if not x]
-                gaps.append((i, found, at, [keys[j] for j in at]))
-        if gaps:
-            wanted = {k for *_, keys in gaps for k in keys}
-            coded = {k: self.old[k] for k in wanted if k in self.old}  # words still in use move on to the new half
-            new = [k for k in wanted if k not in coded]
-            coded.update(zip(new, self.encode([self._piece(k) for k in new])))
-            for i, found, at, keys in gaps:
-                for j, k in zip(at, keys):
-                    found[j] = coded[k]
-                out[i] = b"".join(found)
-            if len(self.known) + len(coded) > self.limit // 2:
-                self.old, self.known = self.known, {}
-            self.known.update(coded)
-        if whole:
-            for i, ids in zip(whole, self.encode([texts[i] for i in whole])):
-                out[i] = ids
-        return out
+                listed += p
+                n_keys[i] = len(p)
+        easy, whole = np.flatnonzero(n_keys < 0), np.flatnonzero(n_keys >= 0)
+        split = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        n_keys[easy] = np.diff(split.offsets.to_numpy()) if len(easy) else 0
+        keys = pa.concat_arrays([split.flatten(), pa.array(listed, pa.large_string())]).dictionary_encode()
+        ids, begin, n = self._keys_ids(keys.dictionary.to_pylist())
+        at = keys.indices.to_numpy()
+        begin, n = begin[at], n[at]
+        ids = ids[gather(begin, n)]
+        order = np.concatenate([easy, whole])
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(np.concatenate([[0], n_keys[order]]))]
+        counts = np.zeros(len(texts), np.int64)
+        counts[order] = np.diff(ends)
+        if len(whole):  # back to the texts' own order
+            starts = np.zeros(len(texts), np.int64)
+            starts[order] = ends[:-1]
+            ids = ids[gather(starts, counts)]
+        return ids, counts
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        ids, n = self.encode_flat(texts)
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 _caches: dict[tuple, WordCache] = {}
 
 
 def library_cache(name: str, keep_space: bool) -> WordCache:
-    """One cache per Python worker and vocabulary; workers are reused between tasks."""
+    """One cache per Python worker; workers are reused between tasks, and one vocabulary is kept at a time."""
     key = (name, keep_space)
     if key not in _caches:
-        _caches[key] = WordCache(word_encoder(load(name), keep_space), keep_space)
+        _caches.clear()
+        tokenizer = load(name)
+        _caches[key] = WordCache(library_encoder(tokenizer), keep_space, plain=model_encoder(tokenizer))
     return _caches[key]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts_of
+from tidemark.llm.common import slices, texts_of
 
 SAMPLE = 900
 WINDOW, STRIDE = 48, 24
@@ -266,7 +266,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
 
     def run(batches):
         scorer = Scorer(shared.value) if shared.value is not None else None
-        for b in batches:
+        for b in slices(batches):
             texts = texts_of(b["text"])
             s = [scorer.scores(texts[i : i + 1000]) if scorer else np.zeros(len(texts[i : i + 1000])) for i in range(0, len(texts), 1000)]
             s = np.concatenate(s) if s else np.zeros(0)
