@@ -10,31 +10,38 @@ from tidemark.functions.columns import LAMBDA, decay
 from tidemark.sources.bars import series
 
 BLOCK = 256
+#: A weight of the past that no double can show beside the new value.
+GONE = 1e-30
 
 
 def with_ewma(df: DataFrame, x: str, out: str, lam: float = LAMBDA) -> DataFrame:
     """Adds h[t] = a h[t-1] + b x[t]; the first value has full weight and leading NULLs stay NULL.
 
-    Over a gap of g rows the old weight is lam**g against 1 - lam for the new value; rows inside a gap carry h on.
-    Blocks hold ``BLOCK`` rows, so long series are spread and powers of lam never overflow; only one small row per
-    block goes through the fold."""
+    Over a gap of g rows the old weight is lam**g against 1 - lam for the new value; rows inside a gap carry h on. Where
+    a gap is so long that the old weight is below ``GONE``, the level starts anew in a segment of its own, so weights
+    neither vanish nor overflow. Blocks hold ``BLOCK`` rows, so long series are spread; only one small row per block
+    goes through the fold."""
     decay(lam)
     w = series()
     had = F.lag(F.when(F.col(x).isNotNull(), F.col("_pos"))).over(w)
     df = df.withColumn("_pos", F.row_number().over(w) - 1)
     df = df.withColumn("_seen", F.last(had, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     old = F.pow(F.lit(lam), F.col("_pos") - F.col("_seen"))
-    first = F.col("_seen").isNull()
+    first = F.col("_seen").isNull() | (old < GONE)
     valued = F.col(x).isNotNull()
     df = df.withColumns({
         "_block": F.floor(F.col("_pos") / BLOCK),
         "_log_a": F.when(valued & ~first, F.log(old / (old + (1 - lam)))).otherwise(0.0),
         "_bx": F.when(valued, F.when(first, F.col(x)).otherwise(F.col(x) * (1 - lam) / (old + (1 - lam)))).otherwise(0.0),
     })
-    inside = Window.partitionBy("asset", "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    restart = (valued & F.col("_seen").isNotNull() & (old < GONE)).cast("int")
+    so_far = Window.partitionBy("asset", "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_segment", F.sum(restart).over(so_far))
+    inside = Window.partitionBy("asset", "_block", "_segment").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    carried = F.when(F.col("_segment") == 0, F.exp("_s")).otherwise(0.0)
     df = df.withColumn("_s", F.sum("_log_a").over(inside))
     df = df.withColumn("_l", F.exp("_s") * F.sum(F.col("_bx") * F.exp(-F.col("_s"))).over(inside))
-    ends = df.groupBy("asset", "_block").agg(F.max_by(F.struct("_l", F.exp("_s").alias("a")), "_pos").alias("e"))
+    ends = df.groupBy("asset", "_block").agg(F.max_by(F.struct("_l", carried.alias("a")), "_pos").alias("e"))
     folded = ends.groupBy("asset").agg(F.sort_array(F.collect_list(F.struct("_block", "e"))).alias("blocks")).select(
         "asset",
         F.explode(
@@ -47,5 +54,5 @@ def with_ewma(df: DataFrame, x: str, out: str, lam: float = LAMBDA) -> DataFrame
     )
     carries = folded.select("asset", "c._block", "c.carry")
     df = df.join(carries, ["asset", "_block"])
-    level = F.when(F.col(x).isNotNull() | F.col("_seen").isNotNull(), F.col("_l") + F.exp("_s") * F.col("carry"))
-    return df.withColumn(out, level).drop("_pos", "_seen", "_block", "_log_a", "_bx", "_s", "_l", "carry")
+    level = F.when(F.col(x).isNotNull() | F.col("_seen").isNotNull(), F.col("_l") + carried * F.col("carry"))
+    return df.withColumn(out, level).drop("_pos", "_seen", "_block", "_segment", "_log_a", "_bx", "_s", "_l", "carry")

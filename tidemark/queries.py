@@ -83,7 +83,7 @@ bad AS (SELECT asset, asset_class, date, CASE WHEN asset = 'NF' AND day(date) =
 
 MERGE_SQL = f"""{BARS_SQL},
 old AS (SELECT * FROM bars WHERE date < DATE '1996-01-01'),
-new AS (SELECT asset, asset_class, date, open, high, low, close + 1 AS close, volume FROM bars WHERE date >= DATE '1995-12-01' AND date < DATE '1997-01-01'),
+new AS (SELECT asset, asset_class, date, open, high, low, close + 1.0000001::DOUBLE AS close, volume FROM bars WHERE date >= DATE '1995-12-01'),
 merged AS (SELECT * FROM new UNION ALL SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.asset = old.asset AND new.date = old.date))"""
 
 
@@ -125,7 +125,7 @@ def _bad(spark, d):
 def _parts(spark, d):
     df = _bars(spark, d)
     old = df.filter("date < date'1996-01-01'")
-    new = df.filter("date >= date'1995-12-01' and date < date'1997-01-01'").withColumn("close", F.col("close") + 1)
+    new = df.filter("date >= date'1995-12-01'").withColumn("close", F.col("close") + 1.0000001)
     return old, new
 
 
@@ -803,14 +803,14 @@ _PARAM_SQL = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isin
 @query(
     """SELECT asset, date, round(CASE WHEN rp IS NOT NULL THEN coalesce((omega / (1 - alpha - beta) + pow(alpha + beta, pos - rp) * (omega + alpha * r * r + beta * s - omega / (1 - alpha - beta))) / 10000, ewma_var) END, 6) + 0.0 AS garch_var,
   CAST(rp IS NOT NULL AND coalesce(status <> 'ok', false) AS INTEGER) AS garch_fallback FROM (SELECT x.*, p.status, g.omega, g.alpha, g.beta, g.s, g.r FROM
-  (SELECT *, CASE WHEN pos >= 252 THEN CAST(floor((pos - 252) / 252.0) * 252 + 252 AS BIGINT) END AS rp FROM feat WHERE asset IN ('AF', 'NF') AND pos < 1008) x
+  (SELECT *, CASE WHEN pos >= 252 THEN CAST(floor((pos - 252) / 252.0) * 252 + 252 AS BIGINT) END AS rp FROM feat) x
   LEFT JOIN params p ON p.asset = x.asset AND p.rp = x.rp LEFT JOIN good g ON g.asset = x.asset AND g.rp = p.rp)""",
     f"""{FEATURES_SQL}, params AS (SELECT * FROM (VALUES {_PARAM_SQL}) v(asset, rp, omega, alpha, beta, s, r, status)),
 good AS (SELECT p.asset, p.rp, arg_max(o.omega, o.rp) AS omega, arg_max(o.alpha, o.rp) AS alpha, arg_max(o.beta, o.rp) AS beta, arg_max(o.s, o.rp) AS s, arg_max(o.r, o.rp) AS r
   FROM params p JOIN params o ON o.asset = p.asset AND o.rp <= p.rp AND o.status = 'ok' GROUP BY p.asset, p.rp)""",
 )
 def m05_garch_fallback(spark, d):
-    df = folds.with_positions(_features(spark, d)).filter("asset in ('AF', 'NF') and pos < 1008")
+    df = folds.with_positions(_features(spark, d))
     out = garch.garch_forecast(df, spark.createDataFrame(_PARAMS, garch.PARAMS), step=252)
     return out.select("asset", "date", "garch_var", F.coalesce("garch_fallback", F.lit(0)).alias("garch_fallback"))
 
