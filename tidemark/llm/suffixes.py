@@ -9,7 +9,8 @@ leftmost smallest hash among the short strings inside it. Equal windows have equ
    aggregated to one with its smallest document: every other document is covered by it there.
 3. Each different stretch sends its minimizers with their windows (about 65 bytes) to ranges again; the different
    pieces of a minimizer are suffix-sorted, and windows that meet in the suffix array share the smallest document.
-   The windows of a frequent minimizer (``HOT``) go under their own hashes, so that no task gathers all its contexts.
+   The windows of a frequent minimizer (``HOT``) are compared one by one instead, by their digests in an aggregation
+   that Spark combines in every task, so that no task gathers all its contexts.
 4. Covered ranges return to their documents, which cut them out.
 
 Copies are never expanded into pairs: a string that many documents hold is one piece with one smallest document, and a
@@ -292,7 +293,7 @@ SHARED = "bucket int, docs binary, tids binary, local binary, first binary, hot
 
 
 def _batch(schema: str, columns) -> pa.RecordBatch:
-    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
     fields = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, types[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
@@ -323,6 +324,7 @@ def _anchors_sent(n_ranges: int):
 
     def run(batches):
         for b in slices(batches, limit=PART_CHARS):
+            released()
             docs, tids, buckets = (b[c].to_numpy() for c in ("doc_id", "tid", "bucket"))
             h, local, first, _, _ = minimizers([t.encode() for t in texts_of(b["text"])])
             if not len(h):
@@ -344,7 +346,7 @@ def _anchors_sent(n_ranges: int):
                     column.append(value)
 
             if sure.any():
-                send(int(h[0] % np.uint64(n_ranges)), np.flatnonzero(sure), b"", b"")
+                send(int(np.bitwise_xor.reduce(tids ^ docs) % n_ranges), np.flatnonzero(sure), b"", b"")
             # All places of one document's repeated minimizer are looked for; of a shared one, its first place only.
             kept = np.flatnonzero(~sure)
             many = np.ones(len(h), np.int64)
@@ -379,41 +381,46 @@ def _shared_anchors(often_from: int):
 
     def run(batches):
         for _, rows in _groups(batches, "range"):
+            # What was sent on without hashes only goes to its buckets.
+            for r in (r for r in rows if not r["hashes"]):
+                docs, tids, buckets = (np.frombuffer(r[c], t) for c, t in (("docs", "<i8"), ("tids", "<i8"), ("buckets", "<i4")))
+                yield answers(docs, tids, buckets, _places(r["local"], len(docs)).astype(np.int64), np.frombuffer(r["first"], "<u4"))
+            rows = [r for r in rows if r["hashes"]]
+            if not rows:
+                continue
             docs, tids, buckets = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("docs", "<i8"), ("tids", "<i8"), ("buckets", "<i4")))
             before = np.cumsum([0] + [len(r["docs"]) // 8 for r in rows])
             local = np.concatenate([_places(r["local"], len(r["docs"]) // 8).astype(np.int64) + n for r, n in zip(rows, before)])
             first = np.concatenate([np.frombuffer(r["first"], "<u4") for r in rows])
-            searched = np.concatenate([np.full(len(r["first"]) // 4, bool(r["hashes"])) for r in rows])
             h = np.concatenate([_long(r["hashes"]) for r in rows])
             times = np.concatenate([np.frombuffer(r["times"], "<u4") for r in rows]).astype(np.int64)
-            keep = ~searched
-            hot = np.zeros(0, np.uint64)
-            if len(h):
-                at = np.flatnonzero(searched)
-                order = np.argsort(h, kind="stable")
-                hs, ds = h[order], docs[local[at[order]]]
-                cut = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-                number = np.add.reduceat(times[order], cut)
-                differ = (np.minimum.reduceat(ds, cut) != np.maximum.reduceat(ds, cut)) | (np.maximum.reduceat(times[order], cut) > 1)
-                keep[at[order]] = np.repeat(differ, np.diff(np.append(cut, len(hs))))
-                often = differ & (number >= often_from)
-                hot, number = hs[cut[often]], number[often]
-            out = [[] for _ in range(7)]
-            kept = np.flatnonzero(keep)
-            kept = kept[np.argsort(buckets[local[kept]], kind="stable")]
-            owner = buckets[local[kept]]
-            bounds = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(kept) else [0]
-            for s, e in zip(bounds[:-1], bounds[1:]):
-                k = kept[s:e]
-                used, places = _local(local[k])
-                values = (int(owner[s]), docs[used].tobytes(), tids[used].tobytes(), places, first[k].astype("<u4").tobytes(), None, None)
-                for column, value in zip(out, values):
-                    column.append(value)
-            for column in out[:5]:
-                column += [None] * len(hot)
-            out[5] += hot.tolist()
-            out[6] += number.tolist() if len(hot) else []
-            yield _batch(SHARED, out)
+            del rows
+            order = np.argsort(h, kind="stable")
+            hs, ds = h[order], docs[local[order]]
+            cut = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
+            number = np.add.reduceat(times[order], cut)
+            differ = (np.minimum.reduceat(ds, cut) != np.maximum.reduceat(ds, cut)) | (np.maximum.reduceat(times[order], cut) > 1)
+            keep = order[np.repeat(differ, np.diff(np.append(cut, len(hs))))]
+            often = differ & (number >= often_from)
+            yield answers(docs, tids, buckets, local[keep], first[keep], hs[cut[often]].tolist(), number[often].tolist())
+        released()
+
+    def answers(docs, tids, buckets, local, first, hot=(), number=()):
+        out = [[] for _ in range(7)]
+        order = np.argsort(buckets[local], kind="stable")
+        local, first = local[order], first[order]
+        owner = buckets[local]
+        bounds = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(owner) else [0]
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            used, places = _local(local[s:e])
+            values = (int(owner[s]), docs[used].tobytes(), tids[used].tobytes(), places, first[s:e].astype("<u4").tobytes(), None, None)
+            for column, value in zip(out, values):
+                column.append(value)
+        for column in out[:5]:
+            column += [None] * len(hot)
+        out[5] += hot
+        out[6] += number
+        return _batch(SHARED, out)
 
     return run
 
@@ -424,60 +431,76 @@ def _hot_list(shared: DataFrame) -> np.ndarray:
     return np.sort(found.to_numpy().astype(np.uint64))
 
 
-STRETCH = "s1 long, s2 long, doc_id long, tid long, start int, stretch binary"
+STRETCH = "s1 long, s2 long, doc_id long, tid long, start int, stretch binary, hot boolean"
 #: One in so many minimizers ends a stretch, so that equal passages are cut alike wherever they stand.
 CUT = 16
 
 
-def _stretches(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Runs of shared minimizers of a bucket's documents, cut where a minimizer's hash says so."""
-    texts = [t.encode() for t in texts_of(left["text"])]
-    docs, tids = (left[c].to_numpy() for c in ("doc_id", "tid"))
-    row_of = {k: i for i, k in enumerate(zip(docs.tolist(), tids.tolist()))}
-    held = []
-    for r in right.to_pylist():
-        rows = zip(np.frombuffer(r["docs"], "<i8").tolist(), np.frombuffer(r["tids"], "<i8").tolist())
-        row = np.array([row_of.get(k, -1) for k in rows], np.int64)
-        held.append(row[_places(r["local"], len(row))] << 32 | np.frombuffer(r["first"], "<u4"))
-    h, t, first, last, _ = minimizers(texts)
-    at = np.flatnonzero(np.isin(t << 32 | first, np.concatenate(held))) if held and len(h) else np.zeros(0, np.int64)
-    cut = (np.diff(at) != 1) | (t[at[1:]] != t[at[:-1]]) | (h[at[:-1]] % np.uint64(CUT) == 0)
-    opens = at[np.concatenate([[True], cut])[: len(at)]]
-    closes = at[np.concatenate([cut, [True]])[: len(at)]]
-    begin, end, owner = first[opens].tolist(), (last[closes] + WINDOW).tolist(), t[opens]
-    pieces = [texts[i][s:e] for i, s, e in zip(owner.tolist(), begin, end)]
-    s1, s2 = ([f(p) - (1 << 63) for p in pieces] for f in (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest))
-    return pa.Table.from_batches([_batch(STRETCH, (s1, s2, docs[owner], tids[owner], begin, pieces))])
+def _stretches(frequent):
+    """Runs of shared minimizers of a bucket's documents, cut where a minimizer's hash says so; ``hot`` ones hold a
+    frequent minimizer."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = [t.encode() for t in texts_of(left["text"])]
+        docs, tids = (left[c].to_numpy() for c in ("doc_id", "tid"))
+        row_of = {k: i for i, k in enumerate(zip(docs.tolist(), tids.tolist()))}
+        held = []
+        for r in right.to_pylist():
+            rows = zip(np.frombuffer(r["docs"], "<i8").tolist(), np.frombuffer(r["tids"], "<i8").tolist())
+            row = np.array([row_of.get(k, -1) for k in rows], np.int64)
+            held.append(row[_places(r["local"], len(row))] << 32 | np.frombuffer(r["first"], "<u4"))
+        h, t, first, last, _ = minimizers(texts)
+        at = np.flatnonzero(np.isin(t << 32 | first, np.concatenate(held))) if held and len(h) else np.zeros(0, np.int64)
+        cut = (np.diff(at) != 1) | (t[at[1:]] != t[at[:-1]]) | (h[at[:-1]] % np.uint64(CUT) == 0)
+        opens = at[np.concatenate([[True], cut])[: len(at)]]
+        closes = at[np.concatenate([cut, [True]])[: len(at)]]
+        begin, end, owner = first[opens].tolist(), (last[closes] + WINDOW).tolist(), t[opens]
+        pieces = [texts[i][s:e] for i, s, e in zip(owner.tolist(), begin, end)]
+        s1, s2 = ([f(p) - (1 << 63) for p in pieces] for f in (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest))
+        often = np.concatenate([[0], np.cumsum(np.isin(h[at] >> np.uint64(16), frequent.value))])
+        some = np.diff(often[np.searchsorted(at, np.append(opens, len(h)))]) > 0
+        released()
+        return pa.Table.from_batches([_batch(STRETCH, (s1, s2, docs[owner], tids[owner], begin, pieces, some))])
+
+    return run
 
 
 PIECE = "hash long, s1 long, s2 long, least long, off int, middle int, piece binary"
 
 
-def _pieces(hot):
-    """The windows of each minimizer of different stretches, with the stretch's smallest document. The windows of a
-    frequent minimizer go one by one, each under its own hash: so its group is dealt to many tasks."""
+def _pieces(frequent):
+    """The windows of each minimizer of different stretches that is not frequent, with the stretch's smallest document."""
 
     def run(batches):
-        frequent = hot.value
         for b in slices(batches, "stretch", PART_CHARS // 4):
             s1, s2, least = (b[c].to_numpy() for c in ("s1", "s2", "least"))
             raws = b["stretch"].to_pylist()
             h, row, first, last, place = minimizers(raws)
-            often = np.isin(h >> np.uint64(16), frequent)
-            for many in (False, True):
-                k = np.flatnonzero(often == many)
-                if not len(k):
-                    continue
-                name, own, s, e, m = h[k], row[k], first[k], last[k], place[k] - first[k]
-                if many:
-                    each = e - s + 1
-                    own, m = np.repeat(own, each), np.zeros(int(each.sum()), np.int64)
-                    s = np.repeat(s - np.cumsum(each) + each, each) + np.arange(len(own))
-                    e = s
-                pieces = [raws[i][x : z + WINDOW] for i, x, z in zip(own.tolist(), s.tolist(), e.tolist())]
-                if many:
-                    name = np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], np.uint64)
-                yield _batch(PIECE, (name.view(np.int64), s1[own], s2[own], least[own], s, m, pieces))
+            k = np.flatnonzero(~np.isin(h >> np.uint64(16), frequent.value))
+            h, row, first, last, place = (c[k] for c in (h, row, first, last, place))
+            pieces = [raws[i][s : e + WINDOW] for i, s, e in zip(row.tolist(), first.tolist(), last.tolist())]
+            yield _batch(PIECE, (h.view(np.int64), s1[row], s2[row], least[row], first, place - first, pieces))
+
+    return run
+
+
+HOT_WINDOW = "d1 long, d2 long, s1 long, s2 long, least long, off int"
+
+
+def _hot_windows(frequent):
+    """The windows of frequent minimizers of different stretches, one by one."""
+
+    def run(batches):
+        for b in slices(batches, "stretch", PART_CHARS // 16):
+            s1, s2, least = (b[c].to_numpy() for c in ("s1", "s2", "least"))
+            raws = b["stretch"].to_pylist()
+            h, row, first, last, _ = minimizers(raws)
+            k = np.flatnonzero(np.isin(h >> np.uint64(16), frequent.value))
+            n = last[k] - first[k] + 1
+            row, off = np.repeat(row[k], n), gather(first[k], n)
+            windows = [raws[i][s : s + WINDOW] for i, s in zip(row.tolist(), off.tolist())]
+            d1, d2 = ([f(w) - (1 << 63) for w in windows] for f in (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest))
+            yield _batch(HOT_WINDOW, (d1, d2, s1[row], s2[row], least[row], off))
 
     return run
 
@@ -565,12 +588,18 @@ def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(_hot_list(shared))
     texts = src.dropDuplicates(["doc_id", "tid"]) if _repeats(src) else src
     held = shared.filter("bucket is not null").drop("hot", "times")
-    stretches = stored(texts.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_stretches, STRETCH))
+    stretches = stored(texts.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_stretches(frequent), STRETCH))
     dropped(shared)
     different = stretches.groupBy("s1", "s2", "stretch").agg(F.min("doc_id").alias("least"))
     pieces = different.mapInArrow(_pieces(frequent), PIECE).repartition(n_ranges, "hash").sortWithinPartitions("hash")
     owned = stored(pieces.mapInArrow(_owned, OWNED))
-    parts = owned.groupBy("s1", "s2").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
+    # Each window of a frequent minimizer by itself: an aggregation combined in every task, and a join that may be skewed.
+    some = stretches.filter("hot").groupBy("s1", "s2", "stretch").agg(F.min("doc_id").alias("least"))
+    windows = stored(some.mapInArrow(_hot_windows(frequent), HOT_WINDOW))
+    lows = windows.groupBy("d1", "d2").agg(F.min("least").alias("low"))
+    under = windows.join(lows.hint("merge"), ["d1", "d2"]).filter("least > low")
+    under = under.select("s1", "s2", F.col("off").alias("start"), (F.col("off") + WINDOW).alias("end"))
+    parts = owned.unionByName(under).groupBy("s1", "s2").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
     held = stretches.select("s1", "s2", "doc_id", "tid", "start", F.octet_length("stretch").alias("size"))
     least = held.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
     whole = held.join(least, ["s1", "s2"])
@@ -580,7 +609,7 @@ def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     first = first.select("doc_id", "tid", (F.col("start") + F.col("p.start")).alias("a"), (F.col("start") + F.col("p.end")).alias("z"))
     ranges = F.collect_list(F.struct(F.col("a").cast("int").alias("start"), F.col("z").cast("int").alias("end")))
     found = stored(covered.unionByName(first).groupBy("doc_id", "tid").agg(ranges.alias("ranges")))
-    dropped(stretches, owned)
+    dropped(stretches, owned, windows)
     return found
 
 
@@ -615,7 +644,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     joined = _keyed(docs).join(covered_ranges(docs), ["doc_id", "tid"], "left")
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, limit=PART_CHARS // 3):
             out = [[] for _ in range(4)]
             for text, ranges in zip(texts_of(b["text"]), b["ranges"].to_pylist()):
                 raw, runs = text.encode(), _merged(ranges)
