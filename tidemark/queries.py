@@ -83,7 +83,7 @@ bad AS (SELECT asset, asset_class, date, CASE WHEN asset = 'NF' AND day(date) =
 
 MERGE_SQL = f"""{BARS_SQL},
 old AS (SELECT * FROM bars WHERE date < DATE '1996-01-01'),
-new AS (SELECT asset, asset_class, date, open, high, low, close + 1.0000001::DOUBLE AS close, volume FROM bars WHERE date >= DATE '1995-12-01'),
+new AS (SELECT asset, asset_class, date, open, high, low, close + 1 AS close, volume FROM bars WHERE date >= DATE '1995-12-01'),
 merged AS (SELECT * FROM new UNION ALL SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.asset = old.asset AND new.date = old.date))"""
 
 
@@ -125,7 +125,7 @@ def _bad(spark, d):
 def _parts(spark, d):
     df = _bars(spark, d)
     old = df.filter("date < date'1996-01-01'")
-    new = df.filter("date >= date'1995-12-01'").withColumn("close", F.col("close") + 1.0000001)
+    new = df.filter("date >= date'1995-12-01'").withColumn("close", F.col("close") + 1)
     return old, new
 
 
