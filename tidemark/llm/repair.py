@@ -69,9 +69,9 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, max_symbols: int = MA
     Rounds go on until no pair occurs ``min_count`` times. Pairs are counted once; then a round takes off what stood
     around its replaced places and adds what stands there now. Pairs of older symbols only become rarer, so what is
     once below the least count is forgotten."""
-    sym, left, right = ids.astype(np.int32), [], []
+    sym, left, right = ids.astype(np.int64), [], []
     lengths = np.ones(base, np.int64)
-    key = lambda at: sym[at].astype(np.int64) << 32 | sym[at + 1]
+    key = lambda at: sym[at] << 32 | sym[at + 1]
     keys, counts = _counted(key(np.flatnonzero(~last[:-1])))
     while True:
         often = counts >= min_count
@@ -79,10 +79,11 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, max_symbols: int = MA
         if not len(keys) or len(lengths) >= max_symbols:
             break
         chosen = _choose(keys, counts, max_symbols - len(lengths))
-        is_left, is_right = np.zeros(len(lengths), bool), np.zeros(len(lengths), bool)
-        is_left[chosen >> 32] = True
-        is_right[chosen & 0xFFFFFFFF] = True
-        at = np.flatnonzero(is_left[sym[:-1]] & is_right[sym[1:]] & ~last[:-1])
+        side = np.zeros(len(lengths), np.uint8)  # 1: a left part, 2: a right part, 3: both (a pair of one symbol)
+        side[chosen >> 32] = 1
+        side[chosen & 0xFFFFFFFF] |= 2
+        mine = side[sym]
+        at = np.flatnonzero((mine[:-1] & 1) & (mine[1:] >> 1) & ~last[:-1])
         found = key(at)
         rule = np.minimum(np.searchsorted(chosen, found), len(chosen) - 1)
         ok = chosen[rule] == found
@@ -91,9 +92,10 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, max_symbols: int = MA
         run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
         ok = (np.arange(len(at)) - run) % 2 == 0
         at, rule = at[ok], rule[ok]
-        touched = np.zeros(len(sym) + 1, bool)  # pairs by the place of their left symbol
-        touched[at] = touched[at + 1] = touched[at - 1] = True
-        gone, less = _counted(key(np.flatnonzero(touched[: len(sym) - 1] & ~last[:-1])))
+        # Pairs by the place of their left symbol: each replaced pair and its neighbours, once each.
+        before = (at - 1)[np.concatenate([[True], np.diff(at) != 2])[: len(at)]]
+        around = np.concatenate([before[before >= 0], at, (at + 1)[at + 2 < len(sym)]])
+        gone, less = _counted(key(around[~last[around]]))
         sym[at] = len(lengths) + rule
         last = last.copy()
         last[at] |= last[at + 1]
@@ -101,9 +103,9 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, max_symbols: int = MA
         keep[at + 1] = False
         now = at - np.arange(len(at))  # where the new symbols stand
         sym, last = sym[keep], last[keep]
-        touched = np.zeros(len(sym) + 1, bool)
-        touched[now] = touched[now - 1] = True
-        new, more = _counted(key(np.flatnonzero(touched[: len(sym) - 1] & ~last[:-1])))
+        before = (now - 1)[np.concatenate([[True], np.diff(now) != 1])[: len(now)]]
+        around = np.concatenate([before[before >= 0], now[now + 1 < len(sym)]])
+        new, more = _counted(key(around[~last[around]]))
         where = np.minimum(np.searchsorted(keys, gone), len(keys) - 1)
         hit = keys[where] == gone
         counts[where[hit]] -= less[hit]

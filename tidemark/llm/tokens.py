@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pre-tokens kept per Python worker (about 150 bytes each), in two halves: when the newer one is full, the older one goes.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 #: Longer ones are not kept.
 LONGEST = 64
 
