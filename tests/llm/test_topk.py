@@ -37,3 +37,22 @@ def test_stops_early():
     lists = topk.SortedLists(np.arange(5000), rows)
     ids, scores = lists.top(-1, np.array([3, 0]), 2)
     assert ids.tolist() == [4999, 4998] and scores.tolist() == [14997, 14994]
+    assert lists.scored <= 4
+
+
+def test_scores_few_rows_of_skewed_vectors():
+    """Components that fall off quickly: a small part is scored, and a floor known from elsewhere makes it smaller."""
+    r = np.random.default_rng(3)
+    rows = np.floor(1024 * r.standard_normal((8000, 16)) * 0.3 ** np.arange(16)).astype(np.int64)
+    lists = topk.SortedLists(np.arange(8000), rows)
+    part, floored = [], []
+    for i in range(0, 8000, 400):
+        scores = rows @ rows[i]
+        scores[i] = -(1 << 50)
+        want = np.lexsort((np.arange(8000), -scores))[:10]
+        ids, found = lists.top(i, rows[i], 10)
+        assert ids.tolist() == want.tolist() and found.tolist() == scores[want].tolist()
+        part.append(lists.scored / 8000)
+        assert lists.top(i, rows[i], 10, int(found[-1]))[0].tolist() == want.tolist()
+        floored.append(lists.scored / 8000)
+    assert np.mean(part) < 0.4 and np.mean(floored) <= np.mean(part)

@@ -1,8 +1,13 @@
 """Exact top-k inner products by Fagin's threshold algorithm over sorted per-dimension lists.
 
-Candidates are dealt to blocks, queries to blocks of their own; each pair of blocks is one task's work. A task sorts its
-candidates once per dimension and, for each query, walks all lists at once from their best ends, scoring what it meets
-for the first time, until no unseen candidate can reach the kth score. Only k rows per query and block leave a task.
+Candidates are dealt to blocks. A first pass sends each query to one block: the kth score found there is a floor that no
+result can lie below. In the second pass queries, in blocks of their own, meet all candidate blocks with their floors; a
+pair of blocks is one task's work. A task sorts its candidates once per dimension and, for each query, walks all lists
+at once from their best ends, a row of each list at first, then more; it scores what it meets for the first time, until no
+unseen candidate can reach the floor or the kth score. Only k rows per query and block leave a task.
+
+The bound is the inner product of the query with the lists' last values. It is tight where few dimensions carry the
+scores; in many dimensions of equal weight it lies above all scores until most rows have been met.
 
 Components become floor(1024 * x) as integers. Vectors that are null, empty, or hold a null or non-finite component take
 no part; neither do candidates of another dimension than the query's. Ties go to the smaller vec_id, so a list is walked
@@ -20,8 +25,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import stored
 
-CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 1024
-FIRST_DEPTH = 64
+CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 4096
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
@@ -43,32 +47,39 @@ class SortedLists:
         self.up = np.argsort(self.rows, axis=0, kind="stable")
         self.values = np.take_along_axis(self.rows, self.up, axis=0)
 
-    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(vec_ids, scores) of the k best candidates, best first, ties by vec_id."""
+    def top(self, query_id: int, q: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(vec_ids, scores) of the k best candidates, best first, ties by vec_id. Candidates that score less than
+        ``floor`` may be missing. ``scored`` then holds how many were scored."""
         n = len(self.ids)
         used = np.flatnonzero(q)
         down = q[used] > 0  # large components first where the query's is positive
+        weight = q[used]
         seen = np.zeros(n, bool)
         best_at, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        depth, step = 0, FIRST_DEPTH
+        depth = step = scored = 0
         while depth < n:
+            # the best that a candidate can reach that no list has shown yet
+            bound = int(np.where(down, self.values[n - 1 - depth, used], self.values[depth, used]) @ weight)
+            least = max((x for x in (floor, best[-1] if len(best) == k else None) if x is not None), default=None)
+            if least is not None and bound < least:
+                break
+            step = max(1, step * 2)
             end = min(n, depth + step)
             fresh = np.zeros(n, bool)
             fresh[self.up[n - end : n - depth, used[down]].ravel()] = True
             fresh[self.up[depth:end, used[~down]].ravel()] = True
             if not len(used):
-                fresh[:] = True  # a zero query: every score is 0
+                fresh[:], end = True, n  # a zero query: every score is 0
             fresh &= ~seen
             seen |= fresh
             new = np.flatnonzero(fresh)
             new = new[self.ids[new] != query_id]
+            scored += len(new)
             at, score = np.concatenate([best_at, new]), np.concatenate([best, self.rows[new] @ q])
             order = np.lexsort((at, -score))[:k]
             best_at, best = at[order], score[order]
-            last = np.where(down, self.values[n - end, used], self.values[end - 1, used])
-            if len(best) == k and int(last @ q[used]) < best[-1]:
-                break
-            depth, step = end, step * 2
+            depth = n if seen.all() else end
+        self.scored = scored
         return self.ids[best_at], best
 
 
@@ -90,22 +101,34 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     n_c, n_q = -(-max(sizes["n"], 1) // CANDIDATE_BLOCK), -(-max(sizes["q"], 1) // QUERY_BLOCK)
     blocks = lambda n: f"explode(sequence(0, {n - 1}))"
     queries = rows.filter(is_query).groupBy("vec_id").agg(F.first("v").alias("v"))
-    queries = queries.selectExpr("vec_id", "v", f"cast(pmod(xxhash64(vec_id, 1), {n_q}) as int) as qb", f"{blocks(n_c)} as cb")
-    candidates = rows.selectExpr("vec_id", "v", f"cast(pmod(xxhash64(vec_id, 2), {n_c}) as int) as cb", f"{blocks(n_q)} as qb")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            asked, held = (_matrix(t["vec_id"].combine_chunks(), t["v"].combine_chunks()) for t in (left, right))
-            for d, (ids, qs) in asked.items():
-                if d in held:
-                    lists = SortedLists(*held[d])
-                    for i, q in zip(ids.tolist(), qs):
-                        found, scores = lists.top(i, q, k)
-                        for column, value in zip(out, ([i] * len(found), found.tolist(), scores.tolist())):
-                            column += value
-        return pa.table([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
-
-    found = queries.groupBy("cb", "qb").cogroup(candidates.groupBy("cb", "qb")).applyInArrow(search, "query_id long, vec_id long, score long")
+    candidates = rows.selectExpr("vec_id as held_id", "v as held_v", f"cast(pmod(xxhash64(vec_id, 2), {n_c}) as int) as held_cb")
+
+    def search(with_floor: bool):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = [[], [], []]
+            if left.num_rows and right.num_rows:
+                floors = dict(zip(left["vec_id"].to_pylist(), left["floor"].to_pylist())) if with_floor else {}
+                asked = _matrix(left["vec_id"].combine_chunks(), left["v"].combine_chunks())
+                held = _matrix(right["held_id"].combine_chunks(), right["held_v"].combine_chunks())
+                for d, (ids, qs) in asked.items():
+                    if d in held:
+                        lists = SortedLists(*held[d])
+                        for i, q in zip(ids.tolist(), qs):
+                            found, scores = lists.top(i, q, k, floors.get(i))
+                            for column, value in zip(out, ([i] * len(found), found.tolist(), scores.tolist())):
+                                column += value
+            return pa.table([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+
+        return run
+
+    found = "query_id long, vec_id long, score long"
+    home = queries.selectExpr("vec_id", "v", f"cast(pmod(xxhash64(vec_id, 3), {n_c}) as int) as cb")
+    first = home.groupBy("cb").cogroup(candidates.groupBy("held_cb")).applyInArrow(search(False), found)
+    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(f"n = {k}")
+    floors = stored(floors.select("query_id", "floor")).hint("merge")
+    asked = queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").drop("query_id")
+    asked = asked.selectExpr("vec_id", "v", "floor", f"cast(pmod(xxhash64(vec_id, 1), {n_q}) as int) as qb", f"{blocks(n_c)} as cb")
+    pairs = candidates.select("*", F.expr(f"{blocks(n_q)} as held_qb"))
+    met = asked.groupBy("cb", "qb").cogroup(pairs.groupBy("held_cb", "held_qb")).applyInArrow(search(True), found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
