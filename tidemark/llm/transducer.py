@@ -10,7 +10,8 @@ Two machines are compiled from a byte-level BPE vocabulary.
   state holds the bytes that a token may still span and, for each place in them where one could begin, the last token
   before it. A token may end a prefix only if no merge could join it with the token before; the first byte of a
   pre-token leads back to the root, so chunk maps of the counter are constant after their first boundary and each
-  lane simply runs on to the first boundary of the next chunk.
+  lane simply runs on to the first boundary of the next chunk. A pre-token of many chunks is counted in parts: their
+  maps, made at the entry state that the bytes before a part lead to, compose from part to part.
 
 Null and empty texts have no tokens; texts are counted whole; special tokens inside texts count as one.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
 from tidemark.llm.bpe import Vocabulary
-from tidemark.llm.common import text_batches, texts_of
+from tidemark.llm.common import slices, texts_of
 
 CHUNK = 512
 
@@ -165,7 +166,10 @@ def boundaries(classes: np.ndarray, doc_starts: np.ndarray, chunk: int = CHUNK)
 class Counter:
     """The counting transducer, compiled lazily and kept for the life of a Python worker."""
 
-    MAX_STATES = 250_000
+    #: States kept (about 1 KB each); beyond that only those in use are, also within a batch.
+    MAX_STATES = 100_000
+    #: Longer pre-tokens are counted in parts of so many bytes, each entered with the state that so many bytes before it lead to.
+    PART, WARM_UP = 2048, 96
 
     def __init__(self, vocabulary: Vocabulary):
         v = vocabulary
@@ -215,7 +219,7 @@ class Counter:
                     r = self.rank.get((x, y))
                     if r is not None and r < up_x and r <= up_y:
                         known = False
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -236,11 +240,7 @@ class Counter:
         live, base = s[k:], now[1]
         left = [(e[0], e[1] - base) if e is not None and live[i:] in self.open else None for i, e in enumerate(ends[k:])]
         made = (live, (*left, (t, 0)))
-        found = self.index.get(made)
-        if found is None:
-            found = self.index[made] = len(self.states)
-            self.states.append(made)
-        return found, base
+        return self._number(made), base
 
     def _compile(self, keys: np.ndarray) -> None:
         """Fills in transitions that the input asks for."""
@@ -248,26 +248,31 @@ class Counter:
         for k in keys.tolist():
             state, column = divmod(k, self.width)
             to, base = self._step(state, int(byte_of[column]))
-            while len(self.states) * self.width > len(self.next):
-                self.next = np.concatenate([self.next, np.full(len(self.next), -1, np.int32)])
-                self.delta = np.concatenate([self.delta, np.zeros(len(self.delta), np.int8)])
             self.next[k], self.delta[k] = to, base
 
-    def count(self, data: np.ndarray, cuts: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Tokens of each lane: from its first pre-token that begins in [begin, stop) to the end of its last."""
-        new = np.flatnonzero((np.bincount(data, minlength=256) > 0) & (self.column < 0))
-        self.column[new] = self.columns + np.arange(len(new))
-        self.columns += len(new)
-        if self.columns > self.width or len(self.states) > self.MAX_STATES:
-            self._clear()
-        columns = self.column[data]
-        at = np.append(np.flatnonzero(cuts), len(data))
-        pos, end = at[np.searchsorted(at, begin)], at[np.searchsorted(at, stop)]
-        total = np.zeros(len(begin), np.int64)
+    def _room(self) -> None:
+        while len(self.states) * self.width > len(self.next):
+            self.next = np.concatenate([self.next, np.full(len(self.next), -1, np.int32)])
+            self.delta = np.concatenate([self.delta, np.zeros(len(self.delta), np.int8)])
+
+    def _number(self, made: tuple) -> int:
+        """The number of a state, new or known."""
+        found = self.index.get(made)
+        if found is None:
+            found = self.index[made] = len(self.states)
+            self.states.append(made)
+            self._room()
+        return found
+
+    def _run(self, columns: np.ndarray, cuts: np.ndarray | None, pos: np.ndarray, end: np.ndarray, entry: list[tuple]):
+        """(tokens, exit state) of each lane pos..end, entered in a state of its own; ``cuts`` lead back to the root."""
+        total, final = np.zeros(len(pos), np.int64), list(entry)
         live = np.flatnonzero(pos < end)
-        pos, end, state = pos[live], end[live], np.zeros(len(live), np.int64)
+        pos, end = pos[live], end[live]
+        state = np.array([self._number(entry[i]) for i in live.tolist()], np.int64)
         while len(live):
-            state[cuts[pos]] = 0
+            if cuts is not None:
+                state[cuts[pos]] = 0
             key = state * self.width + columns[pos]
             to = self.next[key]
             if (to < 0).any():
@@ -275,10 +280,56 @@ class Counter:
                 to = self.next[key]
             total[live] += self.delta[key]
             state = to.astype(np.int64)
-            pos += 1
+            pos = pos + 1
             on = pos < end
             if not on.all():
+                for i, k in zip(live[~on].tolist(), state[~on].tolist()):
+                    final[i] = self.states[k]
                 live, pos, end, state = live[on], pos[on], end[on], state[on]
+            if len(self.states) > self.MAX_STATES:
+                used, place = np.unique(state, return_inverse=True)
+                kept = [self.states[k] for k in used.tolist()]
+                self._clear()
+                state = np.array([self._number(k) for k in kept], np.int64)[place] if len(kept) else state
+        return total, final
+
+    def _long(self, columns: np.ndarray, start: int, end: int) -> int:
+        """Tokens of one long pre-token. Its parts run side by side, each from the state that the bytes just before it
+        lead to; that gives the part's state map at one entry. Maps compose from the first part on; where a part was not
+        entered in its true state, it runs again from that one."""
+        at = np.arange(start, end, self.PART)
+        stop = np.minimum(at + self.PART, end)
+        root = (b"", ((None, 0),))
+        warm = np.maximum(at - self.WARM_UP, start)
+        _, entry = self._run(columns, None, warm, at, [root] * len(at))
+        total, leave = self._run(columns, None, at, stop, entry)
+        n, state = 0, root
+        for i in range(len(at)):
+            if state == entry[i]:
+                n, state = n + int(total[i]), leave[i]
+            else:
+                more, (state,) = self._run(columns, None, at[i : i + 1], stop[i : i + 1], [state])
+                n += int(more[0])
+        return n
+
+    def count(self, data: np.ndarray, cuts: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Tokens of each lane: from its first pre-token that begins in [begin, stop) to the end of its last."""
+        new = np.flatnonzero((np.bincount(data, minlength=256) > 0) & (self.column < 0))
+        self.column[new] = self.columns + np.arange(len(new))
+        self.columns += len(new)
+        if self.columns > self.width:
+            self._clear()
+        columns = self.column[data]
+        at = np.append(np.flatnonzero(cuts), len(data))
+        first, after = np.searchsorted(at, begin), np.searchsorted(at, stop)
+        pos, end = at[first], at[after]
+        last = at[np.maximum(after - 1, 0)]  # where the lane's last pre-token begins
+        long = np.flatnonzero((pos < end) & (end - last > 2 * self.PART))
+        tail = end[long]
+        end[long] = last[long]
+        total, _ = self._run(columns, cuts, pos, end, [self.states[0]] * len(pos))
+        for i, s, e in zip(long.tolist(), last[long].tolist(), tail.tolist()):
+            total[i] += self._long(columns, s, e)
         return total
 
 
@@ -341,13 +392,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
         if tokenizer not in _counters:
             _counters[tokenizer] = TokenCounter(tokenizer, classes.value)
         counter = _counters[tokenizer]
-        for b in batches:
-            texts = texts_of(b["text"])
-            for s, e in text_batches(texts):
-                size, n = counter.counts(texts[s:e])
-                yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"][s:e], pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
-                )
+        for b in slices(batches):
+            size, n = counter.counts(texts_of(b["text"]))
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+            )
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return src.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
