@@ -38,7 +38,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut and a lost executor costs nothing."""
     path = scratch(df.sparkSession)
     spark = df.sparkSession
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of steps that are over
     return spark.read.schema(df.schema).parquet(path)
 

@@ -484,27 +484,49 @@ def _pieces(frequent):
     return run
 
 
-HOT_WINDOW = "d1 long, d2 long, s1 long, s2 long, least long, off int"
+HOT_PIECE = "d1 long, d2 long, s1 long, s2 long, least long, off int, piece binary"
 
 
-def _hot_windows(frequent):
-    """The windows of frequent minimizers of different stretches, one by one."""
+def _digests(pieces: list[bytes]):
+    return ([f(p) - (1 << 63) for p in pieces] for f in (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest))
+
+
+def _hot_pieces(frequent):
+    """The windows of each frequent minimizer of different stretches."""
 
     def run(batches):
-        for b in slices(batches, "stretch", PART_CHARS // 16):
+        for b in slices(batches, "stretch", PART_CHARS // 4):
             s1, s2, least = (b[c].to_numpy() for c in ("s1", "s2", "least"))
             raws = b["stretch"].to_pylist()
             h, row, first, last, _ = minimizers(raws)
             k = np.flatnonzero(np.isin(h >> np.uint64(16), frequent.value))
-            n = last[k] - first[k] + 1
-            row, off = np.repeat(row[k], n), gather(first[k], n)
-            windows = [raws[i][s : s + WINDOW] for i, s in zip(row.tolist(), off.tolist())]
-            d1, d2 = ([f(w) - (1 << 63) for w in windows] for f in (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest))
-            yield _batch(HOT_WINDOW, (d1, d2, s1[row], s2[row], least[row], off))
+            row, first, last = row[k], first[k], last[k]
+            pieces = [raws[i][s : e + WINDOW] for i, s, e in zip(row.tolist(), first.tolist(), last.tolist())]
+            yield _batch(HOT_PIECE, (*_digests(pieces), s1[row], s2[row], least[row], first, pieces))
 
     return run
 
 
+def _one_by_one(batches):
+    """The windows of pieces, each as a piece."""
+    for b in slices(batches, "piece", PART_CHARS // 16):
+        raws = b["piece"].to_pylist()
+        n = np.array([len(r) - WINDOW + 1 for r in raws], np.int64)
+        row, place = np.repeat(np.arange(len(raws)), n), gather(np.zeros(len(n), np.int64), n)
+        pieces = [raws[i][s : s + WINDOW] for i, s in zip(row.tolist(), place.tolist())]
+        s1, s2, least, off = (b[c].to_numpy()[row] for c in ("s1", "s2", "least", "off"))
+        yield _batch(HOT_PIECE, (*_digests(pieces), s1, s2, least, off + place, pieces))
+
+
+def _by_digest(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges of pieces that a smaller document than their own holds, and the pieces that none does: an aggregation that
+    Spark combines in every task, and a join that may be skewed."""
+    lows = pieces.groupBy("d1", "d2").agg(F.min("least").alias("low"))
+    both = pieces.join(lows.hint("merge"), ["d1", "d2"])
+    end = F.col("off") + F.octet_length("piece")
+    return both.filter("least > low").select("s1", "s2", F.col("off").alias("start"), end.alias("end")), both.filter("least = low").drop("low")
+
+
 OWNED = "s1 long, s2 long, start int, end int"
 
 
@@ -593,12 +615,12 @@ def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     different = stretches.groupBy("s1", "s2", "stretch").agg(F.min("doc_id").alias("least"))
     pieces = different.mapInArrow(_pieces(frequent), PIECE).repartition(n_ranges, "hash").sortWithinPartitions("hash")
     owned = stored(pieces.mapInArrow(_owned, OWNED))
-    # Each window of a frequent minimizer by itself: an aggregation combined in every task, and a join that may be skewed.
+    # Frequent minimizers: equal pieces first, then the windows of one of each, one by one.
     some = stretches.filter("hot").groupBy("s1", "s2", "stretch").agg(F.min("doc_id").alias("least"))
-    windows = stored(some.mapInArrow(_hot_windows(frequent), HOT_WINDOW))
-    lows = windows.groupBy("d1", "d2").agg(F.min("least").alias("low"))
-    under = windows.join(lows.hint("merge"), ["d1", "d2"]).filter("least > low")
-    under = under.select("s1", "s2", F.col("off").alias("start"), (F.col("off") + WINDOW).alias("end"))
+    pieces = stored(some.mapInArrow(_hot_pieces(frequent), HOT_PIECE))
+    under, left = _by_digest(pieces)
+    windows = stored(left.mapInArrow(_one_by_one, HOT_PIECE))
+    under = under.unionByName(_by_digest(windows)[0])
     parts = owned.unionByName(under).groupBy("s1", "s2").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
     held = stretches.select("s1", "s2", "doc_id", "tid", "start", F.octet_length("stretch").alias("size"))
     least = held.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
@@ -609,7 +631,7 @@ def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     first = first.select("doc_id", "tid", (F.col("start") + F.col("p.start")).alias("a"), (F.col("start") + F.col("p.end")).alias("z"))
     ranges = F.collect_list(F.struct(F.col("a").cast("int").alias("start"), F.col("z").cast("int").alias("end")))
     found = stored(covered.unionByName(first).groupBy("doc_id", "tid").agg(ranges.alias("ranges")))
-    dropped(stretches, owned, windows)
+    dropped(stretches, owned, pieces, windows)
     return found
 
 
