@@ -484,7 +484,7 @@ def _pieces(frequent):
     return run
 
 
-HOT_PIECE = "d1 long, d2 long, s1 long, s2 long, least long, off int, piece binary"
+HOT_PIECE = "d1 long, d2 long, s1 long, s2 long, least long, off int, size int, piece binary"
 
 
 def _digests(pieces: list[bytes]):
@@ -502,20 +502,20 @@ def _hot_pieces(frequent):
             k = np.flatnonzero(np.isin(h >> np.uint64(16), frequent.value))
             row, first, last = row[k], first[k], last[k]
             pieces = [raws[i][s : e + WINDOW] for i, s, e in zip(row.tolist(), first.tolist(), last.tolist())]
-            yield _batch(HOT_PIECE, (*_digests(pieces), s1[row], s2[row], least[row], first, pieces))
+            yield _batch(HOT_PIECE, (*_digests(pieces), s1[row], s2[row], least[row], first, last - first + WINDOW, pieces))
 
     return run
 
 
 def _one_by_one(batches):
-    """The windows of pieces, each as a piece."""
+    """The windows of pieces, each as a piece without its bytes."""
     for b in slices(batches, "piece", PART_CHARS // 16):
         raws = b["piece"].to_pylist()
         n = np.array([len(r) - WINDOW + 1 for r in raws], np.int64)
         row, place = np.repeat(np.arange(len(raws)), n), gather(np.zeros(len(n), np.int64), n)
         pieces = [raws[i][s : s + WINDOW] for i, s in zip(row.tolist(), place.tolist())]
         s1, s2, least, off = (b[c].to_numpy()[row] for c in ("s1", "s2", "least", "off"))
-        yield _batch(HOT_PIECE, (*_digests(pieces), s1, s2, least, off + place, pieces))
+        yield _batch(HOT_PIECE, (*_digests(pieces), s1, s2, least, off + place, np.full(len(row), WINDOW), [None] * len(row)))
 
 
 def _by_digest(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -523,7 +523,7 @@ def _by_digest(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     Spark combines in every task, and a join that may be skewed."""
     lows = pieces.groupBy("d1", "d2").agg(F.min("least").alias("low"))
     both = pieces.join(lows.hint("merge"), ["d1", "d2"])
-    end = F.col("off") + F.octet_length("piece")
+    end = F.col("off") + F.col("size")
     return both.filter("least > low").select("s1", "s2", F.col("off").alias("start"), end.alias("end")), both.filter("least = low").drop("low")
 
 
