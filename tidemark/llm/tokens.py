@@ -48,17 +48,27 @@ def flat(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 #: Letters and marks whose case, form and class are the same by every Unicode version: ASCII, Latin-1 letters, quotes, dashes.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(f"[ \n]?[!-;=-~{_LETTERS}‐-‧]+")  # without "<", with which added tokens begin
+_PLAIN = f"[!-;=-~{_LETTERS}‐-‧]+"  # without "<", with which added tokens begin
 _CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Pre-tokens of plain pieces that "\r" parts, with and without their space.
 _KEPT = re.compile(f"{_CONTRACTED}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s")
 _DROPPED = re.compile(f"{_CONTRACTED}|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+|\r")
 
 
-def cut_plain(pieces: list[str], keep_space: bool) -> list[str]:
-    """Pre-tokens of plain pieces, with "\r" after each piece's last."""
-    joined = "\r".join(pieces) + "\r"
-    return _KEPT.findall(joined) if keep_space else _DROPPED.findall(joined.lower())
+def plain_keys(keys: pa.LargeStringArray, keep_space: bool) -> pa.BooleanArray:
+    """Which keys stand for plain pieces: by one scan of the array, before any becomes a Python string."""
+    return pc.match_substring_regex(keys, f"^(?:\r[ \n]?|\n)?{_PLAIN}$" if keep_space else f"^[ \n]?{_PLAIN}$")
+
+
+def cut_plain(keys: pa.LargeStringArray, keep_space: bool) -> list[str]:
+    """Pre-tokens of plain pieces given by their keys, with "\r" after each piece's last."""
+    one = pa.LargeListArray.from_arrays(pa.array([0, len(keys)], pa.int64()), keys)
+    between = pa.scalar("\r " if keep_space else "\r", pa.large_string())
+    joined = pc.binary_join(one, between)[0].as_py() + "\r"
+    if not keep_space:
+        return _DROPPED.findall(joined.lower())
+    joined = "\r " + joined
+    return _KEPT.findall(joined.replace("\r \r", "\r").replace("\r \n", "\r\n")[1:])
 
 
 def library_encoder(tokenizer: Tokenizer):
@@ -185,18 +195,20 @@ class WordCache:
         both.add([], rare.ids, rare.lengths)
         return both.take(at)
 
-    def _keys_ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _keys_ids(self, keys: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, where each key's begin, their number)."""
-        pieces = self._pieces(keys)
-        is_plain = np.fromiter(map(bool, map(_PLAIN.fullmatch, pieces) if self.plain else repeat(False)), bool, len(pieces))
+        is_plain = np.zeros(len(keys), bool)
+        if self.plain:
+            is_plain = plain_keys(keys, self.keep_space).to_numpy(zero_copy_only=False)
         plain, parts = np.flatnonzero(is_plain), []
         if len(plain):
-            parts = cut_plain(list(compress(pieces, is_plain)), self.keep_space)
+            parts = cut_plain(keys.filter(pa.array(is_plain)), self.keep_space)
         mark = np.fromiter(map("\r".__eq__, parts), bool, len(parts))
         ends = np.flatnonzero(mark) - np.arange(len(plain))
         parts = list(compress(parts, ~mark))
-        rest = np.flatnonzero(~is_plain).tolist()
-        ids, n = self._parts_ids(parts + ["\r" + pieces[i] for i in rest])
+        rest = np.flatnonzero(~is_plain)
+        pieces = self._pieces(keys.take(pa.array(rest)).to_numpy(zero_copy_only=False).tolist())
+        ids, n = self._parts_ids(parts + ["\r" + p for p in pieces])
         at = np.concatenate([[0], np.cumsum(n)])
         starts, stops = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         starts[plain], stops[plain] = at[np.concatenate([[0], ends])[:-1]], at[ends]
@@ -218,7 +230,7 @@ class WordCache:
         split = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
         n_keys[easy] = np.diff(split.offsets.to_numpy()) if len(easy) else 0
         keys = pa.concat_arrays([split.flatten(), pa.array(listed, pa.large_string())]).dictionary_encode()
-        ids, begin, n = self._keys_ids(keys.dictionary.to_pylist())
+        ids, begin, n = self._keys_ids(keys.dictionary)
         at = keys.indices.to_numpy()
         begin, n = begin[at], n[at]
         ids = ids[gather(begin, n)]
