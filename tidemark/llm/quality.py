@@ -33,9 +33,9 @@ class Rule:
 
 #: The threshold table. Measures are SQL expressions over the counts that ``counts`` projects.
 RULES = (
-    Rule("word_chars / n_words", 2.5, 12.0),
-    Rule("n_symbols / n_words", high=0.1),
-    Rule("n_marks / n_words", high=0.25),
+    Rule("word_chars / nullif(n_words, 0)", 2.5, 12.0),
+    Rule("n_symbols / nullif(n_words, 0)", high=0.1),
+    Rule("n_marks / nullif(n_words, 0)", high=0.25),
     Rule("n_stop", low=2),
     Rule("n_dup_lines / greatest(n_lines, 1)", high=0.5),
     Rule("n_bullets / greatest(n_lines, 1)", high=0.9),
