@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.ingest import merge_bars
-from tidemark.plans.storage import exists, staged
+from tidemark.plans.storage import staged
 
 
 def closed_bars(ticks: DataFrame, delay: str = "1 hour", width: str = "1 hour") -> DataFrame:
@@ -22,18 +22,41 @@ def closed_bars(ticks: DataFrame, delay: str = "1 hour", width: str = "1 hour")
     return bars.select("asset", F.col("window.start").alias("hour"), "open", "high", "low", "close", "volume")
 
 
+def versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, path) of the finished versions under ``root``, ascending. A version counts once its write has left the
+    ``_SUCCESS`` marker, so a half-written one is never read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(hadoop.Path(f"{root}/v=*/_SUCCESS")) or []
+    paths = [x.getPath().getParent() for x in found]
+    return sorted((int(p.getName()[2:]), p.toString()) for p in paths)
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The table as of its last finished version."""
+    found = versions(spark, root)
+    if not found:
+        raise FileNotFoundError(f"no finished version under {root}")
+    return spark.read.parquet(found[-1][1])
+
+
 def upsert(root: str, keys=("asset", "date"), check=None):
     """A foreachBatch sink: each micro-batch is merged into ``root`` by key, newest wins; replaying a batch changes nothing.
 
-    Every batch writes a new version folder and then its name's marker, so a failure leaves the last version in place."""
+    Every batch writes a version folder of its own, from the last finished one before it; readers take ``current``. The
+    version before stays for readers that still hold it, older ones go. A batch rewrites the table, so tables far larger
+    than a batch want a stream per date range."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if check is not None:
             batch = check(batch)
-        before, now = f"{root}/v={batch_id - 1}", f"{root}/v={batch_id}"
-        merged = merge_bars(spark.read.parquet(before), batch, keys) if exists(spark, before) else staged(batch)
-        merged.write.mode("overwrite").parquet(now)
+        before = [v for v in versions(spark, root) if v[0] < batch_id]
+        merged = merge_bars(spark.read.parquet(before[-1][1]), batch, keys) if before else staged(batch)
+        merged.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        for _, path in before[:-1]:
+            old = spark._jvm.org.apache.hadoop.fs.Path(path)
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return run
 
