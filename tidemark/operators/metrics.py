@@ -27,8 +27,15 @@ def losses(valid=None) -> list:
     ]
 
 
-def by_asset_model(long: DataFrame, valid=None) -> DataFrame:
-    return long.groupBy("asset", "model").agg(*losses(valid))
+def by_asset_model(long: DataFrame, valid=None, more=()) -> DataFrame:
+    """``more``: further aggregates, such as those of ``loss_column``."""
+    return long.groupBy("asset", "model").agg(*losses(valid), *more)
+
+
+def loss_column(name: str, loss, valid=None):
+    """Mean of any ``loss(realized, forecast) -> Column`` under a name, to stand beside the usual ones."""
+    value = loss(F.col("realized_var"), F.col("forecast"))
+    return F.avg(value if valid is None else F.when(valid, value)).alias(name)
 
 
 def by_regime(long: DataFrame, valid=None) -> DataFrame:

@@ -86,6 +86,18 @@ def best_combo(scored: DataFrame) -> DataFrame:
     return scored.agg(F.min_by(F.struct("combo_id", "penalty", "qlike"), F.struct(q, "combo_id")).alias("b")).select("b.*")
 
 
+def model_run(rows: DataFrame, models: DataFrame, best: DataFrame, lineage: DataFrame, fold: int, train_end: int) -> DataFrame:
+    """The ``model_runs`` row of a candidate: the last common fold's model with the tuned penalty, and where it came from.
+
+    ``lineage`` holds a fingerprint per asset; the data hash is over all of them in the order of assets."""
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("asset", "hash"))), lambda x: F.concat_ws(":", x["asset"], x["hash"]))
+    data = lineage.agg(F.substring(F.md5(F.concat_ws(",", hashes)), 1, 8).alias("data_hash"), F.count("*").alias("n_assets"))
+    window = rows.filter(F.col("pos") < train_end).agg(F.max("date").alias("train_window_end"), F.count("y").alias("n_rows"))
+    model = models.filter(F.col("fold_id") == fold).select("fold_id", "beta")
+    run = model.crossJoin(best).crossJoin(data).crossJoin(window)  # a row each
+    return run.withColumn("alias", F.lit("candidate"))
+
+
 def contributions(rows: DataFrame, models: DataFrame, names=FEATURES) -> DataFrame:
     """(asset, feature, value): beta * (x - mean of x in the asset), exact for a linear model."""
     joined = predict(rows, models).select("asset", "date", "x", "fold_id")

@@ -827,12 +827,16 @@ def _design(spark, d):
 _WIDTH = len(pooled.FEATURES) + 1
 
 
+def _last_common(spark, d):
+    """The last fold that all assets have, and where its train window ends."""
+    sizes = _bars(spark, d).groupBy("asset").agg(F.count("*").alias("n"))
+    last = folds.min_fold_count(sizes, folds.fold_table(sizes)) - 1
+    return last, folds.MIN_TRAIN + (folds.skipped() + last) * folds.STEP - folds.HORIZON
+
+
 @query()
 def m08_tuning(spark, d):
-    sizes = _bars(spark, d).groupBy("asset").agg(F.count("*").alias("n"))
-    last = folds.min_fold_count(sizes, folds.fold_table(sizes)) - 1  # the last fold that all assets have
-    train_end = folds.MIN_TRAIN + (folds.skipped() + last) * folds.STEP - folds.HORIZON
-    return pooled.best_combo(pooled.tune(_design(spark, d), _WIDTH, train_end))
+    return pooled.best_combo(pooled.tune(_design(spark, d), _WIDTH, _last_common(spark, d)[1]))
 
 
 @query()
@@ -885,18 +889,62 @@ def c05_ingest_batch(spark, d):
 
 @query()
 def c08_baseline_report(spark, d):
-    df = har.har_forecast(folds.with_folds(folds.with_positions(_features(spark, d))), "sq_ret")
+    """EWMA, GARCH and HAR per asset on the same rows, with the rows on which GARCH fell back."""
+    df, params = _garch(spark, d)
+    df = har.har_forecast(folds.with_folds(garch.garch_forecast(df, params)), "sq_ret")
     df = df.filter("fold_id is not null and har_var is not null").filter(c.valid_target(F.col("target"))).withColumn("realized_var", F.col("target"))
-    return metrics.by_asset_model(metrics.long_forecasts(df, {"ewma_var": "EWMA", "har_var": "HAR"}, ["asset", "realized_var"]))
+    long = metrics.long_forecasts(df, {"ewma_var": "EWMA", "garch_var": "GARCH", "har_var": "HAR"}, ["asset", "realized_var", "garch_fallback"])
+    fell = F.sum(F.when(F.col("model") == "GARCH", F.col("garch_fallback")).otherwise(0)).cast("long").alias("n_fallbacks")
+    return metrics.by_asset_model(long, c.valid_forecast(F.col("forecast")), [fell])
+
+
+@query(
+    f"SELECT asset, {_LOSS_SQL} FROM (SELECT asset, target AS realized_var, ewma_var AS forecast FROM fold WHERE fold_id IS NOT NULL AND target > 0) GROUP BY asset",
+    FOLDS_SQL,
+)
+def c08_baseline_ewma(spark, d):
+    """The report's EWMA rows, which plain SQL can follow."""
+    df = _folded(spark, d).filter("fold_id is not null").filter(c.valid_target(F.col("target")))
+    long = metrics.long_forecasts(df.withColumn("realized_var", F.col("target")), {"ewma_var": "EWMA"}, ["asset", "realized_var"])
+    return metrics.by_asset_model(long).drop("model")
+
+
+def _compared(spark, d):
+    """Pooled regression against EWMA, GARCH and HAR: long rows of the test folds with their regimes."""
+    df, params = _garch(spark, d)
+    df = har.har_forecast(folds.with_folds(garch.garch_forecast(df, params)), "sq_ret")
+    rows = pooled.design(df)
+    models = pooled.solve(pooled.fold_statistics(rows, _WIDTH), _WIDTH)
+    tested = rows.filter("fold_id is not null").filter(c.valid_target_floored(F.col("target")))
+    out = metrics.with_terciles(pooled.predict(tested, models).withColumn("realized_var", F.col("target")))
+    names = {"pooled_var": "pooled", "ewma_var": "EWMA", "garch_var": "GARCH", "har_var": "HAR"}
+    return metrics.long_forecasts(out.withColumn("year", F.year("date")), names, ["asset", "year", "tercile", "realized_var"])
 
 
 @query()
 def c09_comparison_report(spark, d):
-    rows, models = _pooled(spark, d)
-    df = pooled.predict(rows.filter(c.valid_target_floored(F.col("target"))), models).withColumn("realized_var", F.col("target"))
-    df = metrics.with_terciles(df).withColumn("year", F.year("date"))
-    long = metrics.long_forecasts(df, {"pooled_var": "pooled", "ewma_var": "EWMA"}, ["asset", "year", "tercile", "realized_var"])
-    return metrics.by_regime(long, c.valid_forecast(F.col("forecast")))
+    return metrics.by_regime(_compared(spark, d), c.valid_forecast(F.col("forecast")))
+
+
+@query()
+def c09_worse_than_best(spark, d):
+    """Regimes in which the pooled model is worse than the best of the others."""
+    report = metrics.by_regime(_compared(spark, d), c.valid_forecast(F.col("forecast")))
+    return metrics.worse_than_best(report, "pooled", ["asset", "regime_type", "regime_value"])
+
+
+@query()
+def c10_model_run(spark, d):
+    """The row that registers a candidate: the last common fold's model at the tuned penalty, with its lineage."""
+    from tidemark.plans.storage import staged
+
+    rows = staged(_design(spark, d))  # read by the tuning, the folds and the lineage
+    last, train_end = _last_common(spark, d)
+    best = pooled.best_combo(pooled.tune(rows, _WIDTH, train_end))
+    penalty = best.first()["penalty"]  # one row
+    models = pooled.solve(pooled.fold_statistics(rows, _WIDTH), _WIDTH, penalty)
+    lineage = metrics.fingerprint(_bars(spark, d))
+    return pooled.model_run(rows, models, best, lineage, last, train_end)
 
 
 @query(f"SELECT asset, {_LOSS_SQL} FROM long WHERE model = 'ewma' GROUP BY asset", LONG_SQL)
