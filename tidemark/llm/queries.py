@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, near, packing, quality, repair, secrets, suffixes, topk, toxicity, transducer
+from tidemark.llm import bpe, near, packing, quality, ranked, repair, secrets, suffixes, topk, toxicity, transducer
 from tidemark.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op13_hybrid_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_secret_scan": op2_secret_scan,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_threshold_top_k": op10_threshold_top_k,
+    "op13_hybrid_ranked_search": op13_hybrid_ranked_search,
 }
 
 _STOPS = ", ".join(f"('{w}'), ('{w.capitalize()}'), ('{w.upper()}')" for w in dict.fromkeys(quality.STOP_WORDS))
@@ -113,7 +118,24 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+RANKED_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ws FROM documents),
+n AS (SELECT rid, doc_id, len(ws)::BIGINT AS n FROM d WHERE len(ws) > 0),
+tot AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+tf AS (SELECT rid, t, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ws) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, tot GROUP BY t, docs),
+q AS (SELECT number, item_id, t, count(*)::BIGINT AS k FROM (SELECT number, item_id, unnest(ws) AS t
+  FROM (SELECT row_number() OVER () AS number, item_id, {_TERMS} AS ws FROM benchmark)) GROUP BY ALL),
+s AS (SELECT number, item_id, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN df USING (t) JOIN tf USING (t) JOIN n USING (rid), tot GROUP BY number, item_id, rid, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
 ORACLE_SQL = {
+    "op13_hybrid_ranked_search": RANKED_SQL,
     "op10_threshold_top_k": TOP_K_SQL,
     "op6_quality_rules": QUALITY_SQL,
 }
