@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, near, packing, quality, ranked, repair, secrets, suffixes, topk, toxicity, transducer
+from tidemark.llm import bpe, near, packing, quality, ranked, repair, secrets, suffixes, topk, toxicity, transducer, trie
 from tidemark.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_hybrid_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_threshold_top_k": op10_threshold_top_k,
+    "op11_burst_trie": op11_burst_trie,
     "op13_hybrid_ranked_search": op13_hybrid_ranked_search,
 }
 
@@ -134,7 +139,34 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
 """
 
+# CRC-32 bit by bit; 3988292384 is its reversed polynomial.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, x: list_reduce(list_concat([xor(a, x)], range(8)), lambda b, i: xor(b >> 1, 3988292384 * (b & 1)))))"""
+
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+one AS (SELECT c, c - c % 20 AS b, {_CRC} % 4 AS h, had FROM (SELECT c, count(*) AS had FROM t GROUP BY c)),
+conv AS (SELECT o.c, o.b, o.h, least(o.h, coalesce(l.had, 0)) AS taken, least(o.h, coalesce(l.had, 0)) + greatest(o.had - o.h, 0) AS n
+  FROM one o LEFT JOIN one l ON l.c = o.b),
+r AS (SELECT c, taken + pos - h AS i, role, text FROM conv JOIN t USING (c) WHERE pos >= h
+  UNION ALL SELECT conv.c, pos, role, text FROM conv JOIN t ON t.c = conv.b WHERE pos < taken),
+p AS (SELECT c, i + 1 AS d, string_agg(md5(length(role) || ':' || role || text), ',') OVER (PARTITION BY c ORDER BY i) AS k,
+  len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM r UNION ALL SELECT c, 0, '', 0 FROM conv),
+node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = n), '')) AS ends_sha256 FROM p JOIN conv USING (c) GROUP BY k, d),
+up AS (SELECT *, CASE WHEN d > 1 THEN left(k, 33 * d - 34) WHEN d = 1 THEN '' END AS pk FROM node),
+kids AS (SELECT pk AS k, count(*) AS n_children FROM up WHERE d > 0 GROUP BY pk),
+a AS (SELECT CASE WHEN j = 0 THEN '' ELSE left(k, 33 * j - 1) END AS k, own, n_children IS NULL AS leaf
+  FROM (SELECT up.*, n_children, unnest(range(0, d + 1)) AS j FROM up LEFT JOIN kids USING (k))),
+s AS (SELECT k, count(*) FILTER (WHERE leaf) AS n_leaves, sum(own) AS saved FROM a GROUP BY k)
+SELECT up.conv_id, up.d::BIGINT AS depth, q.conv_id AS parent_conv_id, up.n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  n_leaves, saved::BIGINT AS saved_tokens, up.ends_sha256
+FROM up LEFT JOIN kids USING (k) JOIN s USING (k) LEFT JOIN node q ON q.k = up.pk
+"""
+
 ORACLE_SQL = {
+    "op11_burst_trie": TRIE_SQL,
     "op13_hybrid_ranked_search": RANKED_SQL,
     "op10_threshold_top_k": TOP_K_SQL,
     "op6_quality_rules": QUALITY_SQL,
