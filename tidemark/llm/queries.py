@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, near, packing, quality, ranked, repair, secrets, suffixes, topk, toxicity, transducer, trie
+from tidemark.llm import bpe, near, packing, pages, quality, ranked, repair, secrets, suffixes, topk, toxicity, transducer, trie
 from tidemark.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op11_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_hybrid_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_threshold_top_k": op10_threshold_top_k,
     "op11_burst_trie": op11_burst_trie,
+    "op12_page_differencing": op12_page_differencing,
     "op13_hybrid_ranked_search": op13_hybrid_ranked_search,
 }
 
