@@ -52,3 +52,11 @@ def test_keep_good_with_clashing_columns(spark):
 @pytest.mark.parametrize("f", [quality.judge, quality.keep_good])
 def test_empty_table(spark, f):
     assert f(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_columns_of_any_name_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "lang as `a.b`", "2.0 as n_words")
+    got = quality.keep_good(docs)
+    assert got.columns == docs.columns
+    kept = {r.doc_id for r in quality.judge(docs.select("doc_id", "text")).select("doc_id", "kept").collect() if r.kept}
+    assert kept and {r.doc_id: r["a.b"] for r in got.collect()} == {r.doc_id: r["a.b"] for r in docs.collect() if r.doc_id in kept}

@@ -72,6 +72,15 @@ def test_repair_hostile_and_small_shards(spark):
     assert [r.start for r in got] == np.cumsum([0] + [len(w) for w in want])[:-1].tolist()
 
 
+def test_repair_keeps_every_id(spark):
+    """The smallest and largest ids, nulls and repeats each keep a row."""
+    ids = [None, None, -(1 << 63), -(1 << 63), 0, 5, 5, (1 << 63) - 1]
+    df = spark.createDataFrame([(d, "same" if i % 2 else f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string")
+    got = sorted(repair.read_documents(repair.write_shards(df, "byte_bpe_50k.json", 2, shard_ids=4)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == ids
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+
+
 def test_repair_random_access():
     r = np.random.default_rng(0)
     coded = [np.append(r.integers(0, 6, n), 2).astype("<u4") for n in (0, 1, 500, 3000, 0)] + [np.full(999, 4, "<u4")]

@@ -1,16 +1,17 @@
 import math
 
 import numpy as np
+import pytest
 
 from tidemark.llm import queries, topk
 
 
 def brute(rows, k=10, every=100):
-    ok = {i: [math.floor(1024 * float(x)) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    ok = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in ok:
+    for a, (q, v) in enumerate(ok):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(ok[q], ok[c])), c) for c in ok if c != q and len(ok[c]) == len(ok[q]))
+            scores = sorted((-sum(x * y for x, y in zip(v, w)), c) for b, (c, w) in enumerate(ok) if a != b and len(w) == len(v))
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -26,6 +27,7 @@ def test_hostile_rows(spark):
     rows = [(i, r.integers(-2, 3, 4).astype(float).tolist()) for i in range(300)]  # ties everywhere
     rows += [(400, None), (500, []), (600, [1.0, None, 0.0, 0.0]), (700, [float("nan")] * 4), (800, [float("inf")] * 4), (None, [1.0] * 4)]
     rows += [(900, [0.0] * 4), (1000, [1.0, 2.0]), (1001, [3.0, 1.0]), (1100, [5.0])]
+    rows += [(1200, [1.0, 0.0, 2.0]), (1200, [0.0, 1.0, 3.0]), (1200, [0.0, 1.0, 3.0]), (1201, [1.0, 1.0, 1.0]), (1300, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "7 as score", "1 as cb")
     assert sorted(tuple(x) for x in topk.top_k(df).collect()) == brute(rows)
     assert topk.top_k(df.limit(0)).count() == 0
@@ -56,3 +58,13 @@ def test_scores_few_rows_of_skewed_vectors():
         assert lists.top(i, rows[i], 10, int(found[-1]))[0].tolist() == want.tolist()
         floored.append(lists.scored / 8000)
     assert np.mean(part) < 0.4 and np.mean(floored) <= np.mean(part)
+
+
+def test_products_beyond_64_bits(spark):
+    """Partial sums may leave 64 bits, scores and components may not."""
+    rows = [(100, [1e12, 1e12, 1.0]), (1, [1e12, -1e12, 2.0]), (2, [1.0, 2.0, 3.0]), (3, [-1e12, 1e12, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in topk.top_k(df).collect()) == brute(rows)
+    for bad in ([1e12, 1e12, 1.0], [1e300, 0.0, 0.0]):
+        with pytest.raises(Exception):
+            topk.top_k(df.union(spark.createDataFrame([(9, bad)], "vec_id long, embedding array<double>"))).collect()

@@ -119,8 +119,8 @@ def judge(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The documents that pass, with their columns."""
-    df = docs.select(*(F.col(c).alias(f"_in_{c}") for c in docs.columns if c != "text"), "text")
+    df = docs.select(*(F.col(f"`{c}`").alias(f"_in_{c}") for c in docs.columns if c != "text"), "text")
     # The row number keeps the optimizer from pushing the verdict below the counts, which would write every count out
     # again inside the predicate and grow the plan without bound.
     judged = judge(df, rules).withColumn("_row", F.monotonically_increasing_id()).filter("kept and _row >= 0")
-    return judged.select(*("text" if c == "text" else F.col(f"_in_{c}").alias(c) for c in docs.columns))
+    return judged.select(*("text" if c == "text" else F.col(f"`_in_{c}`").alias(c) for c in docs.columns))

@@ -6,12 +6,12 @@ replaces every occurrence, and brings the counts of the pairs around these place
 length is stored, so a range of ids is found without expanding what lies before it.
 
 File format (one Parquet row per shard, binary fields little-endian): part, shard, before (ids of the part's earlier
-shards), n_ids, doc_ids int64, doc_lengths
+shards), n_ids, doc_ids int64, doc_nulls (a bit per document, set where its doc_id is null), doc_lengths
 uint32 (ids per document), doc_symbols uint32 (symbols per document), left/right uint32 and lengths uint32 (rules; rule r
 is symbol base + r), base, width (bytes per symbol: 2, or 3 with the highest bytes behind the rest), symbols.
 
 Null texts are empty documents that hold the end id only. Rows with a null or repeated doc_id keep a row each (nulls
-first). Very long documents stay whole in a shard of their own size. Extra columns are ignored.
+first, equal ones by a hash of their text, which also spreads them over partitions). Very long documents stay whole in a shard of their own size. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +25,11 @@ from tidemark.llm import tokens
 from tidemark.llm.common import slices, stored, texts_of, with_part_offsets
 
 SHARD_IDS = 400_000
-#: Stands for a null doc_id in a shard's directory.
-NULL_ID = np.iinfo(np.int64).min
 #: A rule takes 12 bytes and an occurrence of its pair saves 2 to 3, so rarer pairs are no gain.
 MIN_COUNT, MAX_SYMBOLS = 6, 1 << 24
 
 SHARD_SCHEMA = (
-    "part int, shard int, before long, n_docs long, n_ids long, base int, width int, doc_ids binary, doc_lengths binary,"
+    "part int, shard int, before long, n_docs long, n_ids long, base int, width int, doc_ids binary, doc_nulls binary, doc_lengths binary,"
     " doc_symbols binary, left binary, right binary, lengths binary, symbols binary"
 )
 
@@ -154,6 +152,7 @@ class Shard:
         self.__dict__.update(ints)
         self.base = row["base"]
         self.doc_ids = np.frombuffer(row["doc_ids"], "<i8")
+        self.doc_nulls = np.unpackbits(np.frombuffer(row["doc_nulls"], np.uint8), count=len(self.doc_ids)).astype(bool)
         n = len(row["symbols"]) // row["width"]
         self.symbols = np.frombuffer(row["symbols"], "<u2", n).astype(np.int64)
         if row["width"] == 3:
@@ -203,7 +202,7 @@ def _shard_row(part: int, shard: int, docs: list, coded: list[bytes], base: int,
     u4 = lambda x: x.astype("<u4").tobytes()
     return {
         "part": part, "shard": shard, "before": before, "n_docs": len(docs), "n_ids": len(ids), "base": base, "width": width,
-        "doc_ids": np.array([NULL_ID if d is None else d for d in docs], "<i8").tobytes(), "doc_lengths": u4(n),
+        "doc_ids": np.array([d or 0 for d in docs], "<i8").tobytes(), "doc_nulls": np.packbits([d is None for d in docs]).tobytes(), "doc_lengths": u4(n),
         "doc_symbols": u4(np.diff(np.concatenate([[0], ends]))), "left": u4(left), "right": u4(right), "lengths": u4(lengths),
         "symbols": _planes(sym, width),
     }
@@ -236,7 +235,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
             yield row()
 
     # Range bounds are sampled from the bare scan; encoding comes after the shuffle, so it runs once.
-    ordered = src.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
+    ordered = src.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return stored(ordered.mapInArrow(pack, SHARD_SCHEMA))
 
 
@@ -255,7 +255,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 begins = ends - shard.doc_lengths
                 raw = ids.tobytes()
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(begins.tolist(), ends.tolist())]
-                doc = pa.array([None if d == NULL_ID else d for d in shard.doc_ids.tolist()], pa.int64())
+                doc = pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_nulls)
                 start = pa.array(begins + row["start"], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [doc, start, pa.array(shard.doc_lengths, pa.int64()), pa.array(crc, pa.int64()), pa.array(shard.doc_symbols, pa.int64())],
