@@ -160,17 +160,6 @@ def test_pooled_ridge_equals_numpy(spark):
         assert np.allclose(got[k], np.linalg.lstsq(np.c_[np.ones(m.sum()), x[m]], y[m], rcond=None)[0])
 
 
-def test_tuning_takes_the_last_common_fold(spark, monkeypatch):
-    d, seen = "/root/testdata/sf0.001", []
-    tune = pooled.tune
-    monkeypatch.setattr(pooled, "tune", lambda rows, width, end: seen.append((end, tune(rows, width, end))) or seen[0][1])
-    got = entry.queries()["m08_tuning"](spark, d).collect()
-    least = min(r["count"] for r in b.daily_bars(spark, d).groupBy("asset").count().collect())
-    assert seen[0][0] == literal_folds(least, 252, 21, 1)[-1][0]
-    want = min(seen[0][1].collect(), key=lambda r: (r.qlike, r.combo_id))
-    assert [(r.combo_id, r.penalty, r.qlike) for r in got] == [(want.combo_id, want.penalty, pytest.approx(want.qlike, abs=1e-6))]
-
-
 def test_scoring_and_log(spark):
     rows = [("a", DAY0, 4.0), ("b", DAY0, 9.0)]
     scored = spark.createDataFrame(rows, "asset string, date date, v double")

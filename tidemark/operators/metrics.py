@@ -82,9 +82,13 @@ def argmin_model(metrics: DataFrame, keys: list[str]) -> DataFrame:
 
 def top_features(contributions: DataFrame, k: int = 10) -> DataFrame:
     """(asset, feature, importance, rank): mean absolute contribution, largest first, ties by name."""
-    mean = contributions.groupBy("asset", "feature").agg(F.avg(F.abs("value")).alias("importance"))
+    return ranked_features(contributions.groupBy("asset", "feature").agg(F.avg(F.abs("value")).alias("importance")), k)
+
+
+def ranked_features(importance: DataFrame, k: int = 10) -> DataFrame:
+    """(asset, feature, importance, rank) of importances that exist already, largest first, ties by name."""
     w = Window.partitionBy("asset").orderBy(F.desc("importance"), "feature")
-    return mean.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return importance.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def fingerprint(df: DataFrame, key: str = "asset") -> DataFrame:

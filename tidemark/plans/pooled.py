@@ -1,7 +1,13 @@
-"""Pooled regression on log variance: one model per fold from sufficient statistics, scoring, tuning and importance."""
+"""Pooled regression on log variance: boosted trees and a ridge, one model per fold; scoring, tuning and importance.
+
+The boosted trees are the model of the reports; all folds grow together over one binned copy of the rows (see
+``operators.boosting``). The ridge needs one pass for any number of folds and has exact contributions."""
 
 from __future__ import annotations
 
+import itertools
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,10 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import columns as c
+from tidemark.operators import boosting
 from tidemark.operators.folds import HORIZON, MIN_TRAIN, STEP, skipped
+from tidemark.plans.features import BASE
+from tidemark.plans.storage import staged
 
 FEATURES = ["rv_5", "rv_10", "rv_22", "rv_66", "ewma_var", "parkinson_var", "garman_klass_var", "vol_of_vol_22", "skew_22", "kurt_22"]
-PENALTIES = (0.1, 1.0, 10.0, 100.0)
+#: 3 * 2 * 2 * 2 = 24 candidates. A tree level is a pass over the rows, so trees are few and rates large.
+GRID = [
+    {"leaves": leaves, "min_rows": rows, "rate": rate, "l2": l2}
+    for leaves, rows, rate, l2 in itertools.product((15, 20, 31), (50, 100), (0.2, 0.1), (1.0, 5.0))
+]
 
 
 def design(features: DataFrame, names=FEATURES) -> DataFrame:
@@ -65,35 +78,82 @@ def predict(rows: DataFrame, models: DataFrame, out: str = "pooled_var") -> Data
     return joined.withColumn(out, c.from_log_var(dot)).drop("_k", "_last", "beta")
 
 
-def tune(rows: DataFrame, width: int, train_end: int, penalties=PENALTIES, validation: int = 63, horizon: int = HORIZON) -> DataFrame:
-    """(penalty, qlike) on the last rows of one fold's train window; the smallest finite QLIKE wins, then the first.
+@dataclass
+class Boosted:
+    """Trees per fold with what they need to score rows."""
+
+    models: list[boosting.Model]
+    bins: dict
+
+    def table(self, spark) -> DataFrame:
+        """A row per fold: how it was trained, and its trees as parallel arrays of nodes."""
+        rows = []
+        for m in self.models:
+            nodes = []
+            for t, tree in enumerate(m.trees):
+                for k, f in enumerate(tree.feature):
+                    split = f >= 0
+                    goes = np.flatnonzero(tree.left_bins[k]).tolist() if split else None
+                    nodes.append((t, k, [*self.bins["names"], "asset"][f] if split else None, goes, tree.left[k] if split else None, float(tree.value[k])))
+            rows.append((m.spec.model, m.spec.train_end, len(m.trees), m.n_train, m.n_val, None if m.loss == float("inf") else float(m.loss), float(m.base), nodes))
+        node = "struct<tree:int,node:int,feature:string,left_bins:array<int>,left:int,value:double>"
+        return spark.createDataFrame(rows, f"fold_id int, train_end int, n_trees int, n_train int, n_val int, val_loss double, base double, nodes array<{node}>")
+
+    def predict(self, rows: DataFrame, out: str = "pooled_var", fold: str = "fold_id", x: str = "x") -> DataFrame:
+        """Each row by its own fold's model, or the last one beyond; variance is exp of the prediction."""
+        last = max(m.spec.model for m in self.models)
+        keyed = rows.withColumn("_m", F.least(F.col(fold), F.lit(last)).cast("int"))
+        scored = boosting.predict(keyed, self.models, "_m", "_p", x)
+        return scored.withColumn(out, c.from_log_var(F.col("_p"))).drop("_m", "_p")
+
+
+def boosting_rows(features: DataFrame, names=BASE, keep=("fold_id", "target", "ewma_var")) -> tuple[DataFrame, dict]:
+    """(rows as bins, the bins): the copy that every fold reads. Edges come from the rows that all folds train on."""
+    df = features.withColumn("y", c.to_log_var(F.col("target"))).withColumn("pos", F.col("pos").cast("int"))
+    bins = boosting.bins_of(df, list(names), MIN_TRAIN)
+    rows = boosting.binned(df, bins, ["asset", "date", "pos", "y", *keep])
+    parts = max(features.sparkSession.sparkContext.defaultParallelism, int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return staged(rows.repartition(parts, "asset", "pos")), bins
+
+
+def fold_end(fold: int, min_train: int = MIN_TRAIN, step: int = STEP, horizon: int = HORIZON) -> int:
+    """Where a fold's train window ends."""
+    return min_train + (skipped(horizon, step) + fold) * step - horizon
+
+
+def fit_folds(rows: DataFrame, bins: dict, n_folds: int, params: dict, **limits) -> Boosted:
+    """One boosted model per fold that all assets have; each stops by the last rows of its own train window."""
+    return Boosted(boosting.grow(rows, [boosting.Spec(k, fold_end(k), **params, **limits) for k in range(n_folds)], bins), bins)
+
+
+def tune(rows: DataFrame, bins: dict, train_end: int, grid=None, validation: int = boosting.VALIDATION, **limits) -> DataFrame:
+    """(combo_id, its parameters, n_trees, qlike) for every candidate, on the last rows of one fold's train window.
 
     The train window of a late fold holds test rows of earlier ones: tuned scores of those are not out of sample."""
-    inner = rows.filter(f"y is not null and pos < {train_end - validation - horizon}")
+    grid = GRID if grid is None else grid
+    models = boosting.grow(rows, [boosting.Spec(k, train_end, **g, **limits) for k, g in enumerate(grid)], bins, validation)
     held = rows.filter(f"y is not null and pos >= {train_end - validation} and pos < {train_end}")
-    cells = [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(width) for j in range(i, width)] + [F.sum(F.col("x")[i] * F.col("y")) for i in range(width)]
-    stats = inner.agg(F.array(*cells).alias("sums")).withColumn("fold_id", F.lit(0))
-    scored = None
-    for k, p in enumerate(penalties):
-        one = predict(held.withColumn("fold_id", F.lit(0)), solve(stats, width, p)).agg(F.avg(c.qlike_loss(F.col("target"), F.col("pooled_var"))).alias("qlike"))
-        one = one.select(F.lit(k).alias("combo_id"), F.lit(float(p)).alias("penalty"), "qlike")
-        scored = one if scored is None else scored.unionByName(one)
-    return scored
+    each = held.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1)))).withColumn("_k", F.col("_k").cast("int"))
+    loss = c.qlike_loss(c.from_log_var(F.col("y")), c.from_log_var(F.col("_p")))
+    scored = boosting.predict(each, models, "_k", "_p").groupBy("_k").agg(F.avg(loss).alias("qlike"))
+    known = rows.sparkSession.createDataFrame([(k, *g.values(), len(m.trees)) for k, (g, m) in enumerate(zip(grid, models))], f"combo_id int, {', '.join(f'{n} {type(v).__name__}' for n, v in grid[0].items()).replace('float', 'double')}, n_trees int")
+    return known.join(scored.withColumnRenamed("_k", "combo_id"), "combo_id", "left")
 
 
 def best_combo(scored: DataFrame) -> DataFrame:
+    """The candidate of the smallest QLIKE; missing and infinite ones lose, the first of equal ones wins."""
     q = F.when(F.col("qlike").isNull() | F.isnan("qlike"), float("inf")).otherwise(F.col("qlike"))
-    return scored.agg(F.min_by(F.struct("combo_id", "penalty", "qlike"), F.struct(q, "combo_id")).alias("b")).select("b.*")
+    return scored.agg(F.min_by(F.struct(*scored.columns), F.struct(q, "combo_id")).alias("b")).select("b.*")
 
 
 def model_run(rows: DataFrame, models: DataFrame, best: DataFrame, lineage: DataFrame, fold: int, train_end: int) -> DataFrame:
-    """The ``model_runs`` row of a candidate: the last common fold's model with the tuned penalty, and where it came from.
+    """The ``model_runs`` row of a candidate: the last common fold's model with the tuned parameters, and where it came from.
 
     ``lineage`` holds a fingerprint per asset; the data hash is over all of them in the order of assets."""
     hashes = F.transform(F.array_sort(F.collect_list(F.struct("asset", "hash"))), lambda x: F.concat_ws(":", x["asset"], x["hash"]))
     data = lineage.agg(F.substring(F.md5(F.concat_ws(",", hashes)), 1, 8).alias("data_hash"), F.count("*").alias("n_assets"))
     window = rows.filter(F.col("pos") < train_end).agg(F.max("date").alias("train_window_end"), F.count("y").alias("n_rows"))
-    model = models.filter(F.col("fold_id") == fold).select("fold_id", "beta")
+    model = models.filter(F.col("fold_id") == fold)
     run = model.crossJoin(best).crossJoin(data).crossJoin(window)  # a row each
     return run.withColumn("alias", F.lit("candidate"))
 
@@ -109,14 +169,21 @@ def contributions(rows: DataFrame, models: DataFrame, names=FEATURES) -> DataFra
     return long.select("asset", "feature", (F.col("b") * (F.col("x") - F.avg("x").over(w))).alias("value"))
 
 
-def boosted(rows: DataFrame, names=FEATURES, trees: int = 20, depth: int = 4, seed: int = 0):
-    """A boosted-tree model of y, with early stopping on rows whose role is val; the costly option, for few folds."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = rows.filter("y is not null").withColumn("is_val", F.col("role") == "val")
-    index = StringIndexer(inputCol="asset", outputCol="asset_ix", handleInvalid="keep")
-    build = VectorAssembler(inputCols=[*names, "asset_ix"], outputCol="features")
-    gbt = GBTRegressor(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8, validationIndicatorCol="is_val")
-    return Pipeline(stages=[index, build, gbt]).fit(rows)
+def permutation_importance(rows: DataFrame, model: Boosted, seed: int = 0) -> DataFrame:
+    """(asset, feature, importance): by how much the QLIKE of an asset's rows rises when the feature's values change places.
+
+    ``rows``: test rows with ``target``. Rows of an asset are numbered by place and, per feature, by a hash; the row at a
+    place takes the value of the row that the hash puts there. A feature that no tree splits on scores 0."""
+    names = [*model.bins["names"], "asset"]
+    rows = rows.select("asset", "date", "fold_id", "target", "x").withColumn("_i", F.row_number().over(Window.partitionBy("asset").orderBy("date")))
+    loss = lambda h: c.qlike_loss(F.col("target"), F.col(h))
+    rows = staged(model.predict(rows, "_h").withColumn("_l", loss("_h")).drop("_h"))
+    features = F.explode(F.sequence(F.lit(0), F.lit(len(names) - 2))).alias("_f")  # an asset's rows share their asset
+    order = Window.partitionBy("asset", "_f").orderBy(F.xxhash64("date", "_f", F.lit(seed)), "date")
+    given = rows.select("asset", "date", features, "x").withColumn("_i", F.row_number().over(order))
+    given = given.select("asset", "_i", "_f", F.expr("substring(x, _f + 1, 1)").alias("_v"))
+    moved = rows.join(given, ["asset", "_i"])
+    x = F.concat(F.expr("substring(x, 1, _f)"), F.col("_v"), F.expr(f"substring(x, _f + 2, {len(names)})"))
+    moved = model.predict(moved.withColumn("x", x), "_h")
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("_f") + 1)
+    return moved.groupBy("asset", name.alias("feature")).agg(F.avg(loss("_h") - F.col("_l")).alias("importance"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
-from tidemark.operators import asof, ewma, folds, garch, har, ingest, metrics, validate
+from tidemark.operators import asof, boosting, ewma, folds, garch, har, ingest, metrics, validate
 from tidemark.plans import features as feats
 from tidemark.plans import pooled, score
 from tidemark.sources import bars as b
@@ -834,39 +834,112 @@ def _last_common(spark, d):
     return last, folds.MIN_TRAIN + (folds.skipped() + last) * folds.STEP - folds.HORIZON
 
 
+#: Fitted models by session and data: the reports, scores and importances of one session share a fit, as they would a registry.
+_FITTED: dict[tuple, object] = {}
+
+
+def _once(name: str, spark, d, make):
+    key = (name, spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
+def _boosting_rows(spark, d):
+    return _once("rows", spark, d, lambda: pooled.boosting_rows(_folded(spark, d)))
+
+
+def _tuned(spark, d) -> list:
+    """The 24 scored candidates, as rows."""
+    return _once("tuned", spark, d, lambda: pooled.tune(*_boosting_rows(spark, d), _last_common(spark, d)[1]).collect())
+
+
+def _scored(spark, d):
+    return spark.createDataFrame(_tuned(spark, d), "combo_id int, leaves int, min_rows int, rate double, l2 double, n_trees int, qlike double")
+
+
+def _boosted(spark, d) -> pooled.Boosted:
+    """Boosted trees of every common fold, with the tuned parameters."""
+    best = pooled.GRID[pooled.best_combo(_scored(spark, d)).first()["combo_id"]]  # one row
+    return _once("boosted", spark, d, lambda: pooled.fit_folds(*_boosting_rows(spark, d), _last_common(spark, d)[0] + 1, best))
+
+
 @query()
 def m08_tuning(spark, d):
-    return pooled.best_combo(pooled.tune(_design(spark, d), _WIDTH, _last_common(spark, d)[1]))
+    """24 candidates with their validation QLIKE, and which of them wins."""
+    best = pooled.best_combo(_scored(spark, d)).select("combo_id", F.lit(True).alias("picked"))
+    return _scored(spark, d).join(best, "combo_id", "left").withColumn("picked", F.coalesce("picked", F.lit(False)))
 
 
 @query()
 def m09_pooled_models(spark, d):
+    return _boosted(spark, d).table(spark)
+
+
+@query()
+def m09_ridge_models(spark, d):
     return pooled.solve(pooled.fold_statistics(_design(spark, d), _WIDTH), _WIDTH)
 
 
-def _pooled(spark, d):
+def _ridge(spark, d):
     rows = _design(spark, d)
     models = pooled.solve(pooled.fold_statistics(rows, _WIDTH), _WIDTH)
     return rows.filter("fold_id is not null"), models
 
 
+def _tested(spark, d):
+    """Test rows of the folds, as bins."""
+    return _boosting_rows(spark, d)[0].filter("fold_id is not null").filter(c.valid_target_floored(F.col("target")))
+
+
 @query()
 def m10_fold_scores(spark, d):
-    rows, models = _pooled(spark, d)
+    scored = _boosted(spark, d).predict(_tested(spark, d))
+    return scored.select("asset", "date", F.col("target").alias("realized_var"), "pooled_var", "ewma_var")
+
+
+@query()
+def m10_ridge_scores(spark, d):
+    rows, models = _ridge(spark, d)
     return pooled.predict(rows.filter(c.valid_target_floored(F.col("target"))), models).select("asset", "date", F.col("target").alias("realized_var"), "pooled_var", "ewma_var")
 
 
 @query()
 def m11_importance(spark, d):
-    return metrics.top_features(pooled.contributions(*_pooled(spark, d)))
+    return metrics.ranked_features(pooled.permutation_importance(_tested(spark, d), _boosted(spark, d)))
 
 
 @query()
-def m12_batch_scores(spark, d):
-    rows, models = _pooled(spark, d)
-    latest = score.latest_complete(_design(spark, d).withColumn("fold_id", F.lit(1 << 30)), pooled.FEATURES)
+def m11_linear_contributions(spark, d):
+    return metrics.top_features(pooled.contributions(*_ridge(spark, d)))
+
+
+def _latest_scores(spark, d):
+    """Every asset's latest complete row, its forecast by the last fold's model, and a status."""
+    names = [f for f in feats.BASE if f not in ("log_ret", "sq_ret")]
+    latest = score.latest_complete(_features(spark, d), names).withColumn("fold_id", F.lit(1 << 30)).drop("target")
+    model = _boosted(spark, d)
+    rows = boosting.binned(latest, model.bins, ["asset", "date", "fold_id"])
     newest = _bars(spark, d).groupBy("asset").agg(F.max("date").alias("newest"))
-    return score.forecast_table(pooled.predict(latest, models), newest, _dim(spark), "pooled_var")
+    return score.forecast_table(model.predict(rows), newest, _dim(spark), "pooled_var")
+
+
+@query()
+def m12_batch_scores(spark, d):
+    return _latest_scores(spark, d)
+
+
+@query()
+def s07_prediction_log(spark, d):
+    """The log after two runs of the batch: each appends the rows that hold a forecast."""
+    import uuid
+
+    from tidemark.plans.storage import scratch
+
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    for stamp in ("1999-01-01 00:00:00", "1999-01-02 00:00:00"):
+        score.append_log(score.log_rows(_latest_scores(spark, d), "1", "champion", stamp), path)
+    return spark.read.parquet(path)
 
 
 # ---- composite pipelines ---------------------------------------------------------------------------------------------
@@ -910,13 +983,11 @@ def c08_baseline_ewma(spark, d):
 
 
 def _compared(spark, d):
-    """Pooled regression against EWMA, GARCH and HAR: long rows of the test folds with their regimes."""
+    """Boosted trees against EWMA, GARCH and HAR: long rows of the test folds with their regimes."""
     df, params = _garch(spark, d)
-    df = har.har_forecast(folds.with_folds(garch.garch_forecast(df, params)), "sq_ret")
-    rows = pooled.design(df)
-    models = pooled.solve(pooled.fold_statistics(rows, _WIDTH), _WIDTH)
-    tested = rows.filter("fold_id is not null").filter(c.valid_target_floored(F.col("target")))
-    out = metrics.with_terciles(pooled.predict(tested, models).withColumn("realized_var", F.col("target")))
+    df = har.har_forecast(folds.with_folds(garch.garch_forecast(df, params)), "sq_ret").select("asset", "date", "garch_var", "har_var")
+    scored = _boosted(spark, d).predict(_tested(spark, d)).join(df, ["asset", "date"])
+    out = metrics.with_terciles(scored.withColumn("realized_var", F.col("target")))
     names = {"pooled_var": "pooled", "ewma_var": "EWMA", "garch_var": "GARCH", "har_var": "HAR"}
     return metrics.long_forecasts(out.withColumn("year", F.year("date")), names, ["asset", "year", "tercile", "realized_var"])
 
@@ -935,16 +1006,14 @@ def c09_worse_than_best(spark, d):
 
 @query()
 def c10_model_run(spark, d):
-    """The row that registers a candidate: the last common fold's model at the tuned penalty, with its lineage."""
-    from tidemark.plans.storage import staged
+    """The row that registers a candidate: the last common fold's trees with the tuned parameters, and their lineage.
 
-    rows = staged(_design(spark, d))  # read by the tuning, the folds and the lineage
+    The data hash is over the feature frame that the trees were grown on."""
     last, train_end = _last_common(spark, d)
-    best = pooled.best_combo(pooled.tune(rows, _WIDTH, train_end))
-    penalty = best.first()["penalty"]  # one row
-    models = pooled.solve(pooled.fold_statistics(rows, _WIDTH), _WIDTH, penalty)
-    lineage = metrics.fingerprint(_bars(spark, d))
-    return pooled.model_run(rows, models, best, lineage, last, train_end)
+    rows, _ = _boosting_rows(spark, d)
+    best = pooled.best_combo(_scored(spark, d)).drop("n_trees").withColumnRenamed("qlike", "val_qlike")
+    models = _boosted(spark, d).table(spark).drop("train_end", "n_val")
+    return pooled.model_run(rows, models, best, metrics.fingerprint(rows), last, train_end)
 
 
 @query(f"SELECT asset, {_LOSS_SQL} FROM long WHERE model = 'ewma' GROUP BY asset", LONG_SQL)
