@@ -67,6 +67,24 @@ def test_ewma_equals_pandas(spark, gaps):
     assert np.allclose([math.nan if v is None else v for v in got], want, equal_nan=True, rtol=1e-12)
 
 
+@pytest.mark.parametrize("lam", [1e-200, 0.01, 0.05, 0.5, 0.999])
+def test_ewma_of_any_weight(spark, lam):
+    """Small weights neither overflow nor vanish, dense or with gaps."""
+    r = np.random.default_rng(4)
+    values = {"A": [float(v) for v in r.random(700)], "B": [None if i % 7 or 200 < i < 290 else float(v) for i, v in enumerate(r.random(700))]}
+    df = spark.createDataFrame([(a, DAY0 + dt.timedelta(i), v) for a, x in values.items() for i, v in enumerate(x)], "asset string, date date, x double")
+    got = [q.h for q in ewma.with_ewma(df, "x", "h", lam).orderBy("asset", "date").collect()]
+    want = []
+    for x in values.values():
+        h = seen = None
+        for i, v in enumerate(x):
+            if v is not None:
+                w = 0.0 if h is None else lam ** (i - seen)
+                h, seen = v if h is None else (w * h + (1 - lam) * v) / (w + 1 - lam), i
+            want.append(math.nan if h is None else h)
+    assert np.allclose([math.nan if v is None else v for v in got], want, equal_nan=True, rtol=1e-9)
+
+
 def test_asof_staleness_bounds(spark):
     left = spark.createDataFrame([("A", DAY0 + dt.timedelta(i)) for i in (9, 0, 1, 2, 3, 4, 5)], "asset string, date date")
     right = spark.createDataFrame([(DAY0, 1.0), (DAY0 + dt.timedelta(8), None)], "date date, rv double")
@@ -97,6 +115,30 @@ def test_wide_frame(spark):
         b.wide_to_bars(wide.drop("Close_S"))
 
 
+def test_wide_rows_with_missing_fields_stay(spark):
+    """A bar without its close is for the gate to find; a ticker without any field has no bar; separators are plain text."""
+    rows = [(DAY0, 1.0, 2.0, 0.5, None, 9.0, None), (DAY0 + dt.timedelta(1), None, None, None, None, None, 3.0)]
+    wide = spark.createDataFrame(rows, "date date, `Open.S` double, `High.S` double, `Low.S` double, `Close.S` double, `Volume.S` double, `Open.T` double")
+    got = sorted((r.asset, r.date.day, r.open, r.close) for r in b.wide_to_bars(wide, separator=".").collect())
+    assert got == [("S", 1, 1.0, None), ("T", 2, 3.0, None)]
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_dates_are_utc_in_any_session(spark, zone):
+    from tidemark.operators import ingest
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        day = 1577836800000  # 2020-01-01
+        candles = spark.createDataFrame([("A", ms, 1.0, 1.0, 1.0, 1.0, 1.0) for ms in (day, day + 86_399_999, -1)], "asset string, open_time_ms long, open double, high double, low double, close double, volume double")
+        bars = b.candles_to_bars(candles)
+        assert sorted(str(r.date) for r in bars.collect()) == ["1969-12-31", "2020-01-01", "2020-01-01"]
+        assert ingest.resume_from(bars, spark.createDataFrame([("A",)], "asset string"), 0).first().since_ms == day + 86_400_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_candles(spark):
     rows = spark.createDataFrame([(0, 1.0, 1.0, 1.0, 1.0, 1.0), (86_400_000, 2.0, 2.0, 2.0, 2.0, 2.0)], "open_time_ms long, open double, high double, low double, close double, volume double")
     assert b.closed_candles(rows, 86_400_000, 86_400_000).count() == 1  # the end itself counts

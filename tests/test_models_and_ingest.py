@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tests.test_features_and_joins import DAY0, walk
 from tidemark.operators import folds, garch, har, ingest, metrics, validate
 from tidemark.plans import features as feats
-from tidemark.plans import pooled, score
+from tidemark.plans import pooled, score, versions
 from tidemark.plans.storage import scratch
 from tidemark.sources import bars as b
 from tidemark.streaming import jobs
@@ -69,19 +69,64 @@ def test_har_equals_least_squares(spark):
     assert got[:60] == [None] * 60
 
 
-def test_garch_contract():
-    r = np.random.default_rng(0)
-    s, x = 1e-4, []
-    for _ in range(600):
+def simulated(n, omega, alpha, beta, seed=1, s=1e-4):
+    r, x = np.random.default_rng(seed), []
+    for _ in range(n):
         x.append(math.sqrt(s) * r.normal())
-        s = 2e-6 + 0.1 * x[-1] ** 2 + 0.88 * s
-    omega, a, beta, last, _, ll, status = garch.fit(np.array(x))
-    assert status == "ok" and omega > 0 and a > 0 and beta > 0 and a + beta < 1 and last > 0
-    r2 = (np.array(x) * 100) ** 2
-    grid = [(p, q) for p in np.linspace(0.01, 0.3, 8) for q in np.linspace(0.2, 0.69, 8)]
-    coarse, _ = garch.filtered(r2, *(np.array(v) for v in zip(*grid)), r2.mean())
-    assert ll >= coarse.max() - 1e-9
-    assert garch.fit(np.array(x[:5]))[-1] == "no_convergence" and garch.fit(np.zeros(50))[-1] == "numerical"
+        s = omega + alpha * x[-1] ** 2 + beta * s
+    return np.array(x)
+
+
+@pytest.mark.parametrize("n, omega, alpha, beta, near", [(4000, 1e-4, 0.6, 0.2, 0.05), (2000, 2e-6, 0.1, 0.88, 0.05), (600, 1e-4, 0.2, 0.3, 0.2)])
+def test_garch_finds_the_maximum(n, omega, alpha, beta, near):
+    x = simulated(n, omega, alpha, beta)
+    w, a, b, last, _, ll, status = garch.fit(x)
+    assert status == "ok" and abs(a - alpha) < near and abs(b - beta) < near and last > 0
+    r2 = (x * 100) ** 2
+    start, v = r2[: garch.WARM].mean(), r2.mean()
+    grid = [(k * v, p, q) for k in np.linspace(0.01, 0.8, 8) for p in np.linspace(0.01, 0.9, 15) for q in np.linspace(0.01, 0.98, 15)]
+    assert ll >= max(garch.likelihood(r2, *g, start)[0] for g in grid)
+
+
+def test_garch_statuses():
+    explosive, s = [], 1e-6
+    for z in np.random.default_rng(5).normal(size=500):
+        explosive.append(math.sqrt(s) * z)
+        s = 1e-7 + 0.3 * explosive[-1] ** 2 + 0.8 * s
+    assert garch.fit(np.array(explosive))[-1] == "non_stationary"
+    assert garch.fit(np.ones(5))[-1] == garch.fit(np.r_[np.ones(50), np.inf])[-1] == "no_convergence"
+    assert garch.fit(np.zeros(50))[-1] == "numerical"
+    assert garch.fit(np.random.default_rng(0).normal(size=500))[-1] == "ok"  # no clustering: a flat likelihood
+
+
+def test_garch_likelihood_and_gradient(monkeypatch):
+    r2 = (simulated(300, 1e-4, 0.2, 0.5) * 100) ** 2
+    start, s = r2[:75].mean(), [r2[:75].mean()]
+    for x in r2[:-1]:
+        s.append(0.3 + 0.2 * x + 0.5 * s[-1])
+    for chunk in (1 << 16, 64):  # whole, and with state carried over chunks
+        monkeypatch.setattr(garch, "CHUNK", chunk)
+        ll, last, g, _ = garch.likelihood(r2, 0.3, 0.2, 0.5, start, True)
+        assert ll == pytest.approx(-0.5 * (np.log(s) + r2 / s).sum()) and last == pytest.approx(s[-1])
+        for i in range(3):
+            up, down = ([0.3, 0.2, 0.5] for _ in range(2))
+            up[i] += 1e-6
+            down[i] -= 1e-6
+            assert g[i] == pytest.approx((garch.likelihood(r2, *up, start)[0] - garch.likelihood(r2, *down, start)[0]) / 2e-6, rel=1e-4)
+
+
+def test_garch_ships_a_series_once(spark):
+    """One exchange of (asset, pos, return) rows, no row per refit; carried state gives what fits from scratch give."""
+    df = folds.with_positions(feats.returns(walk(spark, 2, 160)))
+    plan = garch.fit_parameters(df, 60, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "collect_list" not in plan
+    got = {(r.asset, r.refit_pos): r for r in garch.fit_parameters(df, 60, 10).collect()}
+    returns = {a: [r.log_ret for r in df.filter(f"asset = '{a}'").orderBy("pos").collect()] for a in ("A0", "A1")}
+    assert set(got) == {(a, p) for a in returns for p in range(60, 160, 10)}
+    for (a, p), r in got.items():
+        alone = garch.fit(np.array([math.nan if x is None else x for x in returns[a][: p + 1]]))
+        assert r.loglik >= alone[5] - 1e-6 * abs(alone[5]) and r.r_last == pytest.approx(100 * returns[a][p])
+    assert garch.failed_refits(spark.createDataFrame([("a", "ok"), ("a", "numerical"), ("b", "ok")], "asset string, status string")).orderBy("asset").collect() == [("a", 1), ("b", 0)]
 
 
 def test_garch_does_not_look_ahead(spark):
@@ -91,8 +136,7 @@ def test_garch_does_not_look_ahead(spark):
     assert part == {k: v for k, v in whole.items() if k <= 95}
 
 
-def test_garch_queries_refit_every_21_rows(spark, monkeypatch):
-    monkeypatch.setattr(garch, "GRID", 4)  # the schedule is tested, not the fit
+def test_garch_queries_refit_every_21_rows(spark):
     d = "/root/testdata/sf0.001"
     sizes = {r.asset: r["count"] for r in b.daily_bars(spark, d).groupBy("asset").count().collect()}
     got = sorted((r.asset, r.refit_pos) for r in entry.queries()["m04_garch_parameters"](spark, d).select("asset", "refit_pos").collect())
@@ -110,17 +154,34 @@ def test_gate_and_ingest(spark):
     assert {r.asset for r in validate.gate(both, v).collect()} == {"A0"}
     root = f"{scratch(spark)}/{uuid.uuid4().hex}"
     paths = [f"{root}/{x}" for x in ("raw", "processed", "quarantine")]
+    raw, processed = (versions.Table(spark, p, both.schema) for p in paths[:2])
     first = both.filter("date < date'2020-01-20'")
     assert ingest.ingest_all(spark, *paths, first, "20200120T000000Z") == 1
-    assert {r.asset for r in spark.read.parquet(paths[1]).select("asset").distinct().collect()} == {"A0"}
+    assert {r.asset for r in processed.read().select("asset").distinct().collect()} == {"A0"}
     assert spark.read.option("header", True).csv(paths[2]).filter("asset = 'B'").count() > 0
     seam = good.filter("date >= date'2020-01-23'")  # a gap between stored rows and the batch
     assert ingest.ingest_all(spark, *paths, seam, "20200123T000000Z") == 1
-    assert spark.read.parquet(paths[1]).count() == first.filter("asset = 'A0'").count()
-    assert ingest.ingest_all(spark, *paths, good, "20200124T000000Z") == 0
-    assert spark.read.parquet(paths[1]).filter("asset = 'A0'").count() == 40
-    assert ingest.ingest_all(spark, *paths, good, "20200125T000000Z") == 0
-    assert spark.read.parquet(paths[1]).filter("asset = 'A0'").count() == 40
+    assert processed.read().count() == first.filter("asset = 'A0'").count()
+    for stamp in ("20200124T000000Z", "20200125T000000Z"):
+        assert ingest.ingest_all(spark, *paths, good, stamp) == 0
+        assert processed.read().filter("asset = 'A0'").count() == 40
+    assert raw.read().count() == 40 + 19 and raw.manifest().filter("asset = 'B'").first()["at"] == 0  # untouched since the first
+    with pytest.raises(FileNotFoundError):
+        versions.Table(spark, f"{root}/none")
+
+
+def test_ingest_that_stopped_half_way(spark, monkeypatch):
+    bars = walk(spark, 2, 30)
+    root = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    paths = [f"{root}/{x}" for x in ("raw", "processed", "quarantine")]
+    commit = versions.Table._commit
+    monkeypatch.setattr(versions.Table, "_commit", lambda self, *a: commit(self, *a) if "raw" in self.root else (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        ingest.ingest_all(spark, *paths, bars, "20200131T000000Z", version=4)
+    monkeypatch.setattr(versions.Table, "_commit", commit)
+    assert versions.committed(spark, paths[0]) == [4] and versions.committed(spark, paths[1]) == []
+    assert ingest.ingest_all(spark, *paths, bars, "20200131T000000Z", version=4) == 0
+    assert versions.Table(spark, paths[1]).read().count() == 60
 
 
 def test_stale_runs_five_pass_six_fail(spark):
@@ -192,12 +253,14 @@ def test_stream_upsert_and_ewma(spark):
     fixed = bars.withColumn("close", F.col("close") + 1)
     sink(fixed, 1)
     sink(fixed, 1)
-    assert {r.close for r in spark.read.parquet(f"{root}/bars/v=1").collect()} == {r.close for r in fixed.collect()}
+    assert {r.close for r in jobs.current(spark, f"{root}/bars").collect()} == {r.close for r in fixed.collect()}
     ticks = bars.select("asset", F.col("date").cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("event_id"), F.col("close").alias("px"))
     ticks.coalesce(1).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(ticks.schema).parquet(f"{root}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     run = jobs.online_ewma(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = [r.ewma_var for r in spark.read.parquet(f"{root}/out").orderBy("ts").collect()]
     from tidemark.operators.ewma import with_ewma
 

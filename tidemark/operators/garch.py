@@ -1,13 +1,18 @@
-"""GARCH(1,1): a grouped fit job per (asset, refit), then forecasts as columns.
+"""GARCH(1,1) by maximum likelihood: walk-forward fits of every asset, then forecasts as columns.
 
-The fit searches (alpha, beta) on grids that are refined twice, with variance targeting; it is deterministic and needs no
-optimizer. Its contract: positive parameters, alpha + beta < 1, a likelihood no worse than any coarse grid point, and no
-use of rows after the refit."""
+A task streams the rows of its assets in order of time, so a series is shipped once, whatever the number of refits. Between
+refits it carries the filter of a grid of candidates along: a refit adds only the new rows to their likelihoods. The best
+candidate and the last good fit are starting points of damped Fisher scoring over omega, alpha and beta above 0, whose
+variance and gradient recursions are linear filters, computed by doubling in chunks of rows. Nothing bounds alpha + beta:
+where the likelihood prefers an explosive series, the status says so.
+
+Statuses: ok; no_convergence (too few rows, an infinite return, or steps that don't settle); non_stationary (alpha + beta of
+1 or more at the maximum); numerical (returns without variance, or a likelihood that is not a number)."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,60 +20,185 @@ from pyspark.sql.window import Window
 from tidemark.operators.folds import MIN_TRAIN, STEP
 
 SCALE = 100.0
-GRID = 12
+LEAST_ROWS = 20
+#: Rows whose mean square starts the filter, rows of a chunk, steps of the search, and what counts as settled.
+WARM, CHUNK, STEPS, SETTLED = 75, 1 << 16, 100, 1e-8
+#: Smallest parameter of the search, on returns scaled to unit variance.
+SMALLEST = 1e-8
 PARAMS = "asset string, refit_pos int, omega double, alpha double, beta double, sigma2_last double, r_last double, loglik double, status string"
 
 
-def filtered(r2: np.ndarray, alpha: np.ndarray, beta: np.ndarray, v: float):
-    """(log-likelihoods, last variances) of all candidates at once."""
-    omega, s, ll = v * (1 - alpha - beta), np.full(len(alpha), v), np.zeros(len(alpha))
-    for x in r2:
-        last = s
-        ll += np.log(s) + x / s
-        s = omega + alpha * x + beta * s
-    return -0.5 * ll, last
-
-
-def fit(returns: np.ndarray) -> tuple:
-    """(omega, alpha, beta, last variance, last return, log-likelihood, status), on returns scaled by 100."""
+def _filter(u: np.ndarray, beta: float, before: np.ndarray | float = 0.0) -> np.ndarray:
+    """y[t] = u[t] + beta y[t-1] along the last axis, by doubling; ``before`` is y[-1]."""
+    y = u.copy()
+    y[..., 0] += beta * before
+    step, weight = 1, beta
+    while step < y.shape[-1] and abs(weight) > 1e-300:
+        y[..., step:] = y[..., step:] + weight * y[..., :-step]
+        step, weight = step * 2, weight * weight
+    return y
+
+
+def likelihood(r2: np.ndarray, omega: float, alpha: float, beta: float, start: float, gradient: bool = False):
+    """(log-likelihood, last variance, gradient, information) for squared returns; the first variance is ``start``.
+
+    With s[t] = omega + alpha r2[t-1] + beta s[t-1], the derivatives of s follow the same recursion."""
+    total, g, info = 0.0, np.zeros(3), np.zeros((3, 3))
+    s_before, d_before, r_before = start, np.zeros(3), None
+    for a in range(0, len(r2), CHUNK):
+        r = r2[a : a + CHUNK]
+        old = np.concatenate([[0.0 if r_before is None else r_before], r[:-1]])
+        u = omega + alpha * old
+        if r_before is None:
+            u[0], carried = start, 0.0
+        else:
+            carried = s_before
+        s = _filter(u, beta, carried)
+        if not np.all(s > 0) or not np.isfinite(s[-1]):
+            return -np.inf, np.nan, g, info
+        total += float((np.log(s) + r / s).sum())
+        if gradient:
+            d = np.stack([np.ones(len(r)), old, np.concatenate([[s_before], s[:-1]])])
+            if r_before is None:
+                d[:, 0] = 0.0
+            d = _filter(d, beta, d_before if r_before is not None else 0.0)
+            share = d / s
+            g += 0.5 * (share * (r / s - 1)).sum(1)
+            info += 0.5 * share @ share.T
+            d_before = d[:, -1]
+        s_before, r_before = float(s[-1]), float(r[-1])
+    return -0.5 * total, s_before, g, info
+
+
+class Candidates:
+    """A grid of (alpha, alpha + beta), omega by the first rows' variance, whose filters go along with the series."""
+
+    def __init__(self, start: float):
+        a, p = (x.ravel() for x in np.meshgrid([0.02, 0.05, 0.1, 0.2, 0.35, 0.6, 0.9], [0.3, 0.6, 0.8, 0.9, 0.95, 0.98, 0.995, 1.02]))
+        keep = p > a
+        self.alpha, self.beta = a[keep], p[keep] - a[keep]
+        self.omega = start * np.maximum(1 - p[keep], 0.005)
+        self.s, self.ll, self.seen = np.full(keep.sum(), start), np.zeros(keep.sum()), 0
+
+    def extend(self, r2: np.ndarray) -> None:
+        """Takes up the rows that came since."""
+        for x in r2[self.seen :].tolist():
+            with np.errstate(over="ignore", invalid="ignore"):
+                self.ll -= 0.5 * (np.log(self.s) + x / self.s)
+                self.s = self.omega + self.alpha * x + self.beta * self.s
+        self.seen = len(r2)
+
+    def best(self) -> np.ndarray:
+        i = int(np.argmax(np.where(np.isfinite(self.ll), self.ll, -np.inf)))
+        return np.array([self.omega[i], self.alpha[i], self.beta[i]])
+
+
+def maximise(r2: np.ndarray, start: float, points: list[np.ndarray]) -> tuple[np.ndarray, float, float, bool]:
+    """(parameters, log-likelihood, last variance, settled) from the best of some starting points."""
+    scored = [(likelihood(r2, *p, start)[0], i) for i, p in enumerate(points)]
+    p = np.maximum(points[max(scored)[1]], SMALLEST)
+    ll, last, g, info = likelihood(r2, *p, start, True)
+    damping, settled, quiet = 1e-3, False, 0
+    for _ in range(STEPS):
+        free = np.flatnonzero((p > SMALLEST) | (g > 0))  # others rest on their bound
+        part, step = info[np.ix_(free, free)], np.zeros(3)
+        step[free] = np.linalg.solve(part + damping * np.diag(np.diag(part)), g[free])
+        new = np.maximum(np.maximum(p + step, 0.1 * p), SMALLEST)
+        found = likelihood(r2, *new, start, True)
+        if found[0] >= ll:
+            gain, moved = found[0] - ll, float((np.abs(new - p) / (p + 1e-3)).max())
+            p, (ll, last, g, info), damping = new, found, max(damping / 5, 1e-9)
+            quiet = quiet + 1 if gain <= SETTLED * (1 + abs(ll)) else 0
+            if quiet and (moved < 1e-3 or quiet == 3):  # on a flat ridge steps go on without a gain
+                settled = True
+                break
+        else:
+            damping *= 8
+            if damping > 1e10:  # no way leads up
+                settled = True
+                break
+    return p, ll, last, settled
+
+
+def fit(returns: np.ndarray, good: np.ndarray | None = None, candidates: Candidates | None = None) -> tuple:
+    """(omega, alpha, beta, last variance, last return, log-likelihood, status), on returns scaled by 100.
+
+    ``good``: an earlier fit's parameters; ``candidates``: a grid that has seen the series so far."""
     r = np.asarray(returns, float) * SCALE
     r = r[~np.isnan(r)]
-    if len(r) < 20 or not np.isfinite(r).all():
-        return (None, None, None, None, None, None, "no_convergence")
+    none = (None,) * 6
+    if len(r) < LEAST_ROWS or not np.isfinite(r).all():
+        return (*none, "no_convergence")
     r2 = r * r
+    start = float(r2[:WARM].mean()) or float(r2.mean())
+    if start <= 0:
+        return (*none, "numerical")
+    if candidates is None:
+        candidates = Candidates(start)
+    candidates.extend(r2)
     v = float(r2.mean())
-    if v <= 0:
-        return (None, None, None, None, None, None, "numerical")
-    a_low, a_high, p_low, p_high = 0.005, 0.35, 0.05, 0.995  # alpha, and alpha + beta
-    best = None
-    for _ in range(3):
-        a, p = (x.ravel() for x in np.meshgrid(np.linspace(a_low, a_high, GRID), np.linspace(p_low, p_high, GRID)))
-        keep = p > a
-        a, p = a[keep], p[keep]
-        ll, s = filtered(r2, a, p - a, v)
-        i = int(np.nanargmax(ll))
-        if best is None or ll[i] > best[0]:
-            best = (float(ll[i]), float(a[i]), float(p[i]), float(s[i]))
-        da, dp = (a_high - a_low) / (GRID - 1), (p_high - p_low) / (GRID - 1)
-        a_low, a_high = max(1e-4, best[1] - da), best[1] + da
-        p_low, p_high = max(2e-4, best[2] - dp), min(0.9995, best[2] + dp)
-    ll, a, p, s = best
-    return (v * (1 - p), a, p - a, s, float(r[-1]), ll, "ok" if p < 1 else "non_stationary")
+    starts = [[candidates.best(), np.array([0.1 * v, 0.1, 0.8])]] + ([[good]] if good is not None else [])
+    try:
+        (omega, alpha, beta), ll, last, settled = max((maximise(r2, start, points) for points in starts), key=lambda x: x[1])
+    except np.linalg.LinAlgError:
+        return (*none, "numerical")
+    if not np.isfinite([ll, last, omega, alpha, beta]).all():
+        return (*none, "numerical")
+    status = "no_convergence" if not settled else "non_stationary" if alpha + beta >= 1 else "ok"
+    return (float(omega), float(alpha), float(beta), float(last), float(r[-1]), float(ll), status)
+
+
+class _Series:
+    """One asset on its way through time: its returns so far, the candidates' filters and the last good fit."""
+
+    def __init__(self, asset: str):
+        self.asset, self.r, self.n, self.good, self.candidates = asset, np.empty(1024), 0, None, None
+
+    def add(self, value: float) -> None:
+        if value == value:
+            if self.n == len(self.r):
+                self.r = np.concatenate([self.r, np.empty(self.n)])
+            self.r[self.n] = value
+            self.n += 1
+
+    def refit(self, pos: int) -> tuple:
+        r = self.r[: self.n]
+        if self.candidates is None and self.n >= max(LEAST_ROWS, WARM) and np.isfinite(r).all():
+            start = float(((r[:WARM] * SCALE) ** 2).mean())
+            self.candidates = Candidates(start) if start > 0 else None
+        found = fit(r, self.good, self.candidates)
+        if found[-1] == "ok":
+            self.good = np.array(found[:3])
+        return (self.asset, pos, *found)
 
 
 def fit_parameters(df: DataFrame, min_train: int = MIN_TRAIN, step: int = STEP) -> DataFrame:
-    """One row of parameters per (asset, refit_pos); the series is gathered once per asset and cut at each refit."""
-    whole = df.groupBy("asset").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("log_ret", F.lit(float("nan"))).alias("r")))).alias("s"))
-    cuts = whole.filter(F.size("s") > min_train).select(
-        "asset", F.explode(F.expr(f"sequence({min_train}, size(s) - 1, {step})")).alias("refit_pos"), F.expr("transform(s, x -> x.r)").alias("r")
-    ).select("asset", "refit_pos", F.expr("slice(r, 1, refit_pos + 1)").alias("r"))
-
-    def run(frames):
-        for f in frames:
-            rows = [(a, p, *fit(np.array(r))) for a, p, r in zip(f["asset"], f["refit_pos"], f["r"])]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in PARAMS.split(", ")])
-
-    return cuts.repartition("asset", "refit_pos").mapInPandas(run, PARAMS)
+    """One row of parameters per (asset, refit_pos), from the rows up to and including the refit.
+
+    An asset's rows go to one task, for each refit stands on the one before; only its returns so far are held."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in PARAMS.split(", ")])
+
+    def run(batches):
+        series = None
+        for b in batches:
+            rows = []
+            for asset, pos, value in zip(b["asset"].to_pylist(), b["pos"].to_pylist(), b["r"].to_pylist()):
+                if series is None or series.asset != asset:
+                    series = _Series(asset)
+                series.add(value)
+                if pos >= min_train and (pos - min_train) % step == 0:
+                    rows.append(series.refit(pos))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * len(schema), schema.types)], schema=schema)
+
+    rows = df.select("asset", F.col("pos").cast("int").alias("pos"), F.coalesce("log_ret", F.lit(float("nan"))).alias("r"))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, "asset").sortWithinPartitions("asset", "pos").mapInArrow(run, PARAMS)
+
+
+def failed_refits(params: DataFrame) -> DataFrame:
+    """(asset, n_fallbacks): refits that fell back, whatever the number of rows they forecast."""
+    return params.groupBy("asset").agg(F.count_if(F.col("status") != "ok").alias("n_fallbacks"))
 
 
 def garch_forecast(df: DataFrame, params: DataFrame, min_train: int = MIN_TRAIN, step: int = STEP) -> DataFrame:

@@ -14,9 +14,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one is set only where none is."""
+    """The cluster's shared checkpoint folder; only a local master may go without one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")

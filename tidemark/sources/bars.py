@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 OHLCV = ["open", "high", "low", "close", "volume"]
+DAY_MS = 86_400_000
 BAR_SCHEMA = "asset string, asset_class string, date date, open double, high double, low double, close double, volume double"
 
 
@@ -71,8 +72,8 @@ def hourly_bars(ticks: DataFrame) -> DataFrame:
 
 
 def candles_to_bars(candles: DataFrame) -> DataFrame:
-    """Millisecond candles to bars: UTC date, typed columns in order; an empty input keeps its schema."""
-    day = F.to_date(F.timestamp_millis(F.col("open_time_ms")))
+    """Millisecond candles to bars: UTC date in any session's time zone, typed columns in order; an empty input keeps its schema."""
+    day = F.date_from_unix_date(F.floor(F.col("open_time_ms") / DAY_MS).cast("int"))
     keys = [c for c in ("asset", "asset_class") if c in candles.columns]
     return candles.select(*keys, day.alias("date"), *(F.col(c).cast("double").alias(c) for c in OHLCV))
 
@@ -84,7 +85,9 @@ def closed_candles(candles: DataFrame, timeframe_ms: int, now_ms: int | Column)
 
 
 def wide_to_bars(frame: DataFrame, date: str = "date", separator: str = "_", field_first: bool = True) -> DataFrame:
-    """A frame with columns like Open_SPY (or SPY_Open) to one row per ticker and date; missing fields raise."""
+    """A frame with columns like Open_SPY (or SPY_Open) to one row per ticker and date; missing fields raise.
+
+    A ticker has no row on dates on which all its fields are NULL; a row with some of them stays, for the gate to find."""
     columns = [c for c in frame.columns if c != date]
     if not columns:
         raise ValueError("the wide frame holds no price columns")
@@ -94,11 +97,11 @@ def wide_to_bars(frame: DataFrame, date: str = "date", separator: str = "_", fie
         raise ValueError(f"missing columns: {sorted(missing)}")
     columns = [c for c in columns if fields[c] in OHLCV]
     frame = frame.select(date, *(F.col(f"`{c}`").cast("double").alias(c) for c in columns))
-    long = frame.unpivot([date], columns, "k", "v")
-    parts = F.split("k", separator, 2)
+    long = frame.unpivot([date], [F.col(f"`{c}`") for c in columns], "k", "v")
+    parts = F.split("k", "\\Q" + separator + "\\E", 2)
     long = long.select(parts[ticker].alias("asset"), F.to_date(date).alias("date"), F.lower(parts[field]).alias("field"), "v")
     bars = long.groupBy("asset", "date").agg(*(F.max(F.when(F.col("field") == c, F.col("v"))).alias(c) for c in OHLCV))
-    return bars.filter("close is not null")
+    return bars.filter(F.coalesce(*OHLCV).isNotNull())
 
 
 def load_assets(spark: SparkSession, rows) -> DataFrame:

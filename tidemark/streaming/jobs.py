@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
+from tidemark.functions.columns import decay
 from tidemark.operators.ingest import merge_bars
-from tidemark.plans.storage import staged
+from tidemark.plans.versions import Table
 
 
 def closed_bars(ticks: DataFrame, delay: str = "1 hour", width: str = "1 hour") -> DataFrame:
@@ -22,41 +25,21 @@ def closed_bars(ticks: DataFrame, delay: str = "1 hour", width: str = "1 hour")
     return bars.select("asset", F.col("window.start").alias("hour"), "open", "high", "low", "close", "volume")
 
 
-def versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
-    """(number, path) of the finished versions under ``root``, ascending. A version counts once its write has left the
-    ``_SUCCESS`` marker, so a half-written one is never read."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(hadoop.Path(f"{root}/v=*/_SUCCESS")) or []
-    paths = [x.getPath().getParent() for x in found]
-    return sorted((int(p.getName()[2:]), p.toString()) for p in paths)
-
+def current(spark: SparkSession, root: str, keys=("asset", "date"), units=("asset",)) -> DataFrame:
+    """The table as of its last committed version."""
+    return Table(spark, root, None, keys, units).read()
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The table as of its last finished version."""
-    found = versions(spark, root)
-    if not found:
-        raise FileNotFoundError(f"no finished version under {root}")
-    return spark.read.parquet(found[-1][1])
 
+def upsert(root: str, keys=("asset", "date"), units=("asset",), check=None, order: str | None = None):
+    """A foreachBatch sink: each micro-batch is merged into ``root`` by key, newest wins; a batch that is run again changes nothing.
 
-def upsert(root: str, keys=("asset", "date"), check=None):
-    """A foreachBatch sink: each micro-batch is merged into ``root`` by key, newest wins; replaying a batch changes nothing.
-
-    Every batch writes a version folder of its own, from the last finished one before it; readers take ``current``. The
-    version before stays for readers that still hold it, older ones go. A batch rewrites the table, so tables far larger
-    than a batch want a stream per date range."""
+    A batch reads and rewrites only the units that it touches and becomes visible by one marker (see ``plans.versions``).
+    ``check(merged rows)`` gives violations; the gate sees the merged rows of the touched units, and units that fail keep
+    their rows of before. ``order``: see ``merge_bars``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if check is not None:
-            batch = check(batch)
-        before = [v for v in versions(spark, root) if v[0] < batch_id]
-        merged = merge_bars(spark.read.parquet(before[-1][1]), batch, keys) if before else staged(batch)
-        merged.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
-        for _, path in before[:-1]:
-            old = spark._jvm.org.apache.hadoop.fs.Path(path)
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        schema = batch.select(*(c for c in batch.columns if c != order)).schema
+        Table(batch.sparkSession, root, schema, keys, units).upsert(batch, batch_id, lambda old, new: merge_bars(old, new, keys, order), check)
 
     return run
 
@@ -66,26 +49,52 @@ def once_per_key(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def online_ewma(ticks: DataFrame, lam: float = 0.94) -> DataFrame:
-    """EWMA variance of log returns per asset, carried over micro-batches: (asset, ts, ewma_var)."""
+class _Level(StatefulProcessor):
+    """EWMA level and last price of a key; a key that stays silent for ``idle`` is forgotten."""
+
+    def __init__(self, lam: float, idle: int):
+        self.lam, self.idle = lam, idle
 
-    def step(key, frames, state: GroupState):
-        h, last = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        import math
+    def init(self, handle) -> None:
+        self.handle, self.level = handle, handle.getValueState("level", "h double, last double, seen timestamp")
 
+    def handleInputRows(self, key, rows, timerValues):
+        h, last, seen = self.level.get() if self.level.exists() else (None, None, None)
+        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         out = []
-        for ts, px in zip(rows["ts"], rows["px"]):
+        for ts, px in zip(frame["ts"], frame["px"]):
+            if px is None or not 0 < px < math.inf:
+                continue  # no return goes over a price that is none
+            if seen is not None and (ts - seen).total_seconds() * 1000 > self.idle:
+                h = last = None
             if last is not None:
                 r2 = math.log(px / last) ** 2
-                h = r2 if h is None else lam * h + (1 - lam) * r2
+                h = r2 if h is None else self.lam * h + (1 - self.lam) * r2
                 out.append((key[0], ts, h))
-            last = px
-        state.update((h, last))
+            last, seen = px, ts
+        if seen is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.level.update((h, last, seen))
+            self.handle.registerTimer(int(seen.timestamp() * 1000) + self.idle)
         yield pd.DataFrame(out, columns=["asset", "ts", "ewma_var"])
 
-    return ticks.groupBy("asset").applyInPandasWithState(
-        step, "asset string, ts timestamp, ewma_var double", "h double, last double", "append", GroupStateTimeout.NoTimeout
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.level.clear()
+        yield pd.DataFrame([], columns=["asset", "ts", "ewma_var"])
+
+    def close(self) -> None:
+        pass
+
+
+def online_ewma(ticks: DataFrame, lam: float = 0.94, delay: str = "1 hour", idle_ms: int = 30 * 86_400_000) -> DataFrame:
+    """EWMA variance of log returns per asset, carried over micro-batches: (asset, ts, ewma_var).
+
+    Prices that are missing, not positive or infinite are passed over. Once the watermark is ``idle_ms`` beyond an asset's last
+    price its state goes, and a price that comes later than that starts anew. Needs the RocksDB state store
+    (spark.sql.streaming.stateStore.providerClass)."""
+    return ticks.withWatermark("ts", delay).groupBy("asset").transformWithStateInPandas(
+        statefulProcessor=_Level(decay(lam), idle_ms), outputStructType="asset string, ts timestamp, ewma_var double", outputMode="Append", timeMode="EventTime"
     )
 
 
