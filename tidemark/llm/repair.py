@@ -11,7 +11,7 @@ uint32 (ids per document), doc_symbols uint32 (symbols per document), left/right
 is symbol base + r), base, width (bytes per symbol: 2, or 3 with the highest bytes behind the rest), symbols.
 
 Null texts are empty documents that hold the end id only. Rows with a null or repeated doc_id keep a row each (nulls
-first, equal ones by a hash of their text, which also spreads them over partitions). Very long documents stay whole in a shard of their own size. Extra columns are ignored.
+first, equal ones in any order, spread over partitions). Very long documents stay whole in a shard of their own size. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -235,8 +235,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
             yield row()
 
     # Range bounds are sampled from the bare scan; encoding comes after the shuffle, so it runs once.
-    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
-    ordered = src.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    # The salt spreads equal ids; unlike a hash of the text it costs the sampling no look at the texts.
+    order = [F.asc_nulls_first("doc_id"), "_salt"]
+    ordered = src.withColumn("_salt", F.rand(7)).repartitionByRange(*order).sortWithinPartitions(*order).drop("_salt")
     return stored(ordered.mapInArrow(pack, SHARD_SCHEMA))
 
 
