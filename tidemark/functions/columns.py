@@ -154,4 +154,5 @@ def staleness_status(newest: Column, as_of: Column, bound: int = 7) -> Column:
 
 
 def scientific(x: Column, digits: int = 10) -> Column:
-    return F.format_string(f"%.{digits}e", x)
+    """Fixed digits in scientific notation; NULL stays NULL."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}e", x))

@@ -21,17 +21,32 @@ def asof_join(left: DataFrame, right: DataFrame, columns: list[str], suffix: str
     return joined.select(*(left[c] if c != "date" else F.col("date") for c in left.columns), *(F.col(f"_v.{c}").alias(f"{c}{suffix}") for c in columns))
 
 
-def asof_join_union(left: DataFrame, right: DataFrame, columns: list[str], suffix: str = "_xasset", days: int = MAX_STALENESS, by: str = "asset") -> DataFrame:
-    """The same for any grain of time, by one sorted pass over both sides; ``right`` serves every key of ``left``.
-
-    Right rows are repeated per key of the left side, so this form suits few keys or a right side with keys of its own."""
-    keys = left.select(by).distinct()
-    source = right.select("date", F.struct(F.col("date").alias("_src"), *columns).alias("_v")).crossJoin(F.broadcast(keys)) if by not in right.columns else right.select(by, "date", F.struct(F.col("date").alias("_src"), *columns).alias("_v"))
-    both = left.withColumn("_side", F.lit(1)).unionByName(source.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("date", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
-    fresh = F.datediff("date", "_v._src") <= days
-    return both.select(*left.columns, *(F.when(fresh, F.col(f"_v.{c}")).alias(f"{c}{suffix}") for c in columns))
+DAY_US = 86_400_000_000
+
+
+def _micros(df: DataFrame, on: str):
+    """Time as a number: microseconds; dates count from their midnight in UTC, whatever the session's zone."""
+    return F.unix_date(on).cast("long") * DAY_US if dict(df.dtypes)[on] == "date" else F.unix_micros(F.col(on).cast("timestamp"))
+
+
+def asof_join_union(
+    left: DataFrame, right: DataFrame, columns: list[str], suffix: str = "_xasset", days: float = MAX_STALENESS, by: str = "asset", on: str = "date"
+) -> DataFrame:
+    """The same for any grain of time: the last right row at most ``days`` days (or a part of one) before each left row.
+
+    Time is cut into buckets as long as the tolerance; a right row is offered to its own bucket and the next, where one sorted
+    pass over both sides finds the last offer. A right side without ``by`` serves every key of the left; its rows are offered
+    once per bucket, never per key, so keys aren't collected and nothing is broadcast."""
+    span = int(days * DAY_US) + 1
+    keyed = [by] if by in right.columns else []
+    offers = right.select(*keyed, _micros(right, on).alias("_t"), F.struct(*columns).alias("_v"))
+    offers = offers.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_k")).select(*keyed, "_t", "_v", (F.floor(F.col("_t") / span) + F.col("_k")).alias("_b"), F.lit(0).alias("_side"))
+    rows = left.withColumn("_t", _micros(left, on)).withColumns({"_b": F.floor(F.col("_t") / span), "_side": F.lit(1)})
+    both = rows.unionByName(offers, allowMissingColumns=True)
+    w = Window.partitionBy(*keyed, "_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_o", F.last(F.when(F.col("_side") == 0, F.struct("_t", "_v")), ignorenulls=True).over(w)).filter("_side = 1")
+    fresh = F.col("_t") - F.col("_o._t") < span
+    return both.select(*left.columns, *(F.when(fresh, F.col(f"_o._v.{c}")).alias(f"{c}{suffix}") for c in columns))
 
 
 def cross_asset(features: DataFrame, wiring: list[tuple[str, str, str]], column: str = "rv_22", days: int = MAX_STALENESS) -> DataFrame:

@@ -74,8 +74,32 @@ class Tree:
                     at[mine] = child
         return at
 
+
+class Forest:
+    """Trees as a few arrays, which is what goes to the tasks: node k of all trees splits on ``feature[k]``, its children are
+    ``left[k]`` and the node after it."""
+
+    def __init__(self, base: float, trees: list[Tree]):
+        sizes = [len(t.feature) for t in trees]
+        self.base, self.roots = base, np.cumsum([0, *sizes])[:-1].astype(np.int32)
+        join = lambda parts, kind: np.concatenate([np.array(x, kind) for x in parts]) if parts else np.zeros(0, kind)
+        self.feature, self.value = join([t.feature for t in trees], np.int16), join([t.value for t in trees], np.float64)
+        self.left = join([np.array(t.left) + r for t, r in zip(trees, self.roots)], np.int32)
+        masks = [m for t in trees for m in t.left_bins]
+        self.goes = np.zeros((len(masks), max((len(m) for m in masks if m is not None), default=0)), bool)
+        for k, m in enumerate(masks):
+            if m is not None:
+                self.goes[k, : len(m)] = m
+
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return np.array(self.value)[self.leaf_of(x)]
+        out = np.full(len(x), self.base)
+        for root in self.roots:
+            at, live = np.full(len(x), root, np.int32), np.arange(len(x))
+            while len(live := live[self.feature[at[live]] >= 0]):
+                node = at[live]
+                at[live] = self.left[node] + ~self.goes[node, x[live, self.feature[node]]]
+            out += self.value[at]
+        return out
 
 
 @dataclass
@@ -88,8 +112,11 @@ class Model:
     n_train: int = 0
     n_val: int = 0
 
+    def forest(self) -> Forest:
+        return Forest(self.base, self.trees)
+
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return sum((t.predict(x) for t in self.trees), np.full(len(x), self.base))
+        return self.forest().predict(x)
 
 
 # ---- binning -----------------------------------------------------------------------------------------------------------
@@ -149,34 +176,37 @@ def _drawn(pos: np.ndarray, asset: np.ndarray, draw: int) -> np.ndarray:
 def _histograms(growing: list, starts: np.ndarray, validation: int, horizon: int):
     """Adds up sums per (model, open node, feature, bin): (model, task's sums)."""
     cells, width = int(starts[-1]), len(starts) - 1
+    sent = [(m.spec, m.forest(), len(m.trees), tree, nodes) for m, tree, nodes in growing]
 
     def run(batches):
-        sums = {m.spec.model: np.zeros((len(nodes), cells, 2)) for m, _, nodes in growing}
-        held = {m.spec.model: np.zeros(4) for m, _, _ in growing}  # squared error and rows to validate, rows to train, sum of y
+        sums = {spec.model: np.zeros((len(nodes), cells, 2)) for spec, *_, nodes in sent}
+        held = {spec.model: np.zeros(4) for spec, *_ in sent}  # squared error and rows to validate, rows to train, sum of y
         for b in batches:
             if not b.num_rows:
                 continue
             x, y, pos = _matrix(b["x"], width), b["y"].to_numpy(), b["pos"].to_numpy()
             flat = x.astype(np.int64) + starts[:-1]
-            for m, tree, nodes in growing:
-                train, val = roles(pos, m.spec, validation, horizon)
-                h = held[m.spec.model]
+            for spec, forest, n_trees, tree, nodes in sent:
+                train, val = roles(pos, spec, validation, horizon)
+                h, mine = held[spec.model], sums[spec.model]
                 if val.any() and len(tree.feature) == 1:
-                    h[0] += float(((y[val] - m.predict(x[val])) ** 2).sum())
+                    h[0] += float(((y[val] - forest.predict(x[val])) ** 2).sum())
                     h[1] += int(val.sum())
                 rows = np.flatnonzero(train)
-                if not len(rows):
-                    continue
                 h[2] += len(rows)
-                rows = rows[_drawn(pos[rows], x[rows, -1], len(m.trees) // REDRAW)]
-                left = y[rows] - m.predict(x[rows])
-                at = tree.leaf_of(x[rows])
-                place = {node: k for k, node in enumerate(nodes)}
-                for node, k in place.items():
-                    mine = at == node
-                    where, value = flat[rows[mine]], left[mine]
-                    sums[m.spec.model][k, :, 0] += np.bincount(where.ravel(), np.repeat(value, width), cells)
-                    sums[m.spec.model][k, :, 1] += np.bincount(where.ravel(), minlength=cells)
+                rows = rows[_drawn(pos[rows], x[rows, -1], n_trees // REDRAW)]
+                if len(nodes) > 1 or nodes[0]:
+                    at = tree.leaf_of(x[rows])
+                    place = np.full(len(tree.feature), -1)
+                    place[nodes] = np.arange(len(nodes))
+                    rows, at = rows[place[at] >= 0], place[at][place[at] >= 0]  # only rows in open nodes
+                else:
+                    at = np.zeros(len(rows), np.int64)
+                if len(rows):
+                    left = y[rows] - forest.predict(x[rows])
+                    where = (flat[rows] + at[:, None] * cells).ravel()
+                    mine[:, :, 0] += np.bincount(where, np.repeat(left, width), len(nodes) * cells).reshape(len(nodes), cells)
+                    mine[:, :, 1] += np.bincount(where, minlength=len(nodes) * cells).reshape(len(nodes), cells)
         keys = list(sums)
         blobs = [held[k].tobytes() + sums[k].tobytes() for k in keys]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["model", "sums"])
@@ -185,28 +215,40 @@ def _histograms(growing: list, starts: np.ndarray, validation: int, horizon: int
 
 
 def best_split(g: np.ndarray, n: np.ndarray, starts: np.ndarray, allowed: np.ndarray, spec: Spec) -> tuple | None:
-    """(gain, feature, bins that go left, left value, right value) of a node's sums; None where no split gains."""
-    best = None
+    """(gain, feature, bins that go left, left value, right value) of a node's sums; None where no split gains.
+
+    Cuts of a number send its lower bins left, and the missing ones left or right; cuts of the category (the last feature)
+    send the values of lower mean residual left."""
     a, b = starts[0], starts[1]
     total_g, total_n = g[a:b].sum(), n[a:b].sum()
+    if total_n < 2 * spec.min_rows:
+        return None
     score = lambda s, k: s * s / (k + spec.l2)
+    whole, last, best = score(total_g, total_n), len(starts) - 2, None
     for f in np.flatnonzero(allowed):
         a, b = int(starts[f]), int(starts[f + 1])
-        if f == len(starts) - 2:
-            order = np.argsort(g[a:b] / (n[a:b] + SMOOTH), kind="stable")
-            ways = [order[n[a:b][order] > 0]]
+        mine_g, mine_n, order = g[a:b], n[a:b], None
+        if f == last:
+            order = np.argsort(mine_g / (mine_n + SMOOTH), kind="stable")
+            order = order[mine_n[order] > 0]
+            left_g, left_n = np.cumsum(mine_g[order])[:-1], np.cumsum(mine_n[order])[:-1]
         else:
-            ways = [np.arange(1, b - a), np.arange(b - a)] if n[a] else [np.arange(1, b - a)]  # missing right, missing left
-        for way in ways:
-            left_g, left_n = np.cumsum(g[a:b][way])[:-1], np.cumsum(n[a:b][way])[:-1]
-            ok = (left_n >= spec.min_rows) & (total_n - left_n >= spec.min_rows)
+            left_g, left_n = np.cumsum(mine_g[1:])[:-1], np.cumsum(mine_n[1:])[:-1]
+        ways = [(False, left_g, left_n)]
+        if order is None and mine_n[0]:
+            ways.append((True, np.append(mine_g[0], left_g + mine_g[0]), np.append(mine_n[0], left_n + mine_n[0])))
+        for with_missing, sg, sn in ways:
+            ok = (sn >= spec.min_rows) & (total_n - sn >= spec.min_rows)
             if ok.any():
-                gain = np.where(ok, score(left_g, left_n) + score(total_g - left_g, total_n - left_n) - score(total_g, total_n), -1.0)
+                gain = np.where(ok, score(sg, sn) + score(total_g - sg, total_n - sn) - whole, -1.0)
                 k = int(np.argmax(gain))
                 if gain[k] > 1e-9 and (best is None or gain[k] > best[0]):
                     mask = np.zeros(b - a, bool)
-                    mask[way[: k + 1]] = True
-                    values = [spec.rate * s / (c + spec.l2) for s, c in ((left_g[k], left_n[k]), (total_g - left_g[k], total_n - left_n[k]))]
+                    if order is not None:
+                        mask[order[: k + 1]] = True
+                    else:
+                        mask[(0 if with_missing else 1) : (k + 1 if with_missing else k + 2)] = True
+                    values = [spec.rate * s / (c + spec.l2) for s, c in ((sg[k], sn[k]), (total_g - sg[k], total_n - sn[k]))]
                     best = (float(gain[k]), int(f), mask, *map(float, values))
     return best
 
@@ -216,7 +258,7 @@ _FOUND = "model int, n_val double, sse double, n_train double, base double, node
 
 def _splits(growing: list, starts: np.ndarray):
     """Sums meet per model; the splits of its open nodes come out. At the first tree the mean of y is taken off."""
-    known = {m.spec.model: (m, nodes) for m, _, nodes in growing}
+    known = {m.spec.model: (m.spec, m.base, len(m.trees), nodes) for m, _, nodes in growing}
     cells, width = int(starts[-1]), len(starts) - 1
     kinds = {"int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in _FOUND.split(", ")])
@@ -229,18 +271,18 @@ def _splits(growing: list, starts: np.ndarray):
                 total[k] = total[k] + v if k in total else v
         out = []
         for k, v in total.items():
-            m, nodes = known[k]
+            spec, base, n_trees, nodes = known[k]
             (sse, n_val, n_train, _), sums = v[:4], v[4:].reshape(len(nodes), cells, 2)
-            base, first = m.base, not m.trees and m.base == 0.0
+            first = not n_trees and base == 0.0
             allowed = np.ones(width, bool)
             if width > 2:
-                allowed[np.random.default_rng((k, len(m.trees))).permutation(width)[: int(width * (1 - SHARE))]] = False
+                allowed[np.random.default_rng((k, n_trees)).permutation(width)[: int(width * (1 - SHARE))]] = False
             for node, (g, n) in zip(nodes, (s.T for s in sums)):
                 if first:
                     seen = n[: starts[1]].sum()
                     base = float(g[: starts[1]].sum() / seen) if seen else 0.0
                     g = g - base * n
-                s = best_split(g, n, starts, allowed, m.spec)
+                s = best_split(g, n, starts, allowed, spec)
                 row = (k, n_val, sse, n_train, base, node)
                 out.append((*row, s[0], s[1], s[2].tobytes(), s[3], s[4]) if s else (*row, -1.0, -1, b"", 0.0, 0.0))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * len(schema), schema.types)], schema=schema)
@@ -302,7 +344,7 @@ def grow(rows: DataFrame, specs: list[Spec], bins: dict, validation: int = VALID
 
 def predict(rows: DataFrame, models: list[Model], model: str, out: str, x: str = "x") -> DataFrame:
     """Adds ``out``: the prediction of the model whose number is in the column ``model``; NULL where there is none."""
-    known, columns = {m.spec.model: m for m in models}, rows.columns
+    known, columns = {m.spec.model: m.forest() for m in models}, rows.columns
 
     def run(batches):
         for b in batches:

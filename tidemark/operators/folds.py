@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
 from tidemark.sources.bars import series
@@ -38,6 +39,22 @@ def fold_table(sizes: DataFrame, min_train: int = MIN_TRAIN, step: int = STEP, h
     return rows.select("asset", (F.col("j") - j0).alias("fold_id"), (start - horizon).alias("train_end"), start.alias("test_start"), (start + step).alias("test_end"))
 
 
+@udtf(returnType="fold_id int, train_end int, test_start int, test_end int")
+class Folds:
+    """The folds of one series as a table function: ``SELECT asset, f.* FROM sizes, LATERAL folds(n, 252, 21, 1) f``."""
+
+    def eval(self, n: int, min_train: int, step: int, horizon: int):
+        first = -(-horizon // step)
+        for j in range(first, (n - min_train) // step if n is not None else 0):
+            start = min_train + j * step
+            yield j - first, start - horizon, start, start + step
+
+
+def register_folds(spark: SparkSession, name: str = "folds") -> None:
+    """Makes ``Folds`` known to the session's SQL."""
+    spark.udtf.register(name, Folds)
+
+
 def expand_train(rows: DataFrame, min_train: int = MIN_TRAIN, step: int = STEP, horizon: int = HORIZON) -> DataFrame:
     """Each row once per fold that trains on it, without a range join."""
     j0 = skipped(horizon, step)

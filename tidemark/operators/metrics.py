@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +39,18 @@ def loss_column(name: str, loss, valid=None):
     return F.avg(value if valid is None else F.when(valid, value)).alias(name)
 
 
+def grouped_loss(name: str, loss):
+    """Any ``loss(realized, forecasts) -> float`` over a group's whole series, for losses that no Column expresses.
+
+    Spark gathers a group's two columns in one task for it, so it is for groups of bounded size; ``loss_column`` has no such
+    limit."""
+
+    def of(y: pd.Series, h: pd.Series) -> float:
+        return float(loss(y.to_numpy(), h.to_numpy()))
+
+    return F.pandas_udf(of, "double")(F.col("realized_var"), F.col("forecast")).alias(name)
+
+
 def by_regime(long: DataFrame, valid=None) -> DataFrame:
     """Overall, tercile and year metrics in one pass by grouping sets: (asset, regime_type, regime_value, model, metrics)."""
     sets = long.groupingSets([["asset", "model"], ["asset", "tercile", "model"], ["asset", "year", "model"]], "asset", "tercile", "year", "model")
@@ -105,6 +118,6 @@ def report_order(df: DataFrame) -> DataFrame:
 
 def write_metrics(df: DataFrame, path: str) -> None:
     """CSV with fixed columns and number format."""
-    numbers = [F.format_string("%.10e", F.col(x)).alias(x) for x in ("rmse", "mae", "qlike")]
+    numbers = [c.scientific(F.col(x)).alias(x) for x in ("rmse", "mae", "qlike")]
     keys = [x for x in df.columns if x not in ("rmse", "mae", "qlike")]
     df.select(*keys, *numbers).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

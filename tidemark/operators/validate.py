@@ -27,14 +27,18 @@ def _rows(df: DataFrame, check: str, reason) -> DataFrame:
 
 
 def contract_violations(schema: T.StructType, contract: T.StructType) -> list[str]:
-    """Differences of names, types and order that coercion does not mend; plan-time, no data read."""
+    """Differences of names, types, nullability and order that coercion does not mend; plan-time, no data read."""
     have, want = {f.name: f for f in schema}, {f.name: f for f in contract}
     out = [f"missing column {x}" for x in want if x not in have] + [f"extra column {x}" for x in have if x not in want]
     numeric = (T.NumericType, T.StringType)
-    for name in want.keys() & have.keys():
+    for name in (x for x in want if x in have):
         a, b = have[name].dataType, want[name].dataType
         if a != b and not (isinstance(a, numeric) and isinstance(b, numeric)):
             out.append(f"column {name} is {a.simpleString()}, not {b.simpleString()}")
+        if have[name].nullable and not want[name].nullable:
+            out.append(f"column {name} may be null")
+    if list(have) != list(want) and have.keys() == want.keys():
+        out.append(f"columns in the order {', '.join(have)}, not {', '.join(want)}")
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as c
 from tidemark.operators.asof import cross_asset
 from tidemark.operators.ewma import with_ewma
+from tidemark.sources.bars import write_layer
 
 BASE = [
     "log_ret", "sq_ret", "rv_5", "rv_10", "rv_22", "rv_66", "ewma_var", "rv_22_lag1", "parkinson_var", "garman_klass_var",
@@ -58,3 +59,9 @@ def require_columns(df: DataFrame, needed: list[str]) -> DataFrame:
     if missing := [x for x in needed if x not in df.columns]:
         raise ValueError(f"missing columns: {missing}")
     return df
+
+
+def write_features(df: DataFrame, root: str, needed=tuple(BASE)) -> None:
+    """The feature layer: a folder per asset, sorted by date; a frame without the needed columns is refused before it is written."""
+    ordered = require_columns(df, ["asset_class", "asset", "date", *needed])
+    write_layer(ordered, root)

@@ -5,15 +5,19 @@ Both sides share only the recipe of the bars; operators are written twice, indep
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
 from tidemark.operators import asof, boosting, ewma, folds, garch, har, ingest, metrics, validate
 from tidemark.plans import features as feats
+from tidemark.plans import forecasters as fc
 from tidemark.plans import pooled, score
+from tidemark.plans.storage import scratch
 from tidemark.sources import bars as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +94,10 @@ merged AS (SELECT * FROM new UNION ALL SELECT * FROM old WHERE NOT EXISTS (SELEC
 # ---- shared frames ---------------------------------------------------------------------------------------------------
 
 
+def _scratch_root(spark) -> str:
+    return f"{scratch(spark)}/{uuid.uuid4().hex}"
+
+
 def _bars(spark, d):
     return b.daily_bars(spark, d)
 
@@ -170,10 +178,10 @@ def s11_build_bars(spark, d):
 
 @query(f"SELECT asset, date, {_r(*b.OHLCV)} FROM bars WHERE asset_class = 'crypto' AND date >= DATE '1995-01-01'", BARS_SQL)
 def s01_read_layer(spark, d):
-    from tidemark.plans.storage import staged
-
-    # the staged copy stands for a stored layer; both filters reach its scan
-    return staged(_bars(spark, d)).filter("asset_class = 'crypto' and date >= date'1995-01-01'").select("asset", "date", *b.OHLCV)
+    """Bars written to a layer and read back: the class prunes folders, the date reaches the scan."""
+    root = _scratch_root(spark)
+    b.write_layer(_bars(spark, d), root)
+    return b.read_layer(spark, root).filter("asset_class = 'crypto' and date >= date'1995-01-01'").select("asset", "date", *b.OHLCV)
 
 
 @query(
@@ -370,6 +378,20 @@ def j01_asof_union_form(spark, d):
     return asof.asof_join_union(_features(spark, d).select("asset", "date"), _source(spark, d), ["rv_22"], "_btc")
 
 
+_HOURLY_SQL = """hourly AS (SELECT event_type AS asset, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, arg_max(value, ROW(ts, event_id)) AS close FROM events WHERE value > 0 GROUP BY ALL),
+one AS (SELECT hour, close FROM hourly WHERE asset = (SELECT min(asset) FROM hourly) AND epoch_ms(hour) // 3600000 % 7 < 2)"""
+
+
+@query("SELECT t.asset, t.hour, round(CASE WHEN t.hour - s.hour <= INTERVAL 3 HOUR THEN s.close END, 6) + 0.0 AS close_one FROM hourly t ASOF LEFT JOIN one s ON t.hour >= s.hour", _HOURLY_SQL)
+def j01_asof_hourly(spark, d):
+    """As-of at the grain of hours: every asset's hours with the last kept hour of one asset, at most three hours old."""
+    bars = b.hourly_bars(b.event_ticks(spark, d)).select("asset", "hour", "close")
+    first = bars.agg(F.min("asset").alias("first"))
+    source = bars.join(F.broadcast(first), F.col("asset") == F.col("first")).filter("unix_millis(hour) div 3600000 % 7 < 2").select("hour", "close")
+    out = asof.asof_join_union(bars.select("asset", "hour"), source, ["close"], "_one", days=0.125, on="hour")
+    return out.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
 _WIRING = [("*", "AF", "btc"), ("AF", "NF", "eth")]
 
 
@@ -394,10 +416,18 @@ def j04_train_semi_join(spark, d):
     return df.join(df.filter("pos < 252").select("asset", "date"), ["asset", "date"], "left_semi").select("asset", "date", "rv_22")
 
 
-@query("SELECT s.date, 'missing' AS kind FROM sessions s WHERE s.date NOT IN (SELECT date FROM bars WHERE asset = 'AO' AND day(date) <> 9)", f"{BARS_SQL}, {SESSIONS_SQL}")
+def _all_sessions(spark, d):
+    """(asset, date): every session of the bars' span for every asset."""
+    return _bars(spark, d).select("asset").distinct().join(F.broadcast(_sessions(spark, d).select(F.col("session_date").alias("date"))))  # days of a calendar
+
+
+@query(
+    "SELECT a.asset, s.date, 'missing' AS kind FROM sessions s, (SELECT DISTINCT asset FROM bars) a WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.asset = a.asset AND b.date = s.date AND day(b.date) <> 9)",
+    f"{BARS_SQL}, {SESSIONS_SQL}",
+)
 def j06_missing_sessions(spark, d):
-    have = _bars(spark, d).filter("asset = 'AO' and dayofmonth(date) != 9").select("date")
-    return _sessions(spark, d).select(F.col("session_date").alias("date")).join(have, "date", "left_anti").withColumn("kind", F.lit("missing"))
+    have = _bars(spark, d).filter("dayofmonth(date) != 9").select("asset", "date")
+    return _all_sessions(spark, d).join(have, ["asset", "date"], "left_anti").withColumn("kind", F.lit("missing"))
 
 
 _TABLE_SQL = """, sizes AS (SELECT asset, max(n) AS n FROM feat GROUP BY asset),
@@ -424,11 +454,11 @@ _METRIC = f"{LONG_SQL}, m AS (SELECT asset, model, avg({_Q}) AS qlike FROM long
 
 @query(
     """SELECT m.asset, o.model AS best_model, round(o.qlike, 6) + 0.0 AS best_qlike, round(m.qlike, 6) + 0.0 AS challenger_qlike FROM m
-  JOIN (SELECT asset, arg_min(model, qlike) AS model, min(qlike) AS qlike FROM m WHERE model <> 'ewma' GROUP BY asset) o USING (asset) WHERE m.model = 'ewma' AND m.qlike > o.qlike""",
+  JOIN (SELECT asset, arg_min(model, qlike) AS model, min(qlike) AS qlike FROM m WHERE model <> 'rolling' GROUP BY asset) o USING (asset) WHERE m.model = 'rolling' AND m.qlike > o.qlike""",
     _METRIC,
 )
 def j09_worse_than_best(spark, d):
-    return metrics.worse_than_best(metrics.by_asset_model(_long(spark, d)), "ewma", ["asset"])
+    return metrics.worse_than_best(metrics.by_asset_model(_long(spark, d)), "rolling", ["asset"])
 
 
 _ASSETS = [("BTC/USDT", "crypto", "x"), ("ETH/BTC", "crypto", "x"), ("SPY", "equity", "NYSE"), ("SOL/USDC", "crypto", "x")]
@@ -436,12 +466,12 @@ _SYMBOLS = ", ".join(f"('{s}', '{k}')" for s, k, _ in _ASSETS)
 _SLUG = "CASE WHEN contains(s, '/') THEN split_part(s, '/', 1) || '-' || CASE WHEN split_part(s, '/', 2) IN ('USDT', 'USDC', 'BUSD', 'USD') THEN 'USD' ELSE split_part(s, '/', 2) END ELSE s END"
 
 
-@query(f"SELECT l_orderkey AS k, {_SLUG} AS slug, kind AS asset_class FROM lineitem JOIN (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {_SYMBOLS}) v(s, kind)) a ON a.i = l_orderkey % 4 WHERE l_linenumber = 1", BARS_SQL)
+@query(f"SELECT l_orderkey AS k, l_linenumber AS line, {_SLUG} AS slug, kind AS asset_class FROM lineitem JOIN (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {_SYMBOLS}) v(s, kind)) a ON a.i = l_orderkey % 4", BARS_SQL)
 def j10_asset_lookup(spark, d):
     dim = b.load_assets(spark, _ASSETS).withColumn("slug", c.symbol_slug())
     numbered = spark.createDataFrame([(i, r[0]) for i, r in enumerate(_ASSETS)], "i long, symbol string").join(dim, "symbol")
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("k"))
-    return rows.join(F.broadcast(numbered), F.col("k") % 4 == F.col("i")).select("k", "slug", "asset_class")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"))
+    return rows.join(F.broadcast(numbered), F.col("k") % 4 == F.col("i")).select("k", "line", "slug", "asset_class")
 
 
 # ---- aggregations ----------------------------------------------------------------------------------------------------
@@ -650,16 +680,18 @@ def u01_upsert(spark, d):
     return ingest.merge_bars(*_parts(spark, d)).select("asset", "date", *b.OHLCV)
 
 
-@query(f"SELECT asset, date, round(rv_5, 6) AS rv_5, NULL::DOUBLE AS rv_10 FROM feat WHERE asset = 'AF' UNION ALL SELECT asset, date, NULL, round(rv_10, 6) FROM feat WHERE asset = 'NF'")
+@query(f"SELECT asset, date, round(rv_5, 6) AS rv_5, NULL::DOUBLE AS rv_10 FROM feat WHERE asset_class = 'crypto' UNION ALL SELECT asset, date, NULL, round(rv_10, 6) FROM feat WHERE asset_class = 'equity'")
 def u02_union_of_columns(spark, d):
     df = _features(spark, d)
-    return df.filter("asset = 'AF'").select("asset", "date", "rv_5").unionByName(df.filter("asset = 'NF'").select("asset", "date", "rv_10"), allowMissingColumns=True)
+    return df.filter("asset_class = 'crypto'").select("asset", "date", "rv_5").unionByName(df.filter("asset_class = 'equity'").select("asset", "date", "rv_10"), allowMissingColumns=True)
 
 
-@query("(SELECT date, 'missing' AS side FROM (SELECT date FROM sessions EXCEPT SELECT date FROM bars WHERE asset = 'AO' AND day(date) <> 9)) UNION ALL (SELECT date, 'extra' FROM (SELECT date FROM bars WHERE asset = 'AO' EXCEPT SELECT date FROM sessions))", f"{BARS_SQL}, {SESSIONS_SQL}")
+@query(
+    "(SELECT asset, date, 'missing' AS side FROM (SELECT asset, date FROM sessions, (SELECT DISTINCT asset FROM bars) EXCEPT SELECT asset, date FROM bars WHERE day(date) <> 9)) UNION ALL (SELECT asset, date, 'extra' FROM (SELECT asset, date FROM bars EXCEPT SELECT asset, date FROM sessions, (SELECT DISTINCT asset FROM bars)))",
+    f"{BARS_SQL}, {SESSIONS_SQL}",
+)
 def u03_calendar_difference(spark, d):
-    s = _sessions(spark, d).select(F.col("session_date").alias("date"))
-    have = _bars(spark, d).filter("asset = 'AO'").select("date")
+    s, have = _all_sessions(spark, d), _bars(spark, d).select("asset", "date")
     missing = s.subtract(have.filter("dayofmonth(date) != 9")).withColumn("side", F.lit("missing"))
     return missing.unionByName(have.subtract(s).withColumn("side", F.lit("extra")))
 
@@ -669,11 +701,11 @@ def u04_metric_rows(spark, d):
     return metrics.by_regime(_long(spark, d)).groupBy("regime_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 0::BIGINT AS n_changed", BARS_SQL)
+@query(f"SELECT asset, date, {_r(*b.OHLCV)} FROM merged", MERGE_SQL)
 def u07_idempotent_rerun(spark, d):
+    """The same batch twice: the rows of having merged it once, none more and none less."""
     old, new = _parts(spark, d)
-    once = ingest.merge_bars(old, new)
-    return ingest.merge_bars(once, new).exceptAll(once).agg(F.count("*").alias("n_changed"))
+    return ingest.merge_bars(ingest.merge_bars(old, new), new).select("asset", "date", *b.OHLCV)
 
 
 # ---- scalar functions ------------------------------------------------------------------------------------------------
@@ -760,13 +792,13 @@ def m01_fold_rows(spark, d):
     return folds.with_folds(folds.with_positions(_bars(spark, d))).filter("fold_id is not null").select("asset", "date", "fold_id")
 
 
-@query("SELECT 0::BIGINT AS n_leaks", BARS_SQL)
+@query("SELECT asset, fold_id, train_end - 1 AS last_train, test_start AS first_test FROM folds", FEATURES_SQL + _TABLE_SQL)
 def m01_no_leaks(spark, d):
+    """Where each fold's train rows end and its test rows begin, from the rows themselves."""
     rows = folds.with_positions(_bars(spark, d))
-    train = folds.expand_train(rows).groupBy("asset", "fold_id").agg(F.max("pos").alias("last_train"))
-    test = folds.with_folds(rows).filter("fold_id is not null").groupBy("asset", "fold_id").agg(F.min("pos").alias("first_test"))
-    both = test.join(train, ["asset", "fold_id"], "full")
-    return both.filter("last_train is null or first_test is null or last_train >= first_test - 1").agg(F.count("*").alias("n_leaks"))
+    train = folds.expand_train(rows).groupBy("asset", "fold_id").agg(F.max("pos").cast("long").alias("last_train"))
+    test = folds.with_folds(rows).filter("fold_id is not null").groupBy("asset", "fold_id").agg(F.min("pos").cast("long").alias("first_test"))
+    return test.join(train, ["asset", "fold_id"], "full").withColumn("fold_id", F.col("fold_id").cast("int"))
 
 
 @query(f"SELECT asset, date, round(ewma_var, 6) AS forecast FROM fold WHERE fold_id IS NOT NULL", FOLDS_SQL)
@@ -774,12 +806,65 @@ def m02_ewma_forecast(spark, d):
     return _folded(spark, d).filter("fold_id is not null").select("asset", "date", F.col("ewma_var").alias("forecast"))
 
 
-@query()
+# least squares by centred normal equations and Cramer's rule, refitted from running sums of products
+_X = ("d", "w", "m")
+_HAR_SUMS = {"n": "1.0::DOUBLE", "y": "y"} | {x: f"rv_{x}" for x in _X} | {f"{a}{b}": f"rv_{a} * rv_{b}" for i, a in enumerate(_X) for b in _X[i:]} | {f"{a}y": f"rv_{a} * y" for a in _X}
+
+
+def _cen(a: str, b: str) -> str:
+    return f"(s_{min((a, b), key='dwmy'.index)}{max((a, b), key='dwmy'.index)} - s_{a} * s_{b} / s_n)"
+
+
+def _det(columns) -> str:
+    """Determinant of the centred products, as (row, column) names; y stands for the right-hand side."""
+    q = [[_cen(r, x) for x in columns] for r in _X]
+    return f"({q[0][0]} * ({q[1][1]} * {q[2][2]} - {q[1][2]} * {q[2][1]}) - {q[0][1]} * ({q[1][0]} * {q[2][2]} - {q[1][2]} * {q[2][0]}) + {q[0][2]} * ({q[1][0]} * {q[2][1]} - {q[1][1]} * {q[2][0]}))"
+
+
+HAR_SQL = f"""{_HARX},
+hs AS (SELECT asset, CAST(greatest(0, floor((pos - 252) / 21.0) + 1) AS INTEGER) AS b, {', '.join(f'sum({v}) AS {k}' for k, v in _HAR_SUMS.items())} FROM hc GROUP BY ALL),
+ht AS (SELECT asset, b, {', '.join(f'sum({k}) OVER (PARTITION BY asset ORDER BY b) AS s_{k}' for k in _HAR_SUMS)} FROM hs),
+hd AS (SELECT *, {_det(_X)} AS det, {_det(('y', 'w', 'm'))} AS e1, {_det(('d', 'y', 'm'))} AS e2, {_det(('d', 'w', 'y'))} AS e3,
+  {_cen('d', 'd')} * {_cen('w', 'w')} * {_cen('m', 'm')} AS scale FROM ht),
+hb AS (SELECT asset, b, (s_y - e1 / det * s_d - e2 / det * s_w - e3 / det * s_m) / s_n AS b0, e1 / det AS b1, e2 / det AS b2, e3 / det AS b3
+  FROM hd WHERE det > 1e-12 * scale AND s_n > 4),
+hf AS (SELECT h.*, b0 + b1 * y + b2 * avg5 + b3 * avg22 AS har_var FROM (SELECT *, avg(sq_ret) OVER {_frame(5)} AS avg5, avg(sq_ret) OVER {_frame(22)} AS avg22 FROM h) h
+  LEFT JOIN hb ON hb.asset = h.asset AND h.pos >= 252 AND hb.b = CAST(floor((h.pos - 252) / 21.0) AS INTEGER)),
+hfold AS (SELECT *, CASE WHEN floor((pos - 252) / 21.0) >= 1 AND 252 + (floor((pos - 252) / 21.0) + 1) * 21 <= n THEN CAST(floor((pos - 252) / 21.0) - 1 AS INTEGER) END AS fold_id FROM hf)"""
+
+
+@query("SELECT asset, date, round(har_var, 6) + 0.0 AS har_var FROM hf WHERE har_var IS NOT NULL", HAR_SQL)
 def m03_har_forecast(spark, d):
     df = folds.with_positions(_features(spark, d))
     return har.har_forecast(df, "sq_ret").filter("har_var is not null").select("asset", "date", "har_var")
 
 
+_BASELINES = """(SELECT asset, target AS realized_var, UNNEST([{'m': 'EWMA', 'f': ewma_var}, {'m': 'HAR', 'f': har_var}, {'m': 'rolling', 'f': rv_22}]) AS u
+  FROM hfold WHERE fold_id IS NOT NULL AND target > 0 AND ewma_var IS NOT NULL AND har_var IS NOT NULL AND rv_22 IS NOT NULL)"""
+
+
+@query(f"SELECT asset, model, {_LOSS_OK_SQL} FROM (SELECT asset, realized_var, u.m AS model, u.f AS forecast FROM {_BASELINES}) GROUP BY asset, model", HAR_SQL)
+def x01_forecasters(spark, d):
+    """Registered forecasters and a user's own one in one report."""
+    models = {"EWMA": fc.FORECASTERS["EWMA"], "HAR": fc.FORECASTERS["HAR"], "rolling": fc.column_forecaster("rv_22")}
+    return fc.report(folds.with_positions(_features(spark, d)), models)
+
+
+@query("SELECT asset, model, round(median(abs(realized_var - forecast)), 6) AS median_error FROM long GROUP BY asset, model", LONG_SQL)
+def x03_median_loss(spark, d):
+    """A loss over whole series that is no mean of rows."""
+    loss = metrics.grouped_loss("median_error", lambda y, h: np.median(np.abs(y - h)))
+    return _long(spark, d).groupBy("asset", "model").agg(loss)
+
+
+@query("SELECT asset, fold_id, CAST(train_end AS INTEGER) AS train_end, CAST(test_start AS INTEGER) AS test_start, CAST(test_end AS INTEGER) AS test_end FROM folds", FEATURES_SQL + _TABLE_SQL)
+def x05_folds_function(spark, d):
+    """Folds as a table function, joined laterally in SQL."""
+    folds.register_folds(spark)
+    sizes = _bars(spark, d).groupBy("asset").agg(F.count("*").cast("int").alias("n"))
+    return spark.sql("SELECT asset, f.* FROM {sizes}, LATERAL folds(n, 252, 21, 1) f", sizes=sizes)
+
+
 def _garch(spark, d):
     df = folds.with_positions(_features(spark, d))
     return df, garch.fit_parameters(df)
@@ -932,11 +1017,7 @@ def m12_batch_scores(spark, d):
 @query()
 def s07_prediction_log(spark, d):
     """The log after two runs of the batch: each appends the rows that hold a forecast."""
-    import uuid
-
-    from tidemark.plans.storage import scratch
-
-    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    path = _scratch_root(spark)
     for stamp in ("1999-01-01 00:00:00", "1999-01-02 00:00:00"):
         score.append_log(score.log_rows(_latest_scores(spark, d), "1", "champion", stamp), path)
     return spark.read.parquet(path)
@@ -950,6 +1031,23 @@ def c01_features(spark, d):
     return _features(spark, d).select("asset", "date", *feats.BASE)
 
 
+@query()
+def c01_feature_frame(spark, d):
+    """The whole feature frame: base features, GARCH variance and cross-asset columns."""
+    df = feats.build_features(_bars(spark, d))
+    positions = folds.with_positions(df)
+    params = garch.fit_parameters(positions)
+    return feats.build_features(_bars(spark, d), _WIRING, garch.garch_forecast(positions, params)).select("asset", "date", *feats.BASE, "garch_cond_var", "rv_22_btc", "rv_22_eth")
+
+
+@query(f"SELECT asset, asset_class, date, {_r('rv_22', 'ewma_var', 'kurt_22')} FROM feat WHERE asset_class = 'equity'")
+def c07_feature_layer(spark, d):
+    """Features written to their layer and read back for one class."""
+    root = _scratch_root(spark)
+    feats.write_features(_features(spark, d), root)
+    return b.read_layer(spark, root).filter("asset_class = 'equity'").select("asset", "asset_class", "date", "rv_22", "ewma_var", "kurt_22")
+
+
 @query(
     f"SELECT asset, date, {_r('close')} FROM merged WHERE asset NOT IN (SELECT asset FROM ({_VALUE_SQL} UNION ALL {_OHLC_SQL} UNION ALL {_STALE_SQL} UNION ALL {_GAP_SQL.format('cr')}))",
     MERGE_SQL.replace("close + 1 AS close", "greatest(close, high) AS close") + ", bad AS (SELECT * FROM merged), cr AS (SELECT * FROM merged WHERE asset_class = 'crypto')",
@@ -962,13 +1060,21 @@ def c05_ingest_batch(spark, d):
 
 @query()
 def c08_baseline_report(spark, d):
-    """EWMA, GARCH and HAR per asset on the same rows, with the rows on which GARCH fell back."""
+    """EWMA, GARCH and HAR per asset on the same rows, with the number of GARCH refits that fell back."""
     df, params = _garch(spark, d)
-    df = har.har_forecast(folds.with_folds(garch.garch_forecast(df, params)), "sq_ret")
-    df = df.filter("fold_id is not null and har_var is not null").filter(c.valid_target(F.col("target"))).withColumn("realized_var", F.col("target"))
-    long = metrics.long_forecasts(df, {"ewma_var": "EWMA", "garch_var": "GARCH", "har_var": "HAR"}, ["asset", "realized_var", "garch_fallback"])
-    fell = F.sum(F.when(F.col("model") == "GARCH", F.col("garch_fallback")).otherwise(0)).cast("long").alias("n_fallbacks")
-    return metrics.by_asset_model(long, c.valid_forecast(F.col("forecast")), [fell])
+    models = {"EWMA": fc.FORECASTERS["EWMA"], "GARCH": fc.garch_with(params), "HAR": fc.FORECASTERS["HAR"]}
+    fell = garch.failed_refits(params).withColumn("model", F.lit("GARCH"))
+    out = fc.report(df, models).join(fell, ["asset", "model"], "left")
+    return out.withColumn("n_fallbacks", F.coalesce("n_fallbacks", F.lit(0)))
+
+
+_EWMA_HAR = _BASELINES.replace(", {'m': 'rolling', 'f': rv_22}", "").replace(" AND rv_22 IS NOT NULL", "")
+
+
+@query(f"SELECT asset, model, {_LOSS_OK_SQL} FROM (SELECT asset, realized_var, u.m AS model, u.f AS forecast FROM {_EWMA_HAR}) GROUP BY asset, model", HAR_SQL)
+def c08_baseline_ewma_har(spark, d):
+    """The report's EWMA and HAR rows, which plain SQL can follow."""
+    return fc.report(folds.with_positions(_features(spark, d)), {n: fc.FORECASTERS[n] for n in ("EWMA", "HAR")})
 
 
 @query(
@@ -985,11 +1091,11 @@ def c08_baseline_ewma(spark, d):
 def _compared(spark, d):
     """Boosted trees against EWMA, GARCH and HAR: long rows of the test folds with their regimes."""
     df, params = _garch(spark, d)
-    df = har.har_forecast(folds.with_folds(garch.garch_forecast(df, params)), "sq_ret").select("asset", "date", "garch_var", "har_var")
-    scored = _boosted(spark, d).predict(_tested(spark, d)).join(df, ["asset", "date"])
-    out = metrics.with_terciles(scored.withColumn("realized_var", F.col("target")))
-    names = {"pooled_var": "pooled", "ewma_var": "EWMA", "garch_var": "GARCH", "har_var": "HAR"}
-    return metrics.long_forecasts(out.withColumn("year", F.year("date")), names, ["asset", "year", "tercile", "realized_var"])
+    scored = _boosted(spark, d).predict(_tested(spark, d)).select("asset", "pos", "date", F.col("pooled_var").alias("forecast"))
+    models = {"pooled": lambda frame, schedule: scored, "EWMA": fc.FORECASTERS["EWMA"], "GARCH": fc.garch_with(params), "HAR": fc.FORECASTERS["HAR"]}
+    rows = fc.tested(df, models, valid=c.valid_target_floored)
+    regimes = metrics.with_terciles(rows.filter("model = 'pooled'").select("asset", "pos", "realized_var")).select("asset", "pos", "tercile")
+    return rows.join(regimes, ["asset", "pos"]).withColumn("year", F.year("date"))
 
 
 @query()
@@ -1032,18 +1138,20 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streaming -------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    f"SELECT asset, hour, {_r('open', 'high', 'low', 'close', 'volume')} FROM (SELECT event_type AS asset, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, arg_min(value, ROW(ts, event_id)) AS open,"
+    " max(value) AS high, min(value) AS low, arg_max(value, ROW(ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events WHERE value > 0 GROUP BY ALL)"
+    " WHERE hour + INTERVAL 1 HOUR <= (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 1 HOUR FROM events WHERE value > 0)",
+    BARS_SQL,
+)
 def t01_streamed_hourly_bars(spark, d):
     """Closed hourly bars of a stream over the events, run to the end of its input."""
-    import uuid
-
-    from tidemark.plans.storage import scratch
     from tidemark.streaming.jobs import closed_bars
 
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     ticks = stream.select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("px")).filter("px > 0")
-    root = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    root = _scratch_root(spark)
     run = closed_bars(ticks).writeStream.format("parquet").option("path", f"{root}/bars").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{root}/bars")
+    return spark.read.parquet(f"{root}/bars").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
