@@ -52,18 +52,18 @@ def asof_join_union(
 def cross_asset(features: DataFrame, wiring: list[tuple[str, str, str]], column: str = "rv_22", days: int = MAX_STALENESS) -> DataFrame:
     """Adds ``{column}_{suffix}`` for each suffix of (target, source, suffix) rows; target "*" stands for every asset but the source.
 
-    Assets without a source in a suffix get NULL. Sources are named assets, so their offers are small next to the frame."""
-    out = features
+    Assets without a source in a suffix get NULL; a row that names the asset goes before "*". Sources are named assets: what
+    they offer to a day is a map of one value per source, so a single join by date serves all suffixes."""
+    sources = sorted({src for _, src, _ in wiring})
+    value = F.struct(F.col("date").alias("_src"), F.col(column).alias("_x"))
+    offers = features.filter(F.col("asset").isin(sources)).select(F.col("asset").alias("_s"), F.explode(F.expr(f"sequence(date, date_add(date, {days}))")).alias("date"), value.alias("_v"))
+    last = offers.groupBy("date", "_s").agg(F.max("_v").alias("_v"))
+    daily = last.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_v._x"))).alias("_m"))
+    out, added = features.join(daily, "date", "left"), []
     for suffix in dict.fromkeys(s for _, _, s in wiring):
-        rows = [(t, src) for t, src, s in wiring if s == suffix]
-        offers = None
-        for target, src in rows:
-            days_of = features.filter(F.col("asset") == src).select(
-                F.explode(F.expr(f"sequence(date, date_add(date, {days}))")).alias("date"), F.struct(F.col("date").alias("_src"), F.col(column)).alias("_v")
-            )
-            best = days_of.groupBy("date").agg(F.max("_v").alias("_v")).select("date", F.lit(target).alias("_t"), F.lit(src).alias("_s"), "_v")
-            offers = best if offers is None else offers.unionByName(best)
-        o = offers.select(F.col("date").alias("_d"), "_t", "_s", "_v")
-        match = (F.col("date") == F.col("_d")) & (((F.col("_t") == "*") & (F.col("asset") != F.col("_s"))) | (F.col("_t") == F.col("asset")))
-        out = out.join(o, match, "left").withColumn(f"{column}_{suffix}", F.col(f"_v.{column}")).drop("_d", "_t", "_s", "_v")
-    return out
+        found = F
+        for target, src in sorted(((t, s) for t, s, x in wiring if x == suffix), key=lambda r: r[0] == "*"):
+            served = F.col("asset") != src if target == "*" else F.col("asset") == target
+            found = found.when(served, F.col("_m")[src])
+        added.append(found.alias(f"{column}_{suffix}"))
+    return out.select(*features.columns, *added)
