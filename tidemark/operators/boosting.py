@@ -41,8 +41,8 @@ class Spec:
     min_rows: int = 50
     rate: float = 0.1
     l2: float = 1.0
-    rounds: int = 20
-    patience: int = 3
+    rounds: int = 12
+    patience: int = 2
 
 
 @dataclass
