@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import queries, suffixes
@@ -109,3 +110,17 @@ def test_trimmed_pieces_keep_their_owners():
                 for i in range(len(p) - 11):
                     want = min(w for q, k, w in zip(text, middle, owners) if 0 <= k - m + i and q[k - m + i : k - m + i + 12] == p[i : i + 12])
                     assert want >= g[i] and min([w for q, w in zip(text, owners) if p[i : i + 12] in q]) <= g[i]
+
+
+def test_a_task_holds_one_range_of_minimizers(spark):
+    """Dealt by hash, several ranges met in one task and one Arrow batch."""
+    sent = spark.range(640).selectExpr("cast(id % 64 as int) as range")
+    held = suffixes._dealt(sent, 64).selectExpr("range", "spark_partition_id() as p").distinct().collect()
+    assert len(held) == 64 and {r.p for r in held} == set(range(64))
+
+
+def test_ranges_of_minimizers_are_even():
+    """Minimizers are small hashes: by their size the first of 64 ranges held a quarter of them."""
+    h, *_ = suffixes.minimizers([random.Random(5).randbytes(400_000)])
+    counts = np.bincount(suffixes._to_range(h, 64), minlength=64)
+    assert len(counts) == 64 and counts.max() < 1.5 * counts.mean()

@@ -285,7 +285,12 @@ def piece_owners(pieces: list[bytes], middles: list[int], owners: list[int], win
 
 
 def _to_range(h: np.ndarray, n_ranges: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+    """Ranges of a second hash: minimizers are the smallest of their windows' hashes, so by themselves they crowd in the first
+    ranges, 16 times the average there. Hashes that agree in their upper 48 bits share a range."""
+    m = (h >> np.uint64(16)) * _C[0]
+    m ^= m >> np.uint64(32)
+    m *= _C[1]
+    return ((m >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
 
 
 SENT = "range int, docs binary, tids binary, buckets binary, hashes binary, times binary, local binary, first binary"
@@ -351,7 +356,9 @@ def _anchors_sent(n_ranges: int):
             kept = np.flatnonzero(~sure)
             many = np.ones(len(h), np.int64)
             many[cut] = np.where(differ, times, 1)
-            to = _to_range(h[kept], n_ranges)  # ascending, as h is
+            to = _to_range(h[kept], n_ranges)
+            order = np.argsort(to, kind="stable")
+            kept, to = kept[order], to[order]
             bounds = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 k = kept[s:e]
@@ -362,10 +369,10 @@ def _anchors_sent(n_ranges: int):
 
 
 def _groups(batches, key: str):
-    """Consecutive rows of a sorted partition by key, as lists of dicts."""
+    """Consecutive rows of a sorted partition by key, as lists of dicts. Rows are large: few of a batch are copied at once."""
     now, rows = None, []
     for b in batches:
-        for r in b.to_pylist():
+        for r in (r for i in range(0, b.num_rows, 8) for r in b.slice(i, 8).to_pylist()):
             if r[key] != now and rows:
                 yield now, rows
                 rows = []
@@ -375,6 +382,12 @@ def _groups(batches, key: str):
         yield now, rows
 
 
+def _dealt(sent: DataFrame, n_ranges: int) -> DataFrame:
+    """Each range in a partition of its own. Dealt by hash, some task gets several, which Spark hands to it in one batch: that batch
+    stands in the JVM, in the worker and as Python bytes at the same time."""
+    return sent.repartitionById(n_ranges, F.col("range")).sortWithinPartitions("range")
+
+
 def _shared_anchors(often_from: int):
     """Per range and bucket of documents: places of minimizers that several documents hold. Rows without a bucket name
     the frequent ones (48 bits) with their numbers."""
@@ -605,8 +618,7 @@ def covered_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     n_ranges = max(int(size // RANGE_BYTES), 8)
     src = src.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(doc_id, tid), {n_ranges}) as int)"))
     sent = src.mapInArrow(_anchors_sent(n_ranges), SENT)
-    dealt = sent.repartition(n_ranges, "range").sortWithinPartitions("range")
-    shared = stored(dealt.mapInArrow(_shared_anchors(hot), SHARED))
+    shared = stored(_dealt(sent, n_ranges).mapInArrow(_shared_anchors(hot), SHARED))
     frequent = docs.sparkSession.sparkContext.broadcast(_hot_list(shared))
     texts = src.dropDuplicates(["doc_id", "tid"]) if _repeats(src) else src
     held = shared.filter("bucket is not null").drop("hot", "times")
