@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark import queries as q
+from tidemark.plans import pooled
 from tidemark.sources import bars as b
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,17 @@ def test_model_queries_build_their_bars_once(spark, monkeypatch):
     assert len(made) == 1
     assert not any("lineitem" in f for df in (rows, frame, params, q._design(spark, SF)) for f in df.inputFiles())
     assert frame.count() == rows.count() == built(spark, SF).count()
+
+
+def test_files_of_binned_rows_follow_rows_not_shuffle_settings(spark, monkeypatch):
+    """Every pass of the trees opens every file: there were as many as shuffle partitions, for any number of rows."""
+    frame, before = q._panel(spark, SF), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        few, _ = pooled.boosting_rows(frame)
+        monkeypatch.setattr(pooled, "FILE_ROWS", frame.count() // 20)
+        more, _ = pooled.boosting_rows(frame)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(few.inputFiles()) <= spark.sparkContext.defaultParallelism < 20 <= len(more.inputFiles()) <= 21
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, more.collect())) and few.count() == frame.count()
