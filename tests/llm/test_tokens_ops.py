@@ -49,6 +49,30 @@ def test_cache_starts_anew_when_full():
     assert [cache.encode_texts([t])[0] for t in texts] == [x.tobytes() for x in library("byte_bpe_50k.json", texts)]
 
 
+def test_repair_encodes_a_pre_token_once_in_many():
+    """450,000 different words, twice: a cache of 400,000 forgot the first ones and encoded them again."""
+    letters, seen = "abcdefghijklmnopqrstuvwxyz", []
+    words = ["".join(letters[i // 26**k % 26] for k in range(4)) for i in range(450_000)]
+
+    def encode(parts):
+        seen.append(len(parts))
+        return np.zeros(len(parts), np.uint32), np.ones(len(parts), np.int64)
+
+    cache = tokens.WordCache(encode, True, limit=repair.CACHE_WORDS, plain=encode)
+    texts = [" ".join(["x", *words[i : i + 50_000]]) for i in range(0, len(words), 50_000)]
+    assert [len(x) for t in (texts, texts) for x in cache.encode_texts(t)] == [4 * 50_001] * 18
+    assert sum(seen) == len(words) + 1
+
+
+def test_pre_tokens_and_marks_keep_their_places():
+    """Marks, known, new and very long pre-tokens through a cache that forgets."""
+    tokenizer = tokens.load("byte_bpe_50k.json")
+    cache = tokens.WordCache(tokens.library_encoder(tokenizer), True, limit=3, plain=tokens.model_encoder(tokenizer))
+    texts = ["", "a", " 's it's", "é" * 70 + " b\n" + "q" * 90, "\r", "\r\n a  b", "a b\nc, “d” 12 " + "z" * 65]
+    want = [x.tobytes() for x in library("byte_bpe_50k.json", texts)]
+    assert cache.encode_texts(texts) == want and [cache.encode_texts([t])[0] for t in texts] == want
+
+
 def test_repair_files(spark, sf_dir):
     rows = docs(spark, sf_dir)
     got = queries.QUERIES["op1_repair_tokens"](spark, sf_dir).orderBy("doc_id").collect()

@@ -27,6 +27,8 @@ from tidemark.llm.common import slices, stored, texts_of, with_part_offsets
 SHARD_IDS = 400_000
 #: A rule takes 12 bytes and an occurrence of its pair saves 2 to 3, so rarer pairs are no gain.
 MIN_COUNT, MAX_SYMBOLS = 6, 1 << 24
+#: Pre-tokens a worker keeps (some 150 bytes each): new ones become rarer with every text, and a forgotten one is encoded anew.
+CACHE_WORDS = 1_200_000
 
 SHARD_SCHEMA = (
     "part int, shard int, before long, n_docs long, n_ids long, base int, width int, doc_ids binary, doc_nulls binary, doc_lengths binary,"
@@ -40,8 +42,8 @@ SHARD_ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in (f.split() for f
 def _choose(keys: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
     """The most frequent pairs of which none can overlap another: no symbol is a left and a right part at once. Pairs
     far less frequent than the first wait for a later round, in which they may have become part of others."""
-    order = np.lexsort((keys, -counts))
-    order = order[counts[order] * 64 > counts[order[0]]]
+    often = np.flatnonzero(counts * 64 > counts.max())
+    order = often[np.lexsort((keys[often], -counts[often]))]
     lefts, rights, taken = set(), set(), []
     for k in keys[order].tolist():
         a, b = k >> 32, k & 0xFFFFFFFF
@@ -69,7 +71,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, max_symbols: int = MA
     once below the least count is forgotten."""
     sym, left, right = ids.astype(np.int64), [], []
     lengths = np.ones(base, np.int64)
-    key = lambda at: sym[at] << 32 | sym[at + 1]
+    key = lambda at: sym.take(at) << 32 | sym.take(at + 1)
     keys, counts = _counted(key(np.flatnonzero(~last[:-1])))
     while True:
         often = counts >= min_count
@@ -80,8 +82,8 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, max_symbols: int = MA
         side = np.zeros(len(lengths), np.uint8)  # 1: a left part, 2: a right part, 3: both (a pair of one symbol)
         side[chosen >> 32] = 1
         side[chosen & 0xFFFFFFFF] |= 2
-        mine = side[sym]
-        at = np.flatnonzero((mine[:-1] & 1) & (mine[1:] >> 1) & ~last[:-1])
+        mine = side.take(sym)
+        at = np.flatnonzero((mine[:-1] & (mine[1:] >> 1)).view(bool) & ~last[:-1])
         found = key(at)
         rule = np.minimum(np.searchsorted(chosen, found), len(chosen) - 1)
         ok = chosen[rule] == found
@@ -217,7 +219,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
         from pyspark import TaskContext
 
         part, shard, before, docs, coded, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
-        cache = tokens.library_cache(tokenizer, True)
+        cache = tokens.library_cache(tokenizer, True, CACHE_WORDS)
         end = np.array([end_id], "<u4").tobytes()
 
         def row():

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain, compress, repeat
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -83,8 +83,18 @@ def model_encoder(tokenizer: Tokenizer):
         return None
     letter_of = {b: c for c, b in byte_letters().items()}
     letters = {p: "".join(letter_of[b] for b in chr(p).encode()) for p in [*range(256), *range(0x2010, 0x2028)]}
+    del letters[ord("\r")]  # parts the words, which are translated at once
     model = tokenizer.model.tokenize
-    return lambda parts: flat([[t.id for t in model(x.translate(letters))] for x in parts])
+
+    def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = [], []
+        for x in "\r".join(parts).translate(letters).split("\r"):
+            mine = [t.id for t in model(x)]
+            ids += mine
+            n.append(len(mine))
+        return np.array(ids, np.uint32), np.array(n, np.int64)
+
+    return encode
 
 
 #: White space that keeps a text from being cut at every space and newline.
@@ -101,11 +111,11 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class _Half:
-    """Known pieces with their ids in one array."""
+    """Known pieces with their ids in one array; the first is the mark after a piece's last pre-token, which has none."""
 
     def __init__(self):
-        self.index: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.index: dict[str, int] = {"\r": 0}
+        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         self.index.update(zip(pieces, range(len(self.starts), len(self.starts) + len(pieces))))
@@ -167,8 +177,8 @@ class WordCache:
         starts[left], starts[whole] = np.cumsum(n) - n, len(ids) + np.cumsum(m) - m
         return np.concatenate([ids, more])[gather(starts, lengths)], lengths
 
-    def _parts_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, lengths) of pre-tokens through what is known; an empty one has no ids."""
+    def _parts_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, lengths, whether it is a mark) of pre-tokens through what is known; a mark has no ids."""
         if len(self.new.index) > self.limit // 2:
             self.old, self.new = self.new, _Half()
         at = self.new.find(parts)
@@ -186,14 +196,14 @@ class WordCache:
                 rare.add(long, *self._coded(long)) if long else None
             missing = np.flatnonzero(at < 0)
             at[missing] = self.new.find([parts[i] for i in missing.tolist()])
-        if not len(rare.starts):
-            return self.new.take(at)
+        if not rare.lengths.any():
+            return *self.new.take(at), at == 0
         missing = np.flatnonzero(at < 0)
         at[missing] = len(self.new.starts) + rare.find([parts[i] for i in missing.tolist()])
         both = _Half()
         both.add([], self.new.ids, self.new.lengths)
         both.add([], rare.ids, rare.lengths)
-        return both.take(at)
+        return *both.take(at + 1), at == 0
 
     def _keys_ids(self, keys: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, where each key's begin, their number)."""
@@ -203,13 +213,10 @@ class WordCache:
         plain, parts = np.flatnonzero(is_plain), []
         if len(plain):
             parts = cut_plain(keys.filter(pa.array(is_plain)), self.keep_space)
-        mark = np.fromiter(map("\r".__eq__, parts), bool, len(parts))
-        ends = np.flatnonzero(mark) - np.arange(len(plain))
-        parts = list(compress(parts, ~mark))
         rest = np.flatnonzero(~is_plain)
         pieces = self._pieces(keys.take(pa.array(rest)).to_numpy(zero_copy_only=False).tolist())
-        ids, n = self._parts_ids(parts + ["\r" + p for p in pieces])
-        at = np.concatenate([[0], np.cumsum(n)])
+        ids, n, mark = self._parts_ids(parts + ["\r" + p for p in pieces])
+        at, ends = np.concatenate([[0], np.cumsum(n)]), np.flatnonzero(mark[: len(parts)])
         starts, stops = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         starts[plain], stops[plain] = at[np.concatenate([[0], ends])[:-1]], at[ends]
         starts[rest], stops[rest] = at[len(parts) : -1], at[len(parts) + 1 :]
@@ -254,11 +261,11 @@ class WordCache:
 _caches: dict[tuple, WordCache] = {}
 
 
-def library_cache(name: str, keep_space: bool) -> WordCache:
+def library_cache(name: str, keep_space: bool, limit: int = CACHE_WORDS) -> WordCache:
     """One cache per Python worker; workers are reused between tasks, and one vocabulary is kept at a time."""
-    key = (name, keep_space)
+    key = (name, keep_space, limit)
     if key not in _caches:
         _caches.clear()
         tokenizer = load(name)
-        _caches[key] = WordCache(library_encoder(tokenizer), keep_space, plain=model_encoder(tokenizer))
+        _caches[key] = WordCache(library_encoder(tokenizer), keep_space, limit, plain=model_encoder(tokenizer))
     return _caches[key]
