@@ -1,10 +1,12 @@
 import hashlib
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from tidemark.llm import queries, suffixes
+from tidemark.llm import common, queries, suffixes
 
 
 def brute(rows):
@@ -124,3 +126,16 @@ def test_ranges_of_minimizers_are_even():
     h, *_ = suffixes.minimizers([random.Random(5).randbytes(400_000)])
     counts = np.bincount(suffixes._to_range(h, 64), minlength=64)
     assert len(counts) == 64 and counts.max() < 1.5 * counts.mean()
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    """They stood on disk beside the next step's and those of the step after it."""
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f.name for d in folders for f in Path(d).rglob("shuffle_*")}
+    before, setting = files(), spark.conf.get(common.CLEANUP, None)
+    df = common.stored(spark.range(5000).selectExpr("id % 1000 as k").groupBy("k").count())
+    until = time.time() + 10  # Spark deletes them in the background
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert df.filter("count = 5").count() == 1000 and spark.conf.get(common.CLEANUP, None) == setting
