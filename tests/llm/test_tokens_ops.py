@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import bpe, packing, queries, repair, tokens, transducer
@@ -199,3 +200,26 @@ def test_decoding_broken_utf8():
     v, tk = bpe.Vocabulary("byte_bpe_50k.json"), tokens.load("byte_bpe_50k.json")
     ids = np.array([v.byte_ids[0xE6], v.byte_ids[0x41], v.byte_ids[0xFF]])
     assert v.decode(ids).decode() == tk.decode(ids.tolist(), skip_special_tokens=False)
+
+
+class Caught:
+    """A frame that hands out the function given to mapInArrow."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_packing_second_pass_leaves_workers_small(monkeypatch):
+    """The first pass's cache stayed in the workers, and whole batches (10,000 documents) were cut at once."""
+    monkeypatch.setattr(packing, "with_part_offsets", lambda *_: Caught())
+    tokens.library_cache("word_bpe_49k.json", False).encode_texts(["a b"])
+    n, raw = 250_000, np.arange(250_000, dtype="<u2").tobytes()
+    at = [i * n for i in range(40)]
+    columns = [pa.array(range(40)), pa.array(at), pa.array([7] * 40), pa.array([raw] * 40, pa.binary())]
+    out = list(packing.cut(None)(iter([pa.RecordBatch.from_arrays(columns, ["doc_id", "part_pos", "part_start", "ids"])])))
+    assert not tokens._caches
+    assert len(out) > 4 and max(b.nbytes for b in out) < 6_000_000
+    assert b"".join(x for b in out for x in b["ids"].to_pylist()) == raw * 40

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
-from tidemark.llm.common import slices, stored, texts_of, with_part_offsets
+from tidemark.llm.common import leaving_nothing, slices, stored, texts_of, with_part_offsets
 
 SEQUENCE = 2048
 
@@ -51,7 +51,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             )
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(src.mapInArrow(run, "part int, part_pos long, doc_id long, n long, ids binary"))
+    return stored(src.mapInArrow(leaving_nothing(run), "part int, part_pos long, doc_id long, n long, ids binary"))
 
 
 def cut(coded: DataFrame, sequence: int = SEQUENCE, with_ids: bool = True) -> DataFrame:
@@ -59,7 +59,8 @@ def cut(coded: DataFrame, sequence: int = SEQUENCE, with_ids: bool = True) -> Da
     placed = with_part_offsets(coded, "part", "n", "part_start")
 
     def run(batches):
-        for b in batches:
+        tokens.forget()  # the first pass is over
+        for b in slices(batches, "ids"):
             rows = []
             for doc, at, base, raw in zip(*(b[c].to_pylist() for c in ("doc_id", "part_pos", "part_start", "ids"))):
                 g, n, wide = at + base, len(raw) // 2, np.frombuffer(raw, "<u2").astype("<u4").tobytes()
@@ -74,7 +75,7 @@ def cut(coded: DataFrame, sequence: int = SEQUENCE, with_ids: bool = True) -> Da
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "continues", "ids"],
                 )
 
-    return placed.select("doc_id", "part_pos", "part_start", "ids").mapInArrow(run, PIECES)
+    return placed.select("doc_id", "part_pos", "part_start", "ids").mapInArrow(leaving_nothing(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE, with_ids: bool = True) -> DataFrame:

@@ -269,3 +269,8 @@ def library_cache(name: str, keep_space: bool, limit: int = CACHE_WORDS) -> Word
         tokenizer = load(name)
         _caches[key] = WordCache(library_encoder(tokenizer), keep_space, limit, plain=model_encoder(tokenizer))
     return _caches[key]
+
+
+def forget() -> None:
+    """Drops this worker's caches. Workers live on between tasks: what one keeps is memory that the next stage lacks."""
+    _caches.clear()
