@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -223,3 +224,17 @@ def test_packing_second_pass_leaves_workers_small(monkeypatch):
     assert not tokens._caches
     assert len(out) > 4 and max(b.nbytes for b in out) < 6_000_000
     assert b"".join(x for b in out for x in b["ids"].to_pylist()) == raw * 40
+
+
+def test_encoding_makes_few_indices_and_no_second_lookup(monkeypatch):
+    """Indices of all ids at once took some 60 bytes an id; a new pre-token was looked up again after it had been added."""
+    cache = tokens.library_cache("byte_bpe_50k.json", True)
+    tracemalloc.start()
+    ids, n = cache.encode_flat(["a " * 1_000_000 + "b"] * 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == n.sum() == 2_000_002 and peak < 40 * len(ids)
+    sought, find = [], tokens._Half.find
+    monkeypatch.setattr(tokens._Half, "find", lambda self, pieces: (sought.extend(pieces), find(self, pieces))[1])
+    cache.encode_flat(["qzxv wvxq qzxv"])
+    assert sought.count(" wvxq") == 2  # once in either half

@@ -30,6 +30,9 @@ MIN_COUNT, MAX_SYMBOLS = 6, 1 << 24
 #: Pre-tokens a worker keeps (some 150 bytes each): new ones become rarer with every text, and a forgotten one is encoded anew.
 CACHE_WORDS = 1_200_000
 
+#: Bytes of text encoded at once: what many texts hold is looked up once for all of them.
+SLICE = 16_000_000
+
 SHARD_SCHEMA = (
     "part int, shard int, before long, n_docs long, n_ids long, base int, width int, doc_ids binary, doc_nulls binary, doc_lengths binary,"
     " doc_symbols binary, left binary, right binary, lengths binary, symbols binary"
@@ -44,13 +47,13 @@ def _choose(keys: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
     far less frequent than the first wait for a later round, in which they may have become part of others."""
     often = np.flatnonzero(counts * 64 > counts.max())
     order = often[np.lexsort((keys[often], -counts[often]))]
-    lefts, rights, taken = set(), set(), []
-    for k in keys[order].tolist():
-        a, b = k >> 32, k & 0xFFFFFFFF
-        if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
+    best = keys[order]
+    sides, taken = bytearray(int(max((best >> 32).max(), (best & 0xFFFFFFFF).max())) + 1), []  # 1: a left part, 2: a right part
+    for k, a, b in zip(best.tolist(), (best >> 32).tolist(), (best & 0xFFFFFFFF).tolist()):
+        if sides[a] & 2 or sides[b] & 1:
             continue
-        lefts.add(a)
-        rights.add(b)
+        sides[a] |= 1
+        sides[b] |= 2
         taken.append(k)
         if len(taken) == limit:
             break
@@ -225,7 +228,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
         def row():
             return pa.RecordBatch.from_pylist([_shard_row(part, shard, docs, coded, base, before)], SHARD_ARROW)
 
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             for d, c in zip(b["doc_id"].to_pylist(), cache.encode_texts(texts_of(b["text"]))):
                 docs.append(d)
                 coded.append(c + end)

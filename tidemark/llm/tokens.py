@@ -110,6 +110,16 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def taken(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """The ids of all ranges, one behind the other; indices are made for ``step`` ranges at a time."""
+    out, done = np.empty(int(lengths.sum()), ids.dtype), 0
+    for s in range(0, len(starts), step):
+        at = gather(starts[s : s + step], lengths[s : s + step])
+        out[done : done + len(at)] = ids[at]
+        done += len(at)
+    return out
+
+
 class _Half:
     """Known pieces with their ids in one array; the first is the mark after a piece's last pre-token, which has none."""
 
@@ -128,7 +138,7 @@ class _Half:
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.lengths[at]
-        return self.ids[gather(self.starts[at], n)], n
+        return taken(self.ids, self.starts[at], n), n
 
 
 class WordCache:
@@ -182,20 +192,25 @@ class WordCache:
         if len(self.new.index) > self.limit // 2:
             self.old, self.new = self.new, _Half()
         at = self.new.find(parts)
-        wanted = list(dict.fromkeys(parts[i] for i in np.flatnonzero(at < 0).tolist()))
+        missing = np.flatnonzero(at < 0)
         rare = _Half()
-        if wanted:
+        if len(missing):
+            sought = [parts[i] for i in missing.tolist()]
+            rank = {p: i for i, p in enumerate(dict.fromkeys(sought))}
+            wanted = list(rank)
             before = self.old.find(wanted)  # what is still in use moves on to the newer half
-            held = before >= 0
-            fresh = [k for k, h in zip(wanted, held.tolist()) if not h]
-            if held.any():
-                self.new.add([k for k, h in zip(wanted, held.tolist()) if h], *self.old.take(before[held]))
-            if fresh:
-                short, long = [k for k in fresh if len(k) <= LONGEST], [k for k in fresh if len(k) > LONGEST]
-                self.new.add(short, *self._coded(short)) if short else None
-                rare.add(long, *self._coded(long)) if long else None
-            missing = np.flatnonzero(at < 0)
-            at[missing] = self.new.find([parts[i] for i in missing.tolist()])
+            held, size = before >= 0, np.fromiter(map(len, wanted), np.int64, len(wanted))
+            kept, short, long = (np.flatnonzero(x) for x in (held, ~held & (size <= LONGEST), ~held & (size > LONGEST)))
+            where = np.full(len(wanted), -1)
+            for which, coded in ((kept, lambda _: self.old.take(before[kept])), (short, self._coded)):
+                if len(which):
+                    where[which] = len(self.new.starts) + np.arange(len(which))
+                    pieces = [wanted[i] for i in which.tolist()]
+                    self.new.add(pieces, *coded(pieces))
+            if len(long):
+                pieces = [wanted[i] for i in long.tolist()]
+                rare.add(pieces, *self._coded(pieces))
+            at[missing] = where[np.fromiter(map(rank.__getitem__, sought), np.int64, len(sought))]
         if not rare.lengths.any():
             return *self.new.take(at), at == 0
         missing = np.flatnonzero(at < 0)
@@ -237,10 +252,11 @@ class WordCache:
         split = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
         n_keys[easy] = np.diff(split.offsets.to_numpy()) if len(easy) else 0
         keys = pa.concat_arrays([split.flatten(), pa.array(listed, pa.large_string())]).dictionary_encode()
+        del spaced, listed, split
         ids, begin, n = self._keys_ids(keys.dictionary)
         at = keys.indices.to_numpy()
         begin, n = begin[at], n[at]
-        ids = ids[gather(begin, n)]
+        ids = taken(ids, begin, n)
         order = np.concatenate([easy, whole])
         ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(np.concatenate([[0], n_keys[order]]))]
         counts = np.zeros(len(texts), np.int64)
@@ -248,13 +264,13 @@ class WordCache:
         if len(whole):  # back to the texts' own order
             starts = np.zeros(len(texts), np.int64)
             starts[order] = ends[:-1]
-            ids = ids[gather(starts, counts)]
+            ids = taken(ids, starts, counts)
         return ids, counts
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         ids, n = self.encode_flat(texts)
-        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+        raw, ends = ids.astype("<u4", copy=False).tobytes(), (4 * np.cumsum(n)).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
