@@ -30,9 +30,6 @@ MIN_COUNT, MAX_SYMBOLS = 6, 1 << 24
 #: Pre-tokens a worker keeps (some 150 bytes each): new ones become rarer with every text, and a forgotten one is encoded anew.
 CACHE_WORDS = 1_200_000
 
-#: Bytes of text encoded at once: what many texts hold is looked up once for all of them.
-SLICE = 16_000_000
-
 SHARD_SCHEMA = (
     "part int, shard int, before long, n_docs long, n_ids long, base int, width int, doc_ids binary, doc_nulls binary, doc_lengths binary,"
     " doc_symbols binary, left binary, right binary, lengths binary, symbols binary"
@@ -181,19 +178,10 @@ class Shard:
     def all(self) -> np.ndarray:
         """Every document's ids: rules are written out once, then all symbols in one gather."""
         flat = expand(self.base + np.arange(len(self.left)), self.base, self.left, self.right)
-        sym = self.symbols.astype(np.int64)
-        rule = sym - self.base
-        big = rule >= 0
-        size = np.ones(len(sym), np.int64)
-        size[big] = self.lengths[rule[big]]
-        begin = np.cumsum(self.lengths) - self.lengths
-        end = np.cumsum(size)
-        out = np.empty(int(end[-1]) if len(end) else 0, np.int64)
-        out[(end - size)[~big]] = sym[~big]
-        n, at = size[big], (end - size)[big]
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(at, n) + within] = flat[np.repeat(begin[rule[big]], n) + within]
-        return out
+        table = np.concatenate([np.arange(self.base), flat]).astype(np.uint32)
+        size = np.concatenate([np.ones(self.base, np.int64), self.lengths])
+        begin = np.cumsum(size) - size
+        return tokens.taken(table, begin.take(self.symbols), size.take(self.symbols))
 
 
 def _shard_row(part: int, shard: int, docs: list, coded: list[bytes], base: int, before: int = 0) -> dict:
@@ -228,7 +216,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
         def row():
             return pa.RecordBatch.from_pylist([_shard_row(part, shard, docs, coded, base, before)], SHARD_ARROW)
 
-        for b in slices(batches, limit=SLICE):
+        for b in slices(batches):
             for d, c in zip(b["doc_id"].to_pylist(), cache.encode_texts(texts_of(b["text"]))):
                 docs.append(d)
                 coded.append(c + end)
