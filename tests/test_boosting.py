@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -62,6 +63,28 @@ def test_models_are_independent_of_each_other(grown, spark):
     assert [t.feature for t in alone.trees] == [t.feature for t in models[2].trees]
 
 
+def test_models_of_a_task_equal_models_of_passes(grown, monkeypatch):
+    """Windows of few rows are one task's, larger ones are summed up in passes over all tasks: the trees are the same."""
+    rows, bins, models = grown
+    monkeypatch.setattr(boosting, "GROUP_ROWS", 0)
+    passes = boosting.grow(rows, [replace(models[0].spec, rounds=3), models[2].spec], bins)
+    for a, b, n in ((passes[0], models[0], 3), (passes[1], models[2], 2)):
+        assert len(a.trees) == n and (a.n_train, a.n_val) == (b.n_train, b.n_val) and np.isclose(a.base, b.base)
+        for t, u in zip(a.trees, b.trees):
+            assert t.feature == u.feature and t.left == u.left and np.allclose(t.value, u.value)
+            assert all(m is None and k is None or (m == k).all() for m, k in zip(t.left_bins, u.left_bins))
+
+
+def test_folds_and_candidates_grow_until_their_validation_rows_stop_them(spark):
+    """12 trees, and 2 without a gain, ended every model; now 1,000 (500 in the tuning) and 50 do."""
+    rows, bins = pooled.boosting_rows(panel(spark), NAMES)
+    params = {"leaves": 15, "min_rows": 20, "rate": 0.05, "l2": 1.0}
+    for m in pooled.fit_folds(rows, bins, 3, params).models:
+        assert (m.spec.rounds, m.spec.patience) == (1000, 50) and 12 < len(m.trees) == m.best < 1000
+    tuned = pooled.tune(rows, bins, 330, [params, params | {"rate": 0.01}]).orderBy("combo_id").collect()
+    assert 12 < tuned[0].n_trees < tuned[1].n_trees <= pooled.TUNING_ROUNDS == 500
+
+
 def test_early_stopping(spark):
     """On noise few trees are kept, and no more than the best validation loss had."""
     rows, bins = pooled.boosting_rows(panel(spark).withColumn("target", F.exp(F.rand(3))), NAMES)
